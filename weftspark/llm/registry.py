@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftspark.llm import line_dedup, mixing, secret_scan
+from weftspark.llm import line_dedup, mixing, secret_scan, vector_search
 from weftspark.llm.sql import ORACLE
 
 
@@ -15,6 +15,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_vector_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secret_scan.scan_secrets(_table(spark, sf_dir, "documents"))
     n = lambda rank: F.size(F.filter("base", lambda s: s["rank"] == rank)).cast("long")
@@ -39,6 +43,7 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_vector_top_k": op2_vector_top_k,
         "op4_secret_scan": op4_secret_scan,
         "op6_line_dedup": op6_line_dedup,
         "op7_source_mix": op7_source_mix,

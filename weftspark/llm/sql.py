@@ -21,6 +21,15 @@ from j group by doc_id
 """
 
 ORACLE = {
+    "op2_vector_top_k": """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * cast(x as double))) as x from embeddings
+           where vec_id is not null and embedding is not null and len(embedding) > 0
+             and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.x, c.x) as bigint) as score
+      from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0),
+r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 10
+""",
     "op6_line_dedup": f"select doc_id, n_lines, n_dropped, sha256(text) as kept_sha256 from ({LINES_SQL.format(docs='documents')})",
     "op7_source_mix": r"""
 with d as (
