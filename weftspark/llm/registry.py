@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftspark.llm import line_dedup, mixing, secret_scan, sentence_pieces, vector_search
+from weftspark.llm import jaccard_join, line_dedup, mixing, secret_scan, sentence_pieces, vector_search
 from weftspark.llm.sql import ORACLE
 
 
@@ -61,6 +61,10 @@ def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(_table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_vector_top_k": op2_vector_top_k,
@@ -68,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_line_dedup": op6_line_dedup,
         "op7_source_mix": op7_source_mix,
         "op8_sentence_pieces": op8_sentence_pieces,
+        "op9_jaccard_join": op9_jaccard_join,
     }
 
 
