@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftspark.llm import jaccard_join, line_dedup, mixing, secret_scan, sentence_pieces, vector_search
+from weftspark.llm import jaccard_join, line_dedup, media_store, mixing, secret_scan, sentence_pieces, vector_search
 from weftspark.llm.sql import ORACLE
 
 
@@ -65,6 +65,10 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op10_media_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_store.store_and_describe(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_vector_top_k": op2_vector_top_k,
@@ -73,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_source_mix": op7_source_mix,
         "op8_sentence_pieces": op8_sentence_pieces,
         "op9_jaccard_join": op9_jaccard_join,
+        "op10_media_store": op10_media_store,
     }
 
 
