@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftspark.llm import jaccard_join, line_dedup, media_store, mixing, secret_scan, sentence_pieces, vector_search
+from weftspark.llm import jaccard_join, line_dedup, media_store, mixing, secret_scan, sentence_pieces, token_counts, vector_search
 from weftspark.llm.sql import ORACLE
 
 
@@ -29,6 +29,11 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = token_counts.count_tokens(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"), 50256)
+    return out.select("doc_id", "n_tokens", "ordinal")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -73,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_vector_top_k": op2_vector_top_k,
         "op4_secret_scan": op4_secret_scan,
+        "op5_token_counts": op5_token_counts,
         "op6_line_dedup": op6_line_dedup,
         "op7_source_mix": op7_source_mix,
         "op8_sentence_pieces": op8_sentence_pieces,
