@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftspark.llm import jaccard_join, line_dedup, media_store, mixing, secret_scan, sentence_pieces, token_counts, vector_search
+from weftspark.llm import jaccard_join, line_dedup, media_store, mixing, quality, secret_scan, sentence_pieces, token_counts, vector_search
 from weftspark.llm.sql import ORACLE
 
 
@@ -19,6 +19,11 @@ def op2_vector_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.top_k(_table(spark, sf_dir, "embeddings"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return out.select("doc_id", *[F.round(c, 6).alias(c) for c in ("evidence", "site_prior", "posterior")], "keep")
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secret_scan.scan_secrets(_table(spark, sf_dir, "documents"))
     n = lambda rank: F.size(F.filter("base", lambda s: s["rank"] == rank)).cast("long")
@@ -77,6 +82,7 @@ def op10_media_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_vector_top_k": op2_vector_top_k,
+        "op3_quality": op3_quality,
         "op4_secret_scan": op4_secret_scan,
         "op5_token_counts": op5_token_counts,
         "op6_line_dedup": op6_line_dedup,
