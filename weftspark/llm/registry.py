@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftspark.llm import jaccard_join, line_dedup, media_store, mixing, quality, secret_scan, sentence_pieces, token_counts, vector_search
+import corpus_pipeline
+from weftspark.llm import jaccard_join, line_dedup, media_store, mixing, quality, secret_scan, token_counts, vector_search
+from weftspark.llm.digests import piece_digests, vocabulary
 from weftspark.llm.sql import ORACLE
 
 
@@ -51,22 +53,6 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def vocabulary(name: str) -> str:
-    """Place of a public tokenizer's file."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
-def piece_digests(docs: DataFrame) -> DataFrame:
-    coded = sentence_pieces.encode_texts(docs, vocabulary("piece_bpe_32k.model"), keep=["doc_id"])
-    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return coded.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"), "n_differing",
-    )
-
-
 def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(_table(spark, sf_dir, "documents"))
 
@@ -90,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sentence_pieces": op8_sentence_pieces,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_media_store": op10_media_store,
+        "pipeline": corpus_pipeline.run,
     }
 
 
