@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from weftspark.llm import jaccard_join, line_dedup, media_store, mixing, quality, secret_scan, token_counts, vector_search
+from weftspark.llm import jaccard_join, line_dedup, media_store, mixing, page_text, quality, secret_scan, token_counts, vector_search
 from weftspark.llm.digests import piece_digests, vocabulary
 from weftspark.llm.sql import ORACLE
 
@@ -17,6 +17,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.main_text(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op2_vector_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.top_k(_table(spark, sf_dir, "embeddings"))
 
@@ -67,6 +71,7 @@ def op10_media_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_page_text": op1_page_text,
         "op2_vector_top_k": op2_vector_top_k,
         "op3_quality": op3_quality,
         "op4_secret_scan": op4_secret_scan,
