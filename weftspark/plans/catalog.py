@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from weftspark.plans import q_metrics, q_profile, q_projection, q_relational, q_synth
+from weftspark.plans.registry import Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
+MODULES = (q_projection, q_relational, q_profile, q_metrics, q_synth)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: fn for m in MODULES for name, fn in m.CATALOG.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in MODULES for name, sql in m.CATALOG.sql.items()}
