@@ -72,6 +72,8 @@ def _typed(df: DataFrame, column, sql_type: str, name: str):
 def _events(df: DataFrame, spec: Dataset, t: Table, seed: int) -> DataFrame:
     time = next((c.name for c in t.columns if c.sql_type in ("DATETIME", "DATE") and c.name in df.columns), None)
     for event in spec.events:
+        if not any(e.get("table") == t.name for e in event.effects):
+            continue
         on = active(event.start, event.end, time, F.col(ROW), _size(t))
         for e in event.effects:
             if e.get("table") == t.name and e["column"] in df.columns:
