@@ -197,7 +197,9 @@ class ArchiveReader(DataSourceReader):
             for start in range(0, size, RANGE_BYTES)
         ]
 
-    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: ByteRange | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # without archives, Spark still asks once
+            return
         files, path = _filesystem(partition.archive)
         opened: list = []
 

@@ -227,7 +227,7 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", alpha: float = 0.01) -
     return df.withColumn("found", found).drop("_ss_text", "_ss_tokens")
 
 
-def listed(spans: Column) -> Column:
+def listed(spans: Column | str) -> Column:
     """Spans as kind:start:end, comma-joined."""
     kinds = F.array(*map(F.lit, KINDS))
     return F.array_join(
