@@ -11,14 +11,17 @@ into them. Three facts about texts shape the operator.
    order for all. Every linked pair then meets in a cell. Shingles of many documents come last
    in that order, so a passage that a third of all documents quote makes no cell of them all.
 2. Documents with equal sets are one class, joined by the representative of least id.
-3. In a region, 1, 4, 16... documents become pivots, level by level, and all others are
-   measured against them; pivots are done then. The others go to the Voronoi region of their
-   nearest pivot and, within the window, to neighbours; those far from all pivots share one
-   far region. Regions whose documents are in one component already are dropped, and so are
-   regions with the same members as another. The recursion ends when none is left.
-
-Only ids, set sizes and hashes move between levels; sets are made again from the texts for the
-pairs that are to be measured. Links and components stay distributed.
+3. Set sizes are distances to the empty set: a window of one size band on each side splits
+   every cell. Regions of at most DIRECT documents are joined. In larger ones, 4, 16, 64... documents of different components become pivots, level
+   by level, and documents of other components are measured against them; pivots are done then.
+   The others go to the Voronoi region of their nearest pivot and, within the window, to
+   neighbours; those far from all pivots share one far region. Regions whose documents are in
+   one component are dropped, and so are regions with the same members as another. The
+   recursion ends when none is left.
+
+A pair is first measured on the least hashes of both sets: what they share there, and all that
+they could share beyond, bounds the similarity from above. Only pairs that pass are measured
+on their whole sets, made again from the texts. Links and components stay distributed.
 """
 
 from __future__ import annotations
@@ -31,42 +34,100 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftspark.llm.shared import LAST_ID, LOWER, UPPER, written
+from weftspark.llm.shared import LAST_ID, SPACE, written
 
-_LOWER = str.maketrans(UPPER, LOWER)
-_SPACES = str.maketrans(dict.fromkeys("\t\n\x0b\x0c\r", " "))
 _M = np.uint64(0x9E3779B97F4A7C15)
-#: Words whose hash a worker remembers.
-WORDS = 500_000
+_BASE = np.uint64(0xB4E35F8D2C6A9713)
+_SPACE = np.isin(np.arange(256), list(SPACE.encode()))
+#: Bytes of text hashed at once.
+SLICE_BYTES = 4 << 20
 #: Up to so many ids (16 MB), those to be measured are broadcast; beyond, the joins on the sets
 #: alone pick them.
 SENT_IDS = 1_000_000
 FAR = "far"
+#: Regions of so many documents are joined directly at the first level; four times as many at each next.
+DIRECT = 32
+#: Share of a set by which ``heads`` goes beyond the cells.
+SLACK = 0.05
+
+
+def _byte_values() -> np.ndarray:
+    """A fixed 64-bit value per byte; A-Z have those of a-z, white space has 0."""
+    x = np.arange(1, 257, dtype=np.uint64) * _M
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    x ^= x >> np.uint64(31)
+    x[ord("A") : ord("Z") + 1] = x[ord("a") : ord("z") + 1]
+    x[_SPACE] = 0
+    return x
 
 
 class Shingler:
-    """64-bit hashes of a text's distinct shingles, sorted."""
+    """63-bit hashes of texts' distinct shingles, sorted: a polynomial hash of each word's bytes,
+    from one prefix sum over all texts of a slice, and a mix of the hashes of ``words`` words."""
 
     def __init__(self, words: int) -> None:
-        self.words, self.known = words, {}
-
-    def __call__(self, text: str) -> np.ndarray:
-        tokens = [w for w in text.translate(_LOWER).translate(_SPACES).split(" ") if w]
-        if not tokens:
-            return np.empty(0, np.uint64)
-        if len(self.known) > WORDS:
-            self.known.clear()
-        known, new = self.known, xxhash.xxh3_64_intdigest
-        for w in set(tokens).difference(known):
-            known[w] = new(w.encode("utf-8", "surrogatepass"))
-        h = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
-        k = min(self.words, len(h))
-        with np.errstate(over="ignore"):
-            out = np.full(len(h) - k + 1, len(h) if k < self.words else 0, np.uint64)
-            for i in range(k):
-                out = (out ^ h[i : len(h) - k + 1 + i]) * _M
-                out ^= out >> np.uint64(29)
-        return np.unique(out)
+        self.words, self.value = words, _byte_values()
+        self.power = self.inverse = np.ones(1, np.uint64)
+
+    def _powers(self, n: int) -> None:
+        if len(self.power) < n:
+            n = max(n, SLICE_BYTES + 1)
+            inverse = np.uint64(pow(int(_BASE), -1, 2**64))
+            for name, base in (("power", _BASE), ("inverse", inverse)):
+                steps = np.full(n, base, np.uint64)
+                steps[0] = 1
+                setattr(self, name, np.multiply.accumulate(steps))
+
+    def __call__(self, texts: pa.StringArray) -> list[np.ndarray]:
+        ends = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4).astype(np.int64)
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+        out, i = [], 0
+        while i < len(texts):
+            j = i + 1
+            while j < len(texts) and ends[j + 1] - ends[i] <= SLICE_BYTES:
+                j += 1
+            out += self._slice(data[ends[i] : ends[j]], ends[i : j + 1] - ends[i])
+            i = j
+        return out
+
+    def _slice(self, data: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+        none = np.empty(0, np.int64)
+        if not len(data):
+            return [none] * (len(ends) - 1)
+        self._powers(len(data))
+        word = ~_SPACE[data]
+        edge = np.zeros(len(data) + 1, bool)  # a text begins here
+        edge[ends] = True
+        begins = np.flatnonzero(word & (edge[:-1] | ~np.r_[False, word[:-1]]))
+        stops = np.flatnonzero(word & (edge[1:] | ~np.r_[word[1:], False])) + 1
+        if not len(begins):
+            return [none] * (len(ends) - 1)
+        upto = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(self.value[data] * self.power[: len(data)], out=upto[1:])
+        h = (upto[stops] - upto[begins]) * self.inverse[begins]
+        h = (h ^ (h >> np.uint64(32))) * _M
+        h ^= h >> np.uint64(29)
+        at = np.searchsorted(begins, ends)  # first word of each text
+        k = self.words
+        mixed = self._mix([h[d : len(h) - k + 1 + d] for d in range(k)], 0) if len(h) >= k else h[:0]
+        out = []
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            if b - a >= k:
+                out.append(np.unique(mixed[a : b - k + 1]))
+            elif b > a:
+                out.append(self._mix([h[d : d + 1] for d in range(a, b)], b - a))
+            else:
+                out.append(none)
+        return out
+
+    @staticmethod
+    def _mix(columns: list[np.ndarray], seed: int) -> np.ndarray:
+        out = np.full(len(columns[0]), seed, np.uint64)
+        for c in columns:
+            out = (out ^ c) * _M
+            out ^= out >> np.uint64(29)
+        return (out >> np.uint64(1)).view(np.int64)
 
 
 def _first(hashes: np.ndarray, late: np.ndarray, n: int) -> np.ndarray:
@@ -79,10 +140,9 @@ def _first(hashes: np.ndarray, late: np.ndarray, n: int) -> np.ndarray:
     return hashes[:n]
 
 
-def _over(total: int, percent: int, more: float = 0.0) -> int:
-    """How many cells a set of ``total`` shingles must enter: total - ceil(limit * total) + 1."""
-    need = -(-percent * total // 100)
-    return min(total, total - need + 1 + int(more * total))
+def _over(total: int, percent: int) -> int:
+    """How many cells a set of ``total`` shingles enters: total - ceil(limit * total) + 1."""
+    return total - -(-percent * total // 100) + 1 if total else 0
 
 
 def _map_texts(docs: DataFrame, words: int, schema: str, make) -> DataFrame:
@@ -93,8 +153,7 @@ def _map_texts(docs: DataFrame, words: int, schema: str, make) -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
-                sets = [shingles(t) for t in part.column(part.num_columns - 1).to_pylist()]
-                yield make(part, sets)
+                yield make(part, shingles(part.column(part.num_columns - 1)))
 
     return docs.mapInArrow(run, schema)
 
@@ -102,8 +161,8 @@ def _map_texts(docs: DataFrame, words: int, schema: str, make) -> DataFrame:
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     at = np.zeros(len(arrays) + 1, np.int32)
     np.cumsum([len(a) for a in arrays], out=at[1:])
-    flat = np.concatenate(arrays) if arrays else np.empty(0, np.uint64)
-    return pa.ListArray.from_arrays(pa.array(at), pa.array(flat.view(np.int64)))
+    flat = np.concatenate(arrays) if arrays else np.empty(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(flat))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -115,17 +174,14 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = written(large.where("u <> v"), "cc-large")
+        large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = written(large, "cc-large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        linked = large.join(least, "u")
-        small = linked.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        small = written(small.distinct(), "cc-small")
-        # Done when every node has one edge, to a node that has none upward.
-        per = small.groupBy("u").agg(F.count("*").alias("n"))
-        open_ = per.where("n > 1").limit(1).count() or small.join(small.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1).count()
-        edges = small
-        if not open_:
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = written(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "cc-small")
+        # Stars at last: no node has two edges, and no centre has one upward.
+        ends = edges.select("u", F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)).distinct())
+        if not ends.groupBy("u").agg(F.sum("up").alias("up"), F.sum("down").alias("down")).where("up > 1 or (up > 0 and down > 0)").limit(1).count():
             break
     stars = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return stars.union(stars.select(F.col("component").alias("id"), "component").distinct())
@@ -137,97 +193,171 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
-    """(doc, n, sig): id, set size and a 128-bit signature of the set (null where it is empty)."""
+def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """(doc, n, sig, heads): id, set size, 128-bit signature (null for an empty set) and the least
+    hashes: those of the cells, and SLACK of the set more."""
 
     def make(part, sets):
         sig = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-        columns = [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sig, pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, names=["doc", "n", "sig"])
-
-    return _map_texts(_texts(docs, id_col, text_col), words, "doc long, n long, sig binary", make)
+        heads = _lists([s[: _over(len(s), percent) + int(SLACK * len(s))] for s in sets])
+        columns = [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sig, pa.binary()), heads]
+        return pa.RecordBatch.from_arrays(columns, names=["doc", "n", "sig", "heads"])
 
+    return _map_texts(_texts(docs, id_col, text_col), words, "doc long, n long, sig binary, heads array<long>", make)
 
-def cells(texts: DataFrame, words: int, percent: int, late: np.ndarray, more: float = 0.0) -> DataFrame:
-    """(doc, cell): the first-level cells that each document enters; ``late`` shingles come last."""
-    held = texts.sparkSession.sparkContext.broadcast(late)
 
-    def make(part, sets):
-        first = [_first(s, held.value, _over(len(s), percent, more)) if len(s) else s for s in sets]
-        return pa.RecordBatch.from_arrays([part.column(0), _lists(first)], names=["doc", "cells"])
+def _later_cells(sets: DataFrame, texts: DataFrame, words: int, percent: int, late: np.ndarray) -> DataFrame:
+    """(doc, cell): cells that documents enter in place of late ones.
 
-    found = _map_texts(texts, words, "doc long, cells array<long>", make)
-    return found.select("doc", F.explode("cells").alias("cell"))
+    Mostly the next hashes of ``heads`` do; where these do not reach, the whole set is made.
+    """
+    held = sets.sparkSession.sparkContext.broadcast(late)
 
+    def common(hashes: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(held.value, hashes), len(held.value) - 1)
+        return held.value[at] == hashes
 
-def measure(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """(x, p, n_x, n_p, both): set sizes and the size of the intersection for pairs (x, p)."""
-    wanted = written(pairs.select(F.col("x").alias("doc")).union(pairs.select("p")).distinct(), "jj-wanted")
-    picked = texts
-    if wanted.count() <= SENT_IDS:  # spares the other documents' sets a shuffle
-        picked = texts.join(F.broadcast(wanted), "doc", "left_semi")
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, at = batch.column(2).flatten().to_numpy(), batch.column(2).offsets.to_numpy() - batch.column(2).offsets[0].as_py()
+            is_late, out, short = common(flat), [], []
+            for i, n in enumerate(batch.column(1).to_pylist()):
+                k, lo, hi = _over(n, percent), at[i], at[i + 1]
+                new = np.empty(0, np.int64)
+                lacking = False
+                if is_late[lo : lo + k].any():
+                    free = np.flatnonzero(~is_late[lo:hi])
+                    lacking = len(free) < k
+                    new = new if lacking else flat[lo:hi][free[:k][free[:k] >= k]]
+                out.append(new)
+                short.append(lacking)
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(out), pa.array(short)], names=["doc", "cells", "short"])
+
+    def far(part, sets):
+        out = []
+        for s in sets:
+            k = _over(len(s), percent)
+            first = _first(s, held.value, k)
+            out.append(np.setdiff1d(first, s[:k][~common(s[:k])], assume_unique=True))
+        return pa.RecordBatch.from_arrays([part.column(0), _lists(out)], names=["doc", "cells"])
+
+    if not len(late):
+        return sets.where("false").select("doc", F.lit(0).cast("long").alias("cell"))
+    found = written(sets.select("doc", "n", "heads").mapInArrow(near, "doc long, cells array<long>, short boolean").where("short or size(cells) > 0"), "jj-later")
+    rest = _map_texts(_pick(texts, found.where("short").select("doc")), words, "doc long, cells array<long>", far)
+    return found.where("not short").select("doc", "cells").union(rest).select("doc", F.explode("cells").alias("cell"))
+
+
+def _pick(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``texts`` with one of the ids; these are broadcast while they are few."""
+    ids = written(ids.distinct(), "jj-picked")
+    return texts.join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, "doc", "left_semi")
+
+
+def measure(pairs: DataFrame, sets: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(x, p, low, high): bounds of the distance of pairs (x, p); equal where it was measured.
+
+    ``low`` is exact arithmetic on the least hashes; pairs whose ``low`` allows a link are
+    measured on their whole sets.
+    """
+    r = (100 - percent) / 100
+    side = lambda c: sets.select(F.col("doc").alias(c), F.col("n").alias(f"n_{c}"), F.col("heads").alias(f"h_{c}"))
+    top = F.least(F.element_at("h_x", -1), F.element_at("h_p", -1))
+    beyond = lambda c: F.col(f"n_{c}") - F.size(F.filter(f"h_{c}", lambda h: h <= F.col("top")))
+    wanted = F.least("n_x", "n_p") * 100 >= F.greatest("n_x", "n_p") * percent
+    rows = pairs.join(side("x"), "x").join(side("p"), "p").withColumn("top", top)
+    most = F.least(F.size(F.array_intersect("h_x", "h_p")) + F.least(beyond("x"), beyond("p")), F.col("n_x"), F.col("n_p"))
+    rows = rows.select("x", "p", "n_x", "n_p", F.when(wanted, most).otherwise(F.least("n_x", "n_p")).alias("most"))
+    low = 1 - F.col("most") / (F.col("n_x") + F.col("n_p") - F.col("most"))
+    # Rows that repeat an id give a pair more than one bound; the least counts.
+    rows = rows.groupBy("x", "p").agg(F.min(F.greatest(low, F.lit(0.0))).alias("low"))
+    rows = written(rows, "jj-bounds")
+    near = rows.where(F.col("low") <= r + 1e-9).select("x", "p")
 
     def make(part, sets):
         return pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc", "set"])
 
-    sets = _map_texts(picked, words, "doc long, set binary", make)
-    rows = pairs.join(sets.withColumnsRenamed({"doc": "x", "set": "set_x"}), "x")
-    rows = rows.join(sets.join(pairs.select(F.col("p").alias("doc")).distinct(), "doc", "left_semi")
-                     .withColumnsRenamed({"doc": "p", "set": "set_p"}), "p").select("x", "p", "set_x", "set_p")
+    picked = _pick(texts, near.select(F.col("x").alias("doc")).union(near.select("p")))
+    whole = written(_map_texts(picked, words, "doc long, set binary", make), "jj-whole")
+    both = near.join(whole.withColumnsRenamed({"doc": "x", "set": "s_x"}), "x").join(whole.withColumnsRenamed({"doc": "p", "set": "s_p"}), "p")
 
     def run(batches):
         for batch in batches:
-            both = [[np.frombuffer(v, np.uint64) for v in batch.column(i).to_pylist()] for i in (2, 3)]
-            shared = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*both, strict=True)]
-            sizes = [pa.array([len(v) for v in side], pa.int64()) for side in both]
-            columns = [batch.column(0), batch.column(1), *sizes, pa.array(shared, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["x", "p", "n_x", "n_p", "both"])
+            sides = [[np.frombuffer(v, np.int64) for v in batch.column(i).to_pylist()] for i in (2, 3)]
+            shared = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*sides, strict=True)]
+            union = [len(x) + len(y) - s for x, y, s in zip(*sides, shared, strict=True)]
+            linked = [100 * s >= percent * u for s, u in zip(shared, union, strict=True)]
+            apart = pa.array([1 - s / u for s, u in zip(shared, union, strict=True)], pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), apart, pa.array(linked, pa.bool_())], names=["x", "p", "d", "linked"])
 
-    return written(rows.mapInArrow(run, "x long, p long, n_x long, n_p long, both long"), "jj-measured")
+    exact = both.select("x", "p", "s_x", "s_p").mapInArrow(run, "x long, p long, d double, linked boolean")
+    exact = written(exact, "jj-measured").groupBy("x", "p").agg(F.min("d").alias("d"), F.max("linked").alias("linked"))
+    out = rows.join(exact, ["x", "p"], "left")
+    return out.select("x", "p", F.coalesce("d", "low").alias("low"), F.coalesce("d", F.lit(1.0)).alias("high"), F.coalesce("linked", F.lit(False)).alias("linked"))
 
 
 def _live(regions: DataFrame, comp: DataFrame | None) -> DataFrame:
-    """Regions (region, x) that hold two components, one of those with equal members."""
+    """(region, x, n, component, size): regions that hold two components, one of those with equal members."""
+    own = F.col("x")
     if comp is not None:
-        regions = regions.join(comp.withColumnsRenamed({"id": "x"}), "x", "left").withColumn("component", F.coalesce("component", "x"))
-    else:
-        regions = regions.withColumn("component", F.col("x"))
-    members = F.bit_xor(F.xxhash64("x"))
+        regions = regions.join(comp.withColumnsRenamed({"id": "x"}), "x", "left")
+        own = F.coalesce("component", "x")
+    regions = regions.withColumn("component", own)
     per = regions.groupBy("region").agg(
-        F.min("component").alias("lo"), F.max("component").alias("hi"), members.alias("members"), F.count("*").alias("n")
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.bit_xor(F.xxhash64("x")).alias("members"), F.count("*").alias("size")
     )
-    one = per.where("lo < hi").groupBy("members", "n", "lo", "hi").agg(F.min("region").alias("region"))
-    one = written(one.select("region"), "jj-live")
-    return written(regions.join(one, "region", "left_semi").select("region", "x"), "jj-regions")
+    one = per.where("lo < hi").groupBy("members", "size", "lo", "hi").agg(F.min("region").alias("region"))
+    one = written(one.select("region", "size"), "jj-live")
+    return written(regions.join(one, "region").select("region", "x", "n", "component", "size"), "jj-regions")
+
 
+def _level(regions: DataFrame, level: int, sets: DataFrame, texts: DataFrame, words: int, percent: int):
+    """Joins small regions, and measures those of large ones against pivots: (links, next regions).
 
-def _level(regions: DataFrame, level: int, sizes: DataFrame, texts: DataFrame, words: int, percent: int):
-    """Measures every document of each region against the region's pivots: (links, next regions)."""
+    A component has at most one pivot in a region, so a document lacks the distance to one
+    pivot at most, that of its own component; it goes to that pivot's region in any case.
+    """
     r, q = (100 - percent) / 100 + 1e-9, 4**level
-    slot = F.pmod(F.xxhash64(F.lit(level), "x"), F.lit(q))
-    pivots = regions.groupBy("region", slot.alias("slot")).agg(F.min("x").alias("p")).select("region", "p")
-    pivots = written(pivots, "jj-pivots")
-    met = regions.join(pivots, "region").where("x <> p")
-    pairs = met.select("x", "p").distinct()
-    pairs = pairs.join(sizes.withColumnsRenamed({"doc": "x", "n": "n_x"}), "x").join(sizes.withColumnsRenamed({"doc": "p", "n": "n_p"}), "p")
-    pairs = written(pairs.where(F.least("n_x", "n_p") * 100 >= F.greatest("n_x", "n_p") * percent).select("x", "p"), "jj-pairs")
-    found = measure(pairs, texts, words)
-    union = F.col("n_x") + F.col("n_p") - F.col("both")
-    links = found.where(F.col("both") * 100 >= union * percent).select(F.col("x").alias("a"), F.col("p").alias("b"))
-    # Pairs of unlike size were not measured: their distance is between r and 1.
-    known = found.select("x", "p", (1 - F.col("both") / union).alias("d"))
-    met = met.join(known, ["x", "p"], "left").withColumns({"low": F.coalesce("d", F.lit(r)), "high": F.coalesce("d", F.lit(1.0))})
-    per = met.groupBy("region", "x").agg(
+    alike = F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent
+    other = [F.col("x").alias("p"), F.col("n").alias("pn"), F.col("component").alias("pc")]
+    direct = DIRECT * 4 ** (level - 1)  # what pivots have not made smaller is joined at last
+    small, large = regions.where(F.col("size") <= direct), regions.where(F.col("size") > direct)
+    pairs = small.join(small.select("region", *other), "region").where("x < p and component <> pc").where(alike).select("x", "p")
+    slot = F.pmod(F.xxhash64(F.lit(level), "component"), F.lit(q))
+    pivots = large.groupBy("region", slot.alias("slot")).agg(F.min(F.struct("x", "n", "component")).alias("s"))
+    pivots = written(pivots.select("region", "s.*").select("region", *other), "jj-pivots")
+    met = large.join(pivots, "region").where("x <> p")
+    pairs = pairs.union(met.where("component <> pc").where(alike).select("x", "p")).distinct()
+    found = written(measure(pairs, sets, texts, words, percent), "jj-found")
+    links = found.where("linked").select(F.col("x").alias("a"), F.col("p").alias("b"))
+
+    unlike = F.when(alike, 0.0).otherwise(1 - F.least("n", "pn") / F.greatest("n", "pn"))
+    met = met.join(found.select("x", "p", "low", "high"), ["x", "p"], "left")
+    met = met.withColumns({"low": F.coalesce("low", unlike), "high": F.coalesce("high", F.lit(1.0))})
+    per = met.groupBy("region", "x", "n").agg(
         F.min("low").alias("low"), F.min("high").alias("high"), F.collect_list(F.struct("p", "low")).alias("to")
     )
-    rest = per.join(pivots.withColumnsRenamed({"p": "x"}), ["region", "x"], "left_anti")
-    near = rest.where(F.col("low") < 3 * r).select(
-        "region", "x", F.explode(F.filter("to", lambda t: t["low"] <= F.col("high") + 2 * r)["p"]).alias("p")
-    )
-    children = near.select(F.xxhash64("region", "p").alias("region"), "x").union(
-        rest.where(F.col("high") >= 2 * r).select(F.xxhash64("region", F.lit(FAR)).alias("region"), "x")
-    )
-    return links, children
+    rest = per.join(pivots.select("region", F.col("p").alias("x")), ["region", "x"], "left_anti")
+    far = rest.where(F.col("high") >= 2 * r).select(F.xxhash64("region", F.lit(FAR)).alias("region"), "x", "n")
+    # A pivot's own region is only needed where a document lies so near that it is not in the far one.
+    close = F.filter("to", lambda t: (t["low"] <= F.col("high") + 2 * r) & (t["low"] < 3 * r))
+    near = rest.where(F.col("low") < 3 * r).select("region", "x", "n", (F.col("high") < 2 * r).alias("inner"), F.explode(close["p"]).alias("p"))
+    needed = near.where("inner").select("region", "p").distinct()
+    near = near.join(needed, ["region", "p"], "left_semi")
+    return links, far.union(near.select(F.xxhash64("region", "p").alias("region"), "x", "n"))
+
+
+def _joined(comp: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components after more links: found among the old components, which the links join."""
+    if comp is None:
+        return written(components(links), "jj-components")
+    old = comp.withColumnsRenamed({"id": "_id", "component": "_c"})
+    ends = links.join(old, F.col("a") == F.col("_id"), "left").select(F.coalesce("_c", "a").alias("a"), "b")
+    ends = ends.join(old, F.col("b") == F.col("_id"), "left").select("a", F.coalesce("_c", "b").alias("b"))
+    new = written(components(ends.distinct()), "jj-joined")
+    top = new.withColumnsRenamed({"id": "_c", "component": "_new"})
+    moved = old.join(top, "_c", "left").select(F.col("_id").alias("id"), F.coalesce("_new", "_c").alias("component"))
+    return written(moved.union(new.join(comp.select("id"), "id", "left_anti")), "jj-components")
 
 
 def jaccard_components(
@@ -250,36 +380,41 @@ def jaccard_components(
     * Fewer than ``words`` words make one shingle of the whole sequence.
     * A null id has component null and takes no part in links. Rows that repeat an id share a
       component, whatever their texts.
-    * Sets hold 64-bit hashes of shingles: a result is exact but for collisions of these.
+    * Sets hold 63-bit hashes of shingles: a result is exact but for collisions of these.
     """
-    texts = _texts(docs, id_col, text_col)
-    live_texts = texts.where(F.col("doc") != LAST_ID)
-    sets = written(shingle_sets(docs, id_col, text_col, words), "jj-sets")
-    has = sets.where(F.col("n") > 0).where(F.col("doc") != LAST_ID)
+    texts = _texts(docs, id_col, text_col).where(F.col("doc") != LAST_ID)
+    sets = written(shingle_sets(docs, id_col, text_col, words, percent), "jj-sets")
+    has = sets.where((F.col("n") > 0) & (F.col("doc") != LAST_ID))
     classes = written(has.groupBy("sig").agg(F.min("doc").alias("rep")), "jj-classes")
-    rows = written(sets.join(classes, "sig", "left").select("doc", "n", F.when(F.col("doc") != LAST_ID, F.col("rep")).alias("rep")), "jj-rows")
+    rows = sets.select("doc", "n", "sig").join(classes, "sig", "left").select("doc", "n", F.when(F.col("doc") != LAST_ID, F.col("rep")).alias("rep"))
+    rows = written(rows, "jj-rows")
     copies = written(rows.where("doc <> rep").select("doc").distinct(), "jj-copies")
-    sizes = rows.where("doc = rep").select("doc", "n").groupBy("doc").agg(F.max("n").alias("n"))
 
-    # Common shingles, from the cells by hash alone.
-    found = cells(live_texts, words, percent, np.empty(0, np.uint64), 0.05)
-    late = found.groupBy("cell").count().where(F.col("count") >= common).orderBy(F.desc("count"), "cell").limit(most_common)
-    late = np.sort(late.select("cell").toPandas()["cell"].to_numpy(np.int64).view(np.uint64))
-    found = cells(live_texts, words, percent, late)
-    shared = found.groupBy("cell").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("cell")
-    members = found.join(written(shared, "jj-cells"), "cell", "left_semi").join(copies, "doc", "left_anti")
-    regions = _live(members.select(F.col("cell").alias("region"), F.col("doc").alias("x")).distinct(), None)
+    # Cells by hash alone; the commonest of them come last, and others take their places.
+    enters = F.col("n") - F.ceil(F.col("n") * percent / 100.0 - 1e-9) + 1
+    plain = has.select("doc", F.explode(F.slice("heads", F.lit(1), enters.cast("int"))).alias("cell"))
+    full = written(plain.groupBy("cell").agg(F.count("*").alias("n"), F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("cell", "n"), "jj-cells")
+    late = written(full.where(F.col("n") >= common).orderBy(F.desc("n"), "cell").limit(most_common).select("cell"), "jj-late")
+    values = np.sort(late.toPandas()["cell"].to_numpy(np.int64))
+    later = written(_later_cells(has, texts, words, percent, values), "jj-later-cells")
+    late = F.broadcast(late)  # at most ``most_common`` rows
+    shared = written(full.join(late, "cell", "left_anti").select("cell").union(later.select("cell")).distinct(), "jj-shared")
+    members = plain.join(late, "cell", "left_anti").join(shared, "cell", "left_semi").unionByName(later).join(copies, "doc", "left_anti")
+    # Size bands: linked sets are of one band or of neighbours.
+    sized = members.distinct().join(rows.where("doc = rep").select("doc", "n").distinct(), "doc")
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9)
+    sized = sized.select("cell", "doc", "n", F.explode(F.array(band, band - 1)).alias("band"))
+    regions = _live(sized.select(F.xxhash64("cell", "band").alias("region"), F.col("doc").alias("x"), "n").distinct(), None)
 
     # Rows of one id with different texts belong together.
     own = rows.where("rep is not null").groupBy("doc").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
-    links = rows.join(own, "doc").where("rep <> lo").select(F.col("lo").alias("a"), F.col("rep").alias("b"))
-    links = written(links.distinct(), "jj-links")
-    level, comp = 0, components(links)
+    links = rows.join(own, "doc").where("rep <> lo").select(F.col("lo").alias("a"), F.col("rep").alias("b")).distinct()
+    links, comp, level = written(links, "jj-links"), None, 1
     while regions.limit(1).count():
-        more, children = _level(regions, level, sizes, live_texts, words, percent)
-        links = written(links.union(more), "jj-links")
-        comp = written(components(links), "jj-components")
+        more, children = _level(regions, level, has, texts, words, percent)
+        comp = _joined(comp, links.union(more) if comp is None else more)
         regions, level = _live(children.distinct(), comp), level + 1
+    comp = comp if comp is not None else components(links)
     out = rows.join(comp.withColumnsRenamed({"id": "rep"}), "rep", "left")
     alone = F.when(F.col("doc") != LAST_ID, F.coalesce("component", "rep", "doc"))
     return out.select(
