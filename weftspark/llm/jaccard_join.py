@@ -8,20 +8,24 @@ into them. Three facts about texts shape the operator.
 1. Unrelated texts have distance 1, so no document is a useful first pivot for them. The first
    level takes single shingles as pivots: a document lies in the cells of shingles that it
    holds, and r says into how many it must be copied, its first n - ceil((1 - r) n) + 1 in one
-   order for all. Every linked pair then meets in a cell. Shingles of many documents come last
-   in that order, so a passage that a third of all documents quote makes no cell of them all.
+   order for all. Every linked pair then meets in a cell. Shingles found in many cells come last
+   in that order, the commonest at the very end, so a passage that a third of all documents
+   quote makes no cell of them all. What takes their places is counted again, round by round.
 2. Documents with equal sets are one class, joined by the representative of least id.
 3. Set sizes are distances to the empty set: a window of one size band on each side splits
-   every cell. Regions of at most DIRECT documents are joined. In larger ones, 4, 16, 64... documents of different components become pivots, level
-   by level, and documents of other components are measured against them; pivots are done then.
+   every cell. Regions of at most DIRECT documents are joined. In larger ones, 4, 16, 64...
+   documents of different components become pivots, level by level, and documents of other
+   components are measured against them; pivots are done then.
    The others go to the Voronoi region of their nearest pivot and, within the window, to
-   neighbours; those far from all pivots share one far region. Regions whose documents are in
+   neighbours; regions whose pivots turned out to be in one component are one region, and
+   documents far from all pivots share one far region. Regions whose documents are in
    one component are dropped, and so are regions with the same members as another. The
    recursion ends when none is left.
 
-A pair is first measured on the least hashes of both sets: what they share there, and all that
-they could share beyond, bounds the similarity from above. Only pairs that pass are measured
-on their whole sets, made again from the texts. Links and components stay distributed.
+Every document carries a bitmap with the parity of its hashes in up to MOST_BITS slots. Each bit
+in which two bitmaps differ stands for one shingle at least that only one of the sets holds,
+which bounds the distance from below where the region is joined. Only pairs that pass are
+measured on their whole sets, made again from the texts. Links and components stay distributed.
 """
 
 from __future__ import annotations
@@ -29,12 +33,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftspark.llm.shared import LAST_ID, SPACE, written
+from weftspark.llm.shared import LAST_ID, SPACE, Scratch
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0xB4E35F8D2C6A9713)
@@ -46,7 +51,11 @@ SLICE_BYTES = 4 << 20
 SENT_IDS = 1_000_000
 FAR = "far"
 #: Regions of so many documents are joined directly at the first level; four times as many at each next.
-DIRECT = 32
+DIRECT = 8
+#: Slots of a bitmap: the power of two from twice the set's size on, but at most so many.
+MOST_BITS = 8192
+#: Rounds in which cells that came in place of common ones are counted and may come last, too.
+ROUNDS = 5
 #: Share of a set by which ``heads`` goes beyond the cells.
 SLACK = 0.05
 
@@ -130,14 +139,32 @@ class Shingler:
         return (out >> np.uint64(1)).view(np.int64)
 
 
-def _first(hashes: np.ndarray, late: np.ndarray, n: int) -> np.ndarray:
-    """The first ``n`` shingles in the order of all documents: common ones last."""
-    if len(late):
-        at = np.searchsorted(late, hashes)
-        at[at == len(late)] = 0
-        common = late[at] == hashes
-        hashes = np.concatenate([hashes[~common], hashes[common]])
-    return hashes[:n]
+class Late:
+    """The common shingles (sorted) with their place at the end of the order of all documents."""
+
+    def __init__(self, cells: np.ndarray, counts: np.ndarray) -> None:
+        by_cell = np.argsort(cells)
+        self.cells = cells[by_cell]
+        self.place = np.empty(len(cells), np.int64)
+        self.place[np.lexsort((cells, counts))] = np.arange(1, len(cells) + 1)
+        self.place = self.place[by_cell]
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        """0 for a shingle that is not common, else its place among the common ones from 1 on."""
+        at = np.minimum(np.searchsorted(self.cells, hashes), len(self.cells) - 1)
+        return np.where(self.cells[at] == hashes, self.place[at], 0)
+
+
+def parities(sets: list[np.ndarray]) -> pa.ListArray:
+    """For each set, 64-bit words of the parity of its hashes by slot."""
+    slots = np.array([min(max(128, 2 << max(len(s) - 1, 0).bit_length()), MOST_BITS) for s in sets], np.int64)
+    ends = np.cumsum(slots)
+    flat = np.concatenate(sets) if sets else np.empty(0, np.int64)
+    sizes = [len(s) for s in sets]
+    at = np.repeat(ends - slots, sizes) + (flat & np.repeat(slots - 1, sizes))
+    odd = (np.bincount(at, minlength=int(slots.sum())) & 1).astype(np.uint8)
+    words = np.packbits(odd, bitorder="little").view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, ends // 64], pa.int32()), pa.array(words))
 
 
 def _over(total: int, percent: int) -> int:
@@ -165,20 +192,21 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(at), pa.array(flat))
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(id, component): the least id that the links (a, b) reach, for every id in a link.
 
     Alternates large-star and small-star steps (Kiveris et al., 2014) on written tables.
     """
-    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "cc")
+    scratch = scratch or Scratch(links.sparkSession, "components")
+    edges = scratch.keep(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "cc")
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = written(large, "cc-large")
+        large = scratch.keep(large, "cc-large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = written(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "cc-small")
+        edges = scratch.keep(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "cc-small")
         # Stars at last: no node has two edges, and no centre has one upward.
         ends = edges.select("u", F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)).distinct())
         if not ends.groupBy("u").agg(F.sum("up").alias("up"), F.sum("down").alias("down")).where("up > 1 or (up > 0 and down > 0)").limit(1).count():
@@ -194,33 +222,29 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """(doc, n, sig, heads): id, set size, 128-bit signature (null for an empty set) and the least
-    hashes: those of the cells, and SLACK of the set more."""
+    """(doc, n, sig, heads, bits): id, set size, 128-bit signature (null for an empty set), the
+    least hashes (those of the cells, and SLACK of the set more) and the bitmap."""
 
     def make(part, sets):
         sig = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
         heads = _lists([s[: _over(len(s), percent) + int(SLACK * len(s))] for s in sets])
-        columns = [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sig, pa.binary()), heads]
-        return pa.RecordBatch.from_arrays(columns, names=["doc", "n", "sig", "heads"])
+        columns = [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sig, pa.binary()), heads, parities(sets)]
+        return pa.RecordBatch.from_arrays(columns, names=["doc", "n", "sig", "heads", "bits"])
 
-    return _map_texts(_texts(docs, id_col, text_col), words, "doc long, n long, sig binary, heads array<long>", make)
+    return _map_texts(_texts(docs, id_col, text_col), words, "doc long, n long, sig binary, heads array<long>, bits array<long>", make)
 
 
-def _later_cells(sets: DataFrame, texts: DataFrame, words: int, percent: int, late: np.ndarray) -> DataFrame:
-    """(doc, cell): cells that documents enter in place of late ones.
+def _later_cells(scratch: Scratch, sets: DataFrame, texts: DataFrame, words: int, percent: int, late: Late) -> DataFrame:
+    """(doc, cell): cells that documents enter in place of late ones, which may be late themselves.
 
     Mostly the next hashes of ``heads`` do; where these do not reach, the whole set is made.
     """
     held = sets.sparkSession.sparkContext.broadcast(late)
 
-    def common(hashes: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(held.value, hashes), len(held.value) - 1)
-        return held.value[at] == hashes
-
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat, at = batch.column(2).flatten().to_numpy(), batch.column(2).offsets.to_numpy() - batch.column(2).offsets[0].as_py()
-            is_late, out, short = common(flat), [], []
+            is_late, out, short = held.value.of(flat) > 0, [], []
             for i, n in enumerate(batch.column(1).to_pylist()):
                 k, lo, hi = _over(n, percent), at[i], at[i + 1]
                 new = np.empty(0, np.int64)
@@ -237,67 +261,73 @@ def _later_cells(sets: DataFrame, texts: DataFrame, words: int, percent: int, la
         out = []
         for s in sets:
             k = _over(len(s), percent)
-            first = _first(s, held.value, k)
-            out.append(np.setdiff1d(first, s[:k][~common(s[:k])], assume_unique=True))
+            place = held.value.of(s)
+            first = np.argsort(place, kind="stable")[:k]
+            out.append(s[first[(first >= k) | (place[first] > 0)]])
         return pa.RecordBatch.from_arrays([part.column(0), _lists(out)], names=["doc", "cells"])
 
-    if not len(late):
-        return sets.where("false").select("doc", F.lit(0).cast("long").alias("cell"))
-    found = written(sets.select("doc", "n", "heads").mapInArrow(near, "doc long, cells array<long>, short boolean").where("short or size(cells) > 0"), "jj-later")
-    rest = _map_texts(_pick(texts, found.where("short").select("doc")), words, "doc long, cells array<long>", far)
+    found = sets.select("doc", "n", "heads").mapInArrow(near, "doc long, cells array<long>, short boolean").where("short or size(cells) > 0")
+    found = scratch.keep(found, "later")
+    rest = _map_texts(_pick(scratch, texts, found.where("short").select("doc")), words, "doc long, cells array<long>", far)
     return found.where("not short").select("doc", "cells").union(rest).select("doc", F.explode("cells").alias("cell"))
 
 
-def _pick(texts: DataFrame, ids: DataFrame) -> DataFrame:
+def _pick(scratch: Scratch, texts: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of ``texts`` with one of the ids; these are broadcast while they are few."""
-    ids = written(ids.distinct(), "jj-picked")
+    ids = scratch.keep(ids.distinct(), "picked")
     return texts.join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, "doc", "left_semi")
 
 
-def measure(pairs: DataFrame, sets: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """(x, p, low, high): bounds of the distance of pairs (x, p); equal where it was measured.
+def least_distance(n: str, bits: str, other_n: str, other_bits: str) -> Column:
+    """A lower bound of the distance of two sets from their bitmaps, for sizes within a factor of 2.
 
-    ``low`` is exact arithmetic on the least hashes; pairs whose ``low`` allows a link are
-    measured on their whole sets.
+    With h shingles in one set only and m in both sizes together, the distance is 2h / (m + h).
     """
-    r = (100 - percent) / 100
-    side = lambda c: sets.select(F.col("doc").alias(c), F.col("n").alias(f"n_{c}"), F.col("heads").alias(f"h_{c}"))
-    top = F.least(F.element_at("h_x", -1), F.element_at("h_p", -1))
-    beyond = lambda c: F.col(f"n_{c}") - F.size(F.filter(f"h_{c}", lambda h: h <= F.col("top")))
-    wanted = F.least("n_x", "n_p") * 100 >= F.greatest("n_x", "n_p") * percent
-    rows = pairs.join(side("x"), "x").join(side("p"), "p").withColumn("top", top)
-    most = F.least(F.size(F.array_intersect("h_x", "h_p")) + F.least(beyond("x"), beyond("p")), F.col("n_x"), F.col("n_p"))
-    rows = rows.select("x", "p", "n_x", "n_p", F.when(wanted, most).otherwise(F.least("n_x", "n_p")).alias("most"))
-    low = 1 - F.col("most") / (F.col("n_x") + F.col("n_p") - F.col("most"))
-    # Rows that repeat an id give a pair more than one bound; the least counts.
-    rows = rows.groupBy("x", "p").agg(F.min(F.greatest(low, F.lit(0.0))).alias("low"))
-    rows = written(rows, "jj-bounds")
-    near = rows.where(F.col("low") <= r + 1e-9).select("x", "p")
+    half = lambda a: F.zip_with(  # noqa: E731  what the bitmap of half as many slots is
+        F.slice(a, F.lit(1), (F.size(a) / 2).cast("int")),
+        F.slice(a, (F.size(a) / 2).cast("int") + 1, (F.size(a) / 2).cast("int")),
+        lambda u, v: u.bitwiseXOR(v),
+    )
+    a, b = F.col(bits), F.col(other_bits)
+    x = F.when(F.size(a) > F.size(b), half(a)).otherwise(a)
+    y = F.when(F.size(b) > F.size(a), half(b)).otherwise(b)
+    h = F.aggregate(F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda acc, v: acc + v)
+    return 2 * h / (F.col(n) + F.col(other_n) + h)
+
+
+def measure(scratch: Scratch, pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(x, p, d, linked): distance and link of pairs (x, p), from their whole sets."""
 
     def make(part, sets):
         return pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc", "set"])
 
-    picked = _pick(texts, near.select(F.col("x").alias("doc")).union(near.select("p")))
-    whole = written(_map_texts(picked, words, "doc long, set binary", make), "jj-whole")
-    both = near.join(whole.withColumnsRenamed({"doc": "x", "set": "s_x"}), "x").join(whole.withColumnsRenamed({"doc": "p", "set": "s_p"}), "p")
+    picked = _pick(scratch, texts, pairs.select(F.col("x").alias("doc")).union(pairs.select("p")))
+    whole = scratch.keep(_map_texts(picked, words, "doc long, set binary", make), "whole")
+    both = pairs.join(whole.withColumnsRenamed({"doc": "x", "set": "s_x"}), "x").join(whole.withColumnsRenamed({"doc": "p", "set": "s_p"}), "p")
 
     def run(batches):
         for batch in batches:
             sides = [[np.frombuffer(v, np.int64) for v in batch.column(i).to_pylist()] for i in (2, 3)]
-            shared = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*sides, strict=True)]
+            shared = [len(x) + len(y) - len(_merged(x, y)) for x, y in zip(*sides, strict=True)]
             union = [len(x) + len(y) - s for x, y, s in zip(*sides, shared, strict=True)]
-            linked = [100 * s >= percent * u for s, u in zip(shared, union, strict=True)]
-            apart = pa.array([1 - s / u for s, u in zip(shared, union, strict=True)], pa.float64())
+            linked = [100 * s >= percent * u > 0 for s, u in zip(shared, union, strict=True)]
+            apart = pa.array([1 - s / max(u, 1) for s, u in zip(shared, union, strict=True)], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), apart, pa.array(linked, pa.bool_())], names=["x", "p", "d", "linked"])
 
     exact = both.select("x", "p", "s_x", "s_p").mapInArrow(run, "x long, p long, d double, linked boolean")
-    exact = written(exact, "jj-measured").groupBy("x", "p").agg(F.min("d").alias("d"), F.max("linked").alias("linked"))
-    out = rows.join(exact, ["x", "p"], "left")
-    return out.select("x", "p", F.coalesce("d", "low").alias("low"), F.coalesce("d", F.lit(1.0)).alias("high"), F.coalesce("linked", F.lit(False)).alias("linked"))
+    # Rows that repeat an id give a pair more than one distance; the least counts.
+    return scratch.keep(exact, "measured").groupBy("x", "p").agg(F.min("d").alias("d"), F.max("linked").alias("linked"))
+
 
+def _merged(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The union of two sorted sets; sorting two runs is a merge."""
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    return both[np.r_[True, both[1:] != both[:-1]]] if len(both) else both
 
-def _live(regions: DataFrame, comp: DataFrame | None) -> DataFrame:
-    """(region, x, n, component, size): regions that hold two components, one of those with equal members."""
+
+def _live(scratch: Scratch, regions: DataFrame, comp: DataFrame | None, sets: DataFrame) -> DataFrame:
+    """(region, x, n, bits, component, size): regions that hold two components, one of those with equal members."""
     own = F.col("x")
     if comp is not None:
         regions = regions.join(comp.withColumnsRenamed({"id": "x"}), "x", "left")
@@ -307,57 +337,71 @@ def _live(regions: DataFrame, comp: DataFrame | None) -> DataFrame:
         F.min("component").alias("lo"), F.max("component").alias("hi"), F.bit_xor(F.xxhash64("x")).alias("members"), F.count("*").alias("size")
     )
     one = per.where("lo < hi").groupBy("members", "size", "lo", "hi").agg(F.min("region").alias("region"))
-    one = written(one.select("region", "size"), "jj-live")
-    return written(regions.join(one, "region").select("region", "x", "n", "component", "size"), "jj-regions")
+    one = one.select("region", "size")
+    kept = regions.join(one, "region").select("region", "x", "n", "component", "size")
+    kept = kept.join(sets.select(F.col("doc").alias("x"), "n", "bits"), ["x", "n"])
+    return scratch.keep(kept.select("region", "x", "n", "bits", "component", "size"), "regions")
+
 
+def _level(scratch: Scratch, regions: DataFrame, level: int, texts: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Joins small regions, and measures those of large ones against pivots: (links, met).
 
-def _level(regions: DataFrame, level: int, sets: DataFrame, texts: DataFrame, words: int, percent: int):
-    """Joins small regions, and measures those of large ones against pivots: (links, next regions).
+    ``met`` has a row for each document and pivot of a large region: (region, x, n, p, low, high).
 
     A component has at most one pivot in a region, so a document lacks the distance to one
     pivot at most, that of its own component; it goes to that pivot's region in any case.
     """
     r, q = (100 - percent) / 100 + 1e-9, 4**level
     alike = F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent
-    other = [F.col("x").alias("p"), F.col("n").alias("pn"), F.col("component").alias("pc")]
+    low = F.when(alike, F.coalesce(least_distance("n", "bits", "pn", "pbits"), F.lit(0.0))).otherwise(1 - F.least("n", "pn") / F.greatest("n", "pn"))
+    other = [F.col("x").alias("p"), F.col("n").alias("pn"), F.col("bits").alias("pbits"), F.col("component").alias("pc")]
     direct = DIRECT * 4 ** (level - 1)  # what pivots have not made smaller is joined at last
     small, large = regions.where(F.col("size") <= direct), regions.where(F.col("size") > direct)
-    pairs = small.join(small.select("region", *other), "region").where("x < p and component <> pc").where(alike).select("x", "p")
+    pairs = small.join(small.select("region", *other), "region").where("x < p and component <> pc").where(alike & (low <= r)).select("x", "p")
     slot = F.pmod(F.xxhash64(F.lit(level), "component"), F.lit(q))
-    pivots = large.groupBy("region", slot.alias("slot")).agg(F.min(F.struct("x", "n", "component")).alias("s"))
-    pivots = written(pivots.select("region", "s.*").select("region", *other), "jj-pivots")
-    met = large.join(pivots, "region").where("x <> p")
-    pairs = pairs.union(met.where("component <> pc").where(alike).select("x", "p")).distinct()
-    found = written(measure(pairs, sets, texts, words, percent), "jj-found")
+    pivots = large.groupBy("region", slot.alias("slot")).agg(F.min(F.struct("x", "n", "bits", "component")).alias("s"))
+    pivots = scratch.keep(pivots.select("region", "s.*").select("region", *other), "pivots")
+    met = large.join(pivots, "region").where("x <> p").select("region", "x", "n", "p", F.when(F.col("component") == F.col("pc"), 0.0).otherwise(low).alias("low"), (F.col("component") != F.col("pc")).alias("apart"))
+    met = scratch.keep(met, "met")
+    pairs = scratch.keep(pairs.union(met.where(F.col("apart") & (F.col("low") <= r)).select("x", "p")).distinct(), "pairs")
+    found = scratch.keep(measure(scratch, pairs, texts, words, percent), "found")
     links = found.where("linked").select(F.col("x").alias("a"), F.col("p").alias("b"))
 
-    unlike = F.when(alike, 0.0).otherwise(1 - F.least("n", "pn") / F.greatest("n", "pn"))
-    met = met.join(found.select("x", "p", "low", "high"), ["x", "p"], "left")
-    met = met.withColumns({"low": F.coalesce("low", unlike), "high": F.coalesce("high", F.lit(1.0))})
-    per = met.groupBy("region", "x", "n").agg(
-        F.min("low").alias("low"), F.min("high").alias("high"), F.collect_list(F.struct("p", "low")).alias("to")
+    met = met.join(found.select("x", "p", "d"), ["x", "p"], "left")
+    return links, met.select("region", "x", "n", "p", F.coalesce("d", "low").alias("low"), F.coalesce("d", F.lit(1.0)).alias("high"))
+
+
+def _children(scratch: Scratch, met: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """(region, x, n): Voronoi regions of the pivots' components and the far regions, without the pivots."""
+    r = (100 - percent) / 100 + 1e-9
+    pivots = met.select("region", "p").distinct()
+    group = pivots.join(comp.withColumnsRenamed({"id": "p"}), "p", "left").select("region", "p", F.coalesce("component", "p").alias("c"))
+    per = met.join(group, ["region", "p"]).groupBy("region", "x", "n").agg(
+        F.min("low").alias("low"), F.min("high").alias("high"), F.collect_set(F.struct("c", "low")).alias("to")
     )
-    rest = per.join(pivots.select("region", F.col("p").alias("x")), ["region", "x"], "left_anti")
+    rest = per.join(pivots.withColumnRenamed("p", "x"), ["region", "x"], "left_anti")
+    rest = scratch.keep(rest, "rest")
     far = rest.where(F.col("high") >= 2 * r).select(F.xxhash64("region", F.lit(FAR)).alias("region"), "x", "n")
     # A pivot's own region is only needed where a document lies so near that it is not in the far one.
     close = F.filter("to", lambda t: (t["low"] <= F.col("high") + 2 * r) & (t["low"] < 3 * r))
-    near = rest.where(F.col("low") < 3 * r).select("region", "x", "n", (F.col("high") < 2 * r).alias("inner"), F.explode(close["p"]).alias("p"))
-    needed = near.where("inner").select("region", "p").distinct()
-    near = near.join(needed, ["region", "p"], "left_semi")
-    return links, far.union(near.select(F.xxhash64("region", "p").alias("region"), "x", "n"))
+    near = rest.where(F.col("low") < 3 * r)
+    near = near.select("region", "x", "n", (F.col("high") < 2 * r).alias("inner"), F.explode(F.array_distinct(close["c"])).alias("c"))
+    needed = near.where("inner").select("region", "c").distinct()
+    near = near.join(needed, ["region", "c"], "left_semi")
+    return far.union(near.select(F.xxhash64("region", "c").alias("region"), "x", "n"))
 
 
-def _joined(comp: DataFrame | None, links: DataFrame) -> DataFrame:
+def _joined(scratch: Scratch, comp: DataFrame | None, links: DataFrame) -> DataFrame:
     """Components after more links: found among the old components, which the links join."""
     if comp is None:
-        return written(components(links), "jj-components")
+        return scratch.keep(components(links, scratch), "components")
     old = comp.withColumnsRenamed({"id": "_id", "component": "_c"})
     ends = links.join(old, F.col("a") == F.col("_id"), "left").select(F.coalesce("_c", "a").alias("a"), "b")
     ends = ends.join(old, F.col("b") == F.col("_id"), "left").select("a", F.coalesce("_c", "b").alias("b"))
-    new = written(components(ends.distinct()), "jj-joined")
+    new = scratch.keep(components(ends.distinct(), scratch), "joined")
     top = new.withColumnsRenamed({"id": "_c", "component": "_new"})
     moved = old.join(top, "_c", "left").select(F.col("_id").alias("id"), F.coalesce("_new", "_c").alias("component"))
-    return written(moved.union(new.join(comp.select("id"), "id", "left_anti")), "jj-components")
+    return scratch.keep(moved.union(new.join(comp.select("id"), "id", "left_anti")), "components")
 
 
 def jaccard_components(
@@ -366,7 +410,7 @@ def jaccard_components(
     text_col: str = "text",
     words: int = 5,
     percent: int = 80,
-    common: int = 32,
+    common: int = 16,
     most_common: int = 200_000,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``.
@@ -382,39 +426,60 @@ def jaccard_components(
       component, whatever their texts.
     * Sets hold 63-bit hashes of shingles: a result is exact but for collisions of these.
     """
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "jaccard")
     texts = _texts(docs, id_col, text_col).where(F.col("doc") != LAST_ID)
-    sets = written(shingle_sets(docs, id_col, text_col, words, percent), "jj-sets")
+    sets = scratch.keep(shingle_sets(docs, id_col, text_col, words, percent), "sets")
     has = sets.where((F.col("n") > 0) & (F.col("doc") != LAST_ID))
-    classes = written(has.groupBy("sig").agg(F.min("doc").alias("rep")), "jj-classes")
+    classes = scratch.keep(has.groupBy("sig").agg(F.min("doc").alias("rep")), "classes")
     rows = sets.select("doc", "n", "sig").join(classes, "sig", "left").select("doc", "n", F.when(F.col("doc") != LAST_ID, F.col("rep")).alias("rep"))
-    rows = written(rows, "jj-rows")
-    copies = written(rows.where("doc <> rep").select("doc").distinct(), "jj-copies")
+    rows = scratch.keep(rows, "rows")
+    copies = scratch.keep(rows.where("doc <> rep").select("doc").distinct(), "copies")
 
     # Cells by hash alone; the commonest of them come last, and others take their places.
+    reps = scratch.keep(has.join(copies, "doc", "left_anti").select("doc", "n", "heads", "bits"), "reps")
+    scratch.drop("sets")
     enters = F.col("n") - F.ceil(F.col("n") * percent / 100.0 - 1e-9) + 1
-    plain = has.select("doc", F.explode(F.slice("heads", F.lit(1), enters.cast("int"))).alias("cell"))
-    full = written(plain.groupBy("cell").agg(F.count("*").alias("n"), F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("cell", "n"), "jj-cells")
-    late = written(full.where(F.col("n") >= common).orderBy(F.desc("n"), "cell").limit(most_common).select("cell"), "jj-late")
-    values = np.sort(late.toPandas()["cell"].to_numpy(np.int64))
-    later = written(_later_cells(has, texts, words, percent, values), "jj-later-cells")
-    late = F.broadcast(late)  # at most ``most_common`` rows
-    shared = written(full.join(late, "cell", "left_anti").select("cell").union(later.select("cell")).distinct(), "jj-shared")
-    members = plain.join(late, "cell", "left_anti").join(shared, "cell", "left_semi").unionByName(later).join(copies, "doc", "left_anti")
+    plain = reps.select("doc", F.explode(F.slice("heads", F.lit(1), enters.cast("int"))).alias("cell"))
+    full = scratch.keep(plain.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"), "cells")
+    most = lambda cells: cells.where(F.col("n") >= common).orderBy(F.desc("n"), "cell").limit(most_common).toPandas()
+    late, later = most(full), None
+    for _ in range(ROUNDS if len(late) else 0):
+        order = Late(late["cell"].to_numpy(np.int64), late["n"].to_numpy(np.int64))
+        later = scratch.keep(_later_cells(scratch, reps, texts, words, percent, order), "later-cells")
+        again = later.groupBy("cell").agg(F.count("*").alias("more")).where("more > 1").join(full, "cell", "left")
+        known = F.broadcast(spark.createDataFrame(late[["cell"]]))  # at most ``most_common`` rows
+        again = most(again.join(known, "cell", "left_anti").select("cell", (F.col("more") + F.coalesce("n", F.lit(0))).alias("n")))
+        again = again[: max(0, most_common - len(late))]
+        if not len(again):
+            break
+        late = pd.concat([late, again], ignore_index=True)
+    if later is None:
+        members = plain.join(full, "cell", "left_semi")
+    else:
+        gone = F.broadcast(spark.createDataFrame(pd.DataFrame({"cell": order.cells})))
+        members = plain.join(gone, "cell", "left_anti").unionByName(later)
+        twice = later.join(full, "cell", "left_anti").select("cell").distinct()
+        members = members.join(scratch.keep(full.select("cell").union(twice), "shared"), "cell", "left_semi")
     # Size bands: linked sets are of one band or of neighbours.
     sized = members.distinct().join(rows.where("doc = rep").select("doc", "n").distinct(), "doc")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9)
     sized = sized.select("cell", "doc", "n", F.explode(F.array(band, band - 1)).alias("band"))
-    regions = _live(sized.select(F.xxhash64("cell", "band").alias("region"), F.col("doc").alias("x"), "n").distinct(), None)
+    first = sized.select(F.xxhash64("cell", "band").alias("region"), F.col("doc").alias("x"), "n").distinct()
+    regions = _live(scratch, scratch.keep(first, "first"), None, reps)
+    scratch.drop("first", "cells", "later", "later-cells", "shared", "picked")
 
     # Rows of one id with different texts belong together.
     own = rows.where("rep is not null").groupBy("doc").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
     links = rows.join(own, "doc").where("rep <> lo").select(F.col("lo").alias("a"), F.col("rep").alias("b")).distinct()
-    links, comp, level = written(links, "jj-links"), None, 1
+    links, comp, level = scratch.keep(links, "links"), None, 1
     while regions.limit(1).count():
-        more, children = _level(regions, level, has, texts, words, percent)
-        comp = _joined(comp, links.union(more) if comp is None else more)
-        regions, level = _live(children.distinct(), comp), level + 1
-    comp = comp if comp is not None else components(links)
+        more, met = _level(scratch, regions, level, texts, words, percent)
+        comp = _joined(scratch, comp, links.union(more) if comp is None else more)
+        children = scratch.keep(_children(scratch, met, comp, percent).distinct(), "children")
+        regions, level = _live(scratch, children, comp, reps), level + 1
+        scratch.drop("children", "rest", "met", "found", "measured", "whole", "pairs", "pivots", "cc", "cc-large", "cc-small", "joined")
+    comp = comp if comp is not None else components(links, scratch)
     out = rows.join(comp.withColumnsRenamed({"id": "rep"}), "rep", "left")
     alone = F.when(F.col("doc") != LAST_ID, F.coalesce("component", "rep", "doc"))
     return out.select(

@@ -41,6 +41,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Written tables of one run, in a folder of its own, that can go before the run ends."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.folder = spark, fresh_path(spark, name)
+        self.paths: dict[str, list[str]] = {}
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` as a written table, see ``written``."""
+        path = f"{self.folder}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.paths.setdefault(name, []).append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Deletes the tables of these names, which nothing will read again."""
+        for name in names:
+            for path in self.paths.pop(name, []):
+                place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else; ``lower`` alone would fold other letters too."""
     plain = F.octet_length(text) == F.char_length(text)
