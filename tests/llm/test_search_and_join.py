@@ -140,6 +140,20 @@ def test_page_differencing_without_structure(spark):
     assert got[9] == ("", 0) and got[10] == ("alone", 5)
 
 
+def page_texts(spark, rows):
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return {r["page_id"]: r["text"] for r in page_text.main_text(df).collect()}
+
+
+def test_page_differencing_beside_and_inside_articles(spark):
+    page = "<body><h2>Own head {i}</h2><p>Call us today</p><div>Advert {i}</div><article><div>Share this</div><p>Text {i}</p><p>Same</p><div>Note {i}</div></article></body>"
+    got = page_texts(spark, [(i, f"http://h/{i}", page.replace("{i}", str(i))) for i in range(4)] + [(9, "http://lone/", page)])
+    assert got == {i: f"Own head {i}\nText {i}\nSame\nNote {i}" for i in range(4)} | {9: "Share this\nText {i}\nSame\nNote {i}"}
+    # One article on two pages: what they share in it stays.
+    twice = "<nav>{i}</nav><div class='content'>One<br>two <div>three</div></div>"
+    assert set(page_texts(spark, [(i, f"http://h/{i}", twice.replace("{i}", str(i))) for i in range(3)]).values()) == {"One two\nthree"}
+
+
 def test_page_articles_that_copies_share_stay(spark):
     html = PAGE.replace("{body}", "<article><p>Same text</p></article>")
     df = spark.createDataFrame([(i, f"http://h/{i // 2}", html) for i in range(5)], "page_id long, url string, html string")

@@ -5,10 +5,12 @@ their URL paths, and each is paired with the neighbour whose path is nearest; th
 common subsequence of the two pages' lines is what their template shares, and those lines go.
 
 Differencing alone is wrong in two ways on real pages: it deletes an article that two pages
-hold, and keeps an advert that changes from page to page. So structure has the first word:
-lines inside navigation, headers, footers, asides, forms, notices, adverts and comments go
-anyway, and lines inside an article or main container stay anyway. Differencing decides on
-the lines of pages whose structure shows no article.
+hold, and keeps an advert that changes from page to page. So all pages are differenced, and
+structure is the check that follows. Lines inside navigation, headers, footers, asides, forms,
+notices, adverts and comments go anyway; paragraphs, headings, items and cells inside an article
+or main container stay anyway. Differencing decides on the other lines: all of a page without
+such a container; those inside one that are in no element for text (unless the two pages share
+most of it: then it is one article twice); and the headings and paragraphs beside one.
 
 Only line hashes, ids and paths move for the pairing. The order of a host's pages comes from a
 range sort with neighbours handed across partition ends, so a host with a third of all pages
@@ -49,7 +51,14 @@ ASIDE_WORDS = frozenset(
     "share sharing sidebar social sponsor sponsored subscribe toolbar widget masthead copyright alert contentinfo complementary search".split()
 )
 MAIN_WORDS = frozenset("article content post entry story main".split())
-KEEP, DROP, OPEN = 1, 0, 2
+#: Elements that hold text of their own, and those of them that can belong to an article they stand beside.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote".split())
+TEXT = PROSE | frozenset("li dt dd td th caption figcaption".split())
+#: What structure says of a line. Differencing decides on OPEN (no container on the page), INSIDE
+#: (in a container, but in no element for text) and BESIDE (prose of a page with a container).
+KEEP, DROP, OPEN, INSIDE, BESIDE = 1, 0, 2, 3, 4
+#: What stays where differencing has nothing to say.
+STAYS = frozenset((KEEP, OPEN, INSIDE))
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -83,8 +92,8 @@ def _role(name: str, attributes: str) -> int | None:
 
 
 def page_lines(page: str) -> list[tuple[str, int]]:
-    """The lines of a page in order, each with DROP, KEEP or OPEN (only where no line is KEEP)."""
-    lines: list[tuple[str, int]] = []
+    """The lines of a page in order, each with what structure says of it."""
+    lines: list[tuple[str, int, str]] = []  # text, state, block element
     held: list[str] = []
     stack: list[tuple[str, int, bool]] = []  # element, state inside, hidden inside
     state, hidden = OPEN, False
@@ -93,7 +102,7 @@ def page_lines(page: str) -> list[tuple[str, int]]:
         if held:
             text = _SPACE.sub(" ", "".join(held)).strip()
             if text:
-                lines.append((text, state))
+                lines.append((text, state, next((e[0] for e in reversed(stack) if e[0] in BLOCKS), "")))
             held.clear()
 
     at, end = 0, len(page)
@@ -148,9 +157,20 @@ def page_lines(page: str) -> list[tuple[str, int]]:
             else:
                 at = end
     flush()
-    if any(s == KEEP for _, s in lines):  # what stands beside an article is not of it
-        lines = [(t, DROP if s == OPEN else s) for t, s in lines]
-    return lines
+    if not any(s == KEEP for _, s, _ in lines):
+        return [(t, s) for t, s, _ in lines]
+    inside, beside = (KEEP, INSIDE), (BESIDE, DROP)
+    return [(t, s if s == DROP else inside[e not in TEXT] if s == KEEP else beside[e not in PROSE]) for t, s, e in lines]
+
+
+def turned_lines(states: bytes, shared: set[int]) -> list[int]:
+    """Places of lines that differencing turns: OPEN and INSIDE ones that go, BESIDE ones that stay."""
+    inside = [i for i, s in enumerate(states) if s in (KEEP, INSIDE)]
+    twice = 2 * sum(i in shared for i in inside) > len(inside)  # one article on both pages
+    return [
+        i for i, s in enumerate(states)
+        if (s == OPEN and i in shared) or (s == INSIDE and i in shared and not twice) or (s == BESIDE and i not in shared)
+    ]
 
 
 def common_lines(a: list[int], b: list[int]) -> set[int]:
@@ -189,20 +209,20 @@ def _keyed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFr
 
 
 def _lines_of(keyed: DataFrame) -> DataFrame:
-    """(row, host, path, hashes, open): line hashes of each page, and the places still open."""
+    """(row, host, path, hashes, states): line hashes of each page, and what structure says of the lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parsed = [page_lines(p.as_py()) for p in batch.column(3)]
             hashes = [[xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) - 2**63 for t, _ in lines] for lines in parsed]
-            open_ = [[i for i, (_, s) in enumerate(lines) if s == OPEN] for lines in parsed]
+            states = [bytes(s for _, s in lines) for lines in parsed]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(hashes, pa.list_(pa.int64())), pa.array(open_, pa.list_(pa.int32()))],
-                names=["row", "host", "path", "hashes", "open"],
+                [*batch.columns[:3], pa.array(hashes, pa.list_(pa.int64())), pa.array(states, pa.binary())],
+                names=["row", "host", "path", "hashes", "states"],
             )
 
     rows = keyed.select("_pt_row", "_pt_host", "_pt_path", "_pt_html")
-    return rows.mapInArrow(run, "row long, host string, path string, hashes array<long>, open array<int>")
+    return rows.mapInArrow(run, "row long, host string, path string, hashes array<long>, states binary")
 
 
 def nearest_pairs(lines: DataFrame) -> DataFrame:
@@ -239,18 +259,17 @@ def nearest_pairs(lines: DataFrame) -> DataFrame:
 
 
 def template_lines(lines: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(row, gone): places of open lines that a page shares with its nearest one, in order."""
-    unique = lines.select("row", "hashes", "open").dropDuplicates(["row"])
-    mine = unique.where(F.size("open") > 0).join(pairs, "row")
-    both = mine.join(unique.select(F.col("row").alias("other"), F.col("hashes").alias("theirs")), "other")
+    """(row, turned): each page differenced with its nearest one; the places of lines that this turns."""
+    unique = lines.select("row", "hashes", "states").dropDuplicates(["row"])
+    both = unique.join(pairs, "row").join(unique.select(F.col("row").alias("other"), F.col("hashes").alias("theirs")), "other")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, open_, b = (batch.column(i).to_pylist() for i in (1, 2, 3))
-            gone = [sorted(common_lines(x, y).intersection(o)) for x, o, y in zip(a, open_, b, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gone, pa.list_(pa.int32()))], names=["row", "gone"])
+            a, states, b = (batch.column(i).to_pylist() for i in (1, 2, 3))
+            turned = [turned_lines(s, common_lines(x, y)) for x, s, y in zip(a, states, b, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(turned, pa.list_(pa.int32()))], names=["row", "turned"])
 
-    return both.select("row", "hashes", "open", "theirs").mapInArrow(run, "row long, gone array<int>").where(F.size("gone") > 0)
+    return both.select("row", "hashes", "states", "theirs").mapInArrow(run, "row long, turned array<int>").where(F.size("turned") > 0)
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -261,23 +280,23 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     * A null or empty page has the text "". A null URL is of the host "" and path "".
     * Rows repeated whole are one page to the pairing and both get its text. Ids may be null.
-    * A host's only page has no partner: open lines stay.
+    * A host's only page has no partner: open lines stay, lines beside a container go.
     * Columns named ``text`` or ``n_chars`` are replaced. An empty table gives an empty table.
     """
     keyed = _keyed(pages, id_col, url_col, html_col)
     lines = written(_lines_of(keyed), "page-lines")
-    gone = written(template_lines(lines, nearest_pairs(lines)), "page-template")
+    turned = written(template_lines(lines, nearest_pairs(lines)), "page-template")
     names = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
-    joined = keyed.join(gone.withColumnsRenamed({"row": "_pt_row", "gone": "_pt_gone"}), "_pt_row", "left")
+    joined = keyed.join(turned.withColumnsRenamed({"row": "_pt_row", "turned": "_pt_turned"}), "_pt_row", "left")
     fields = [f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for page, gone in zip(batch.column(len(names)), batch.column(len(names) + 1).to_pylist(), strict=True):
-                found, gone = page_lines(page.as_py()), set(gone or ())
-                out.append("\n".join(t for i, (t, s) in enumerate(found) if s == KEEP or (s == OPEN and i not in gone)))
+            for page, turned in zip(batch.column(len(names)), batch.column(len(names) + 1).to_pylist(), strict=True):
+                found, turned = page_lines(page.as_py()), set(turned or ())
+                out.append("\n".join(t for i, (t, s) in enumerate(found) if (s in STAYS) != (i in turned)))
             columns = [*batch.columns[: len(names)], pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, "text", "n_chars"])
 
-    return joined.select(*names, "_pt_html", "_pt_gone").mapInArrow(run, ", ".join([*fields, "text string", "n_chars long"]))
+    return joined.select(*names, "_pt_html", "_pt_turned").mapInArrow(run, ", ".join([*fields, "text string", "n_chars long"]))
