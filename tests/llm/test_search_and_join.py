@@ -128,6 +128,22 @@ def test_page_structure():
     assert lines == ["Head & shoulders", "A bold word x next", "Two", "i1", "i2"]
 
 
+@pytest.mark.parametrize(("page", "want"), [
+    ('<body class="post has-sidebar"><nav>n</nav><article><p>A</article><div class="sidebar">s</div>', ["A"]),
+    ('<body class="search"><p>A<div class="sidebar">s</div>', ["A"]),
+    ('<div class="content no-sidebar"><p>A</div>', ["A"]),
+    ('<div id="content-sidebar-wrapper"><p>A</p><div class="sidebar">s</div></div>', ["A"]),
+    ('<div class="sidebar-layout"><h1>T</h1><article><p>A</article><div class="sidebar">s</div></div>', ["A", "T"]),
+    ('<form id="aspnetForm"><main><p>A</main></form>', ["A"]),
+    ('<article><h2 id="search-methods">H</h2><p class="notice">N</p><section id="related-work"><p>R</p></section><p class="ad">x<div class="share">y</div></article>', ["H", "N", "R"]),
+    ('<article><p>A</article><section class="related"><article><p>teaser</article></section><div class="post-comments"><p>c</div>', ["A"]),
+    ('<main><p>A<div id="comments"><p>c</div></main><div class="sidebar-content"><p>s</div>', ["A"]),
+])
+def test_page_words_of_class_and_id(page, want):
+    gone = (page_text.DROP,)
+    assert sorted(t for t, s in page_text.page_lines(page) if s not in gone) == sorted(want)
+
+
 def test_page_differencing_without_structure(spark):
     rows = []
     for i in range(6):

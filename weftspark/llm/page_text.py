@@ -51,12 +51,19 @@ ASIDE_WORDS = frozenset(
     "share sharing sidebar social sponsor sponsored subscribe toolbar widget masthead copyright alert contentinfo complementary search".split()
 )
 MAIN_WORDS = frozenset("article content post entry story main".split())
+#: Of these, the ones that a paragraph, a heading or an inline element inside an article goes by.
+AD_WORDS = frozenset("ad ads advert advertisement adverts advertising sponsored share sharing".split())
+#: A token that starts so tells of the layout: no-sidebar, has-sidebar.
+LAYOUT = frozenset("no has with without not".split())
 #: Elements that hold text of their own, and those of them that can belong to an article they stand beside.
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote".split())
 TEXT = PROSE | frozenset("li dt dd td th caption figcaption".split())
 #: What structure says of a line. Differencing decides on OPEN (no container on the page), INSIDE
 #: (in a container, but in no element for text) and BESIDE (prose of a page with a container).
 KEEP, DROP, OPEN, INSIDE, BESIDE = 1, 0, 2, 3, 4
+#: While a page is read: dropped by words alone; in an article or main element within such an
+#: element; in another article or main element.
+SOFT, SOFT_MAIN, MAIN_ELEMENT = 5, 6, 7
 #: What stays where differencing has nothing to say.
 STAYS = frozenset((KEEP, OPEN, INSIDE))
 
@@ -69,12 +76,43 @@ _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def _role(name: str, attributes: str) -> int | None:
-    """What an element says of its content: DROP, KEEP, or nothing (None)."""
+def _by_words(name: str, tokens: list[tuple[str, str]], inside: bool) -> int | None:
+    """What (attribute, token) pairs of class, id and role say: SOFT, KEEP, or nothing (None).
+
+    Whole tokens have more weight than parts, and inside an article nothing else counts. Ids of
+    headings, paragraphs and inline elements are anchors, as are those of sections: they say
+    nothing, but for a section outside an article by its whole id.
+    """
+    small = name in PROSE or name not in BLOCKS
+    whole: set[str] = set()
+    parts: set[int] = set()
+    for key, token in tokens:
+        if key == "id" and (small or (name == "section" and inside)):
+            continue
+        whole.add(token.lower())
+        words = [w.lower() for w in _WORD.findall(token)]
+        if inside or not words or words[0] in LAYOUT or (key == "id" and name == "section"):
+            continue
+        aside, main = [w in ASIDE_WORDS for w in words], any(w in MAIN_WORDS for w in words)
+        if any(aside) and (not main or aside[0] or aside[-1]):  # sidebar-content, post-comments; not content-sidebar-wrapper
+            parts.add(SOFT)
+        elif main and not any(aside):
+            parts.add(KEEP)
+    if whole & (AD_WORDS if inside and small else ASIDE_WORDS):
+        return SOFT
+    if whole & MAIN_WORDS:
+        return KEEP
+    return SOFT if SOFT in parts else KEEP if KEEP in parts else None
+
+
+def _role(name: str, attributes: str, inside: bool) -> int | None:
+    """What an element says of its content: DROP, SOFT, KEEP, or nothing (None); ``inside``: an article."""
+    if name == "html" or name == "body":
+        return None
     if name in ASIDE:
-        return DROP
-    words: set[str] = set()
-    for key, a, b, c in _ATTRIBUTE.findall(attributes):
+        return SOFT if name == "form" else DROP  # a form can be about the whole page
+    tokens: list[tuple[str, str]] = []
+    for key, a, b, c in _ATTRIBUTE.findall(attributes) if attributes else ():
         value = a or b or c
         key = key.lower()
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
@@ -83,26 +121,42 @@ def _role(name: str, attributes: str) -> int | None:
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 return DROP
             continue
-        words.update(w.lower() for w in _WORD.findall(value))
+        if key in ("class", "id", "role"):
+            tokens += [(key, t) for t in value.split()]
     if name in MAIN:
+        words = {w.lower() for _, t in tokens for w in _WORD.findall(t)}
         return DROP if words & {"comment", "comments", "reply"} else KEEP
-    if words & ASIDE_WORDS:
-        return DROP
-    return KEEP if words & MAIN_WORDS else None
+    return _by_words(name, tokens, inside) if tokens else None
+
+
+def _settled(lines: list[tuple[str, int, str, int]], holders: set[int]) -> list[tuple[str, int, str]]:
+    """(text, KEEP, DROP or OPEN, element): an element dropped by words that holds the page's article is none to drop."""
+    real = any(s == MAIN_ELEMENT for _, s, _, _ in lines)
+    out = []
+    for text, s, e, soft in lines:
+        if s == MAIN_ELEMENT or (s == SOFT_MAIN and not real):
+            s = KEEP
+        elif s == SOFT and not real and soft in holders:
+            s = OPEN
+        elif s in (SOFT, SOFT_MAIN):
+            s = DROP
+        out.append((text, s, e))
+    return out
 
 
 def page_lines(page: str) -> list[tuple[str, int]]:
     """The lines of a page in order, each with what structure says of it."""
-    lines: list[tuple[str, int, str]] = []  # text, state, block element
+    lines: list[tuple[str, int, str, int]] = []  # text, state, block element, number of the SOFT element
     held: list[str] = []
-    stack: list[tuple[str, int, bool]] = []  # element, state inside, hidden inside
+    stack: list[tuple[str, int, bool, int]] = []  # element, state inside, hidden inside, number of the SOFT element
     state, hidden = OPEN, False
+    softs, holders = 0, set()
 
     def flush() -> None:
         if held:
             text = _SPACE.sub(" ", "".join(held)).strip()
             if text:
-                lines.append((text, state, next((e[0] for e in reversed(stack) if e[0] in BLOCKS), "")))
+                lines.append((text, state, next((e[0] for e in reversed(stack) if e[0] in BLOCKS), ""), stack[-1][3] if stack else 0))
             held.clear()
 
     at, end = 0, len(page)
@@ -138,13 +192,24 @@ def page_lines(page: str) -> list[tuple[str, int]]:
                     break
                 if stack[i][0] in BLOCKS:
                     break
-        role = _role(name, attributes)
-        if role == DROP and state == KEEP and name == "header":
+        inside = state in (KEEP, SOFT_MAIN, MAIN_ELEMENT)
+        role = _role(name, attributes, inside)
+        if role == DROP and inside and name == "header":
             role = None  # an article's own header holds its title
-        inner = DROP if state == DROP or role == DROP else KEEP if role == KEEP else state
+        inner, soft = state, stack[-1][3] if stack else 0
+        if state == DROP or role == DROP:
+            inner = DROP
+        elif role == SOFT:
+            softs += 1
+            inner, soft = SOFT, softs
+        elif role == KEEP and name in MAIN:
+            inner = SOFT_MAIN if state in (SOFT, SOFT_MAIN) else MAIN_ELEMENT
+            holders.update(e[3] for e in stack)
+        elif role == KEEP and state == OPEN:
+            inner = KEEP
         out_of_sight = hidden or name in HIDDEN
         if not attributes.rstrip().endswith("/"):
-            stack.append((name, inner, out_of_sight))
+            stack.append((name, inner, out_of_sight, soft))
             if inner != state and name not in BLOCKS:
                 flush()
             state, hidden = inner, out_of_sight
@@ -157,10 +222,11 @@ def page_lines(page: str) -> list[tuple[str, int]]:
             else:
                 at = end
     flush()
-    if not any(s == KEEP for _, s, _ in lines):
-        return [(t, s) for t, s, _ in lines]
+    settled = _settled(lines, holders)
+    if not any(s == KEEP for _, s, _ in settled):
+        return [(t, s) for t, s, _ in settled]
     inside, beside = (KEEP, INSIDE), (BESIDE, DROP)
-    return [(t, s if s == DROP else inside[e not in TEXT] if s == KEEP else beside[e not in PROSE]) for t, s, e in lines]
+    return [(t, s if s == DROP else inside[e not in TEXT] if s == KEEP else beside[e not in PROSE]) for t, s, e in settled]
 
 
 def turned_lines(states: bytes, shared: set[int]) -> list[int]:
