@@ -170,6 +170,16 @@ def test_page_differencing_beside_and_inside_articles(spark):
     assert set(page_texts(spark, [(i, f"http://h/{i}", twice.replace("{i}", str(i))) for i in range(3)]).values()) == {"One two\nthree"}
 
 
+def test_page_copies_and_quotes_without_structure(spark):
+    page = lambda *own: "".join(f"<div>{t}</div>" for t in ("Site name", *own, "All rights reserved"))
+    rows = [(i, "http://copies/a" if i < 2 else f"http://copies/a{i}", page("Copied", "text")) for i in range(4)]
+    rows += [(10 + i, f"http://copies/b{i}", page(f"Own {i}", *["Quoted"] * (i in (1, 2)))) for i in range(4)]
+    rows += [(20 + i, f"http://only/{i}", page("Alone")) for i in range(3)]
+    want = dict.fromkeys(range(4), "Copied\ntext") | {10: "Own 0", 11: "Own 1\nQuoted", 12: "Own 2\nQuoted", 13: "Own 3"}
+    want |= dict.fromkeys(range(20, 23), "Site name\nAlone\nAll rights reserved")  # nothing to difference with
+    assert page_texts(spark, rows) == want
+
+
 def test_page_articles_that_copies_share_stay(spark):
     html = PAGE.replace("{body}", "<article><p>Same text</p></article>")
     df = spark.createDataFrame([(i, f"http://h/{i // 2}", html) for i in range(5)], "page_id long, url string, html string")

@@ -1,8 +1,11 @@
 """Main text of web pages: page differencing between nearest URLs, and block structure.
 
 A page is cut into text lines, one per block element. Pages of a host are put in the order of
-their URL paths, and each is paired with the neighbour whose path is nearest; the longest
-common subsequence of the two pages' lines is what their template shares, and those lines go.
+their URL paths, and each is paired with the two neighbours of other lines whose paths are
+nearest; what is in the longest common subsequence of its lines with either one is their
+template, and those lines go. Copies of a page are one page to the pairing, and a passage that
+only one of the two quotes is no template. In a host of two different pages the other one
+decides alone.
 
 Differencing alone is wrong in two ways on real pages: it deletes an article that two pages
 hold, and keeps an advert that changes from page to page. So all pages are differenced, and
@@ -13,8 +16,8 @@ such a container; those inside one that are in no element for text (unless the t
 most of it: then it is one article twice); and the headings and paragraphs beside one.
 
 Only line hashes, ids and paths move for the pairing. The order of a host's pages comes from a
-range sort with neighbours handed across partition ends, so a host with a third of all pages
-is spread like any other.
+range sort that numbers them, and neighbours meet by number, so a host with a third of all
+pages is spread like any other.
 """
 
 from __future__ import annotations
@@ -291,51 +294,57 @@ def _lines_of(keyed: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "row long, host string, path string, hashes array<long>, states binary")
 
 
+def _classes(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``copy``: equal for pages of a host whose lines and their states are equal."""
+    return lines.withColumn("copy", F.xxhash64("hashes", "states"))
+
+
 def nearest_pairs(lines: DataFrame) -> DataFrame:
-    """(row, other): for each page the page before or after it in its host whose path is nearest.
+    """(row, host, copy, other, second): of each class of copies one page, and its two nearest in its host.
 
-    Nearest: the longer common beginning of the paths; the page before, if equal. Pages are
-    range-sorted by (host, path, row); what stands at a partition's ends is handed across.
+    They are sought two places before and after in the order of (host, path, row), without those
+    of equal lines. Nearest: the longer common beginning of the paths; the closer place, if equal;
+    the page before, if equal. ``second`` is null where there is one only.
     """
-    light = lines.select("host", "path", "row").distinct()
-    placed = written(
-        light.repartitionByRange("host", "path", "row").withColumn("part", F.spark_partition_id()), "page-order"
-    )
-    order = W.partitionBy("part").orderBy("host", "path", "row")
-    me = F.struct("host", "path", "row")
-    inside = placed.withColumns({"before": F.lag(me).over(order), "after": F.lead(me).over(order)})
-    ends = placed.groupBy("part").agg(F.min(me).alias("first"), F.max(me).alias("last"))  # one row a partition
-    along = W.orderBy("part")
-    ends = written(ends.select("part", F.lag("last").over(along).alias("left"), F.lead("first").over(along).alias("right")), "page-ends")
-    near = inside.join(ends, "part").select(
-        "host", "path", "row", F.coalesce("before", "left").alias("before"), F.coalesce("after", "right").alias("after")
-    )
-
-    def alike(other: str):  # length of the common beginning of two paths
-        a, b = F.col("path"), F.col(f"{other}.path")
-        n = F.least(F.char_length(a), F.char_length(b))
-        same = lambda i: F.substring(a, F.lit(1), i) == F.substring(b, F.lit(1), i)
-        steps = F.filter(F.sequence(F.lit(0), n), lambda i: same(i))
-        found = F.coalesce(F.array_max(steps), F.lit(0))
-        return F.when(F.col(f"{other}.host") == F.col("host"), found).otherwise(F.lit(-1))
-
-    near = near.withColumns({"to_before": F.coalesce(alike("before"), F.lit(-1)), "to_after": F.coalesce(alike("after"), F.lit(-1))})
-    other = F.when(F.col("to_before") >= F.col("to_after"), F.col("before.row")).otherwise(F.col("after.row"))
-    return near.where((F.col("to_before") >= 0) | (F.col("to_after") >= 0)).select("row", other.alias("other"))
+    light = _classes(lines).groupBy("host", "copy", F.xxhash64("hashes").alias("same")).agg(F.min(F.struct("path", "row")).alias("s"))
+    light = light.select("host", "copy", "same", "s.*")
+    placed = written(light.repartitionByRange("host", "path", "row").withColumn("part", F.spark_partition_id()), "page-order")
+    counts = placed.groupBy("part").agg(F.count("*").alias("n"))  # one row a partition
+    starts = written(counts.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("start")), "page-starts")
+    inside = placed.withColumn("at", F.row_number().over(W.partitionBy("part").orderBy("host", "path", "row")))
+    numbered = inside.join(F.broadcast(starts), "part").withColumn("at", F.col("start") + F.col("at")).drop("part", "start")
+    numbered = written(numbered, "page-numbers")
+
+    a, b = F.col("path"), F.col("path_")
+    n = F.least(F.char_length(a), F.char_length(b))
+    same = lambda i: F.substring(a, F.lit(1), i) == F.substring(b, F.lit(1), i)
+    alike = F.coalesce(F.array_max(F.filter(F.sequence(F.lit(0), n), same)), F.lit(0))  # length of the common beginning
+    steps = F.explode(F.array(*[F.lit(d) for d in (-2, -1, 1, 2)]))
+    asking = numbered.select("host", "copy", "same", "path", "row", "at", steps.alias("step")).withColumn("at", F.col("at") + F.col("step"))
+    asked = numbered.select("at", *[F.col(c).alias(f"{c}_") for c in ("host", "same", "path", "row")])
+    met = asking.join(asked, "at").where("host = host_ and same <> same_")
+    order = F.struct((-alike).alias("far"), F.abs("step").alias("steps"), "step", F.col("row_").alias("row"))
+    near = met.groupBy("row", "host", "copy").agg(F.sort_array(F.collect_list(order)).alias("near"))
+    return near.select("row", "host", "copy", F.get("near", F.lit(0))["row"].alias("other"), F.get("near", F.lit(1))["row"].alias("second"))
 
 
 def template_lines(lines: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(row, turned): each page differenced with its nearest one; the places of lines that this turns."""
+    """(row, turned): each page differenced with its nearest ones; the places of lines that this turns."""
     unique = lines.select("row", "hashes", "states").dropDuplicates(["row"])
-    both = unique.join(pairs, "row").join(unique.select(F.col("row").alias("other"), F.col("hashes").alias("theirs")), "other")
+    of = lambda row, name: unique.select(F.col("row").alias(row), F.col("hashes").alias(name))
+    all_ = unique.join(pairs, "row").join(of("other", "theirs"), "other").join(of("second", "others"), "second", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, states, b = (batch.column(i).to_pylist() for i in (1, 2, 3))
-            turned = [turned_lines(s, common_lines(x, y)) for x, s, y in zip(a, states, b, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(turned, pa.list_(pa.int32()))], names=["row", "turned"])
-
-    return both.select("row", "hashes", "states", "theirs").mapInArrow(run, "row long, turned array<int>").where(F.size("turned") > 0)
+            turned = []
+            for x, s, y, z in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
+                shared = common_lines(x, y)
+                turned.append(turned_lines(s, shared if z is None else shared & common_lines(x, z)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(turned, pa.list_(pa.int32()))], names=["host", "copy", "turned"])
+
+    turned = all_.select("host", "copy", "hashes", "states", "theirs", "others").mapInArrow(run, "host string, copy long, turned array<int>")
+    turned = written(turned.where(F.size("turned") > 0), "page-turned")
+    return _classes(lines).select("row", "host", "copy").distinct().join(turned, ["host", "copy"]).select("row", "turned")
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
