@@ -199,6 +199,17 @@ def test_common_lines_is_a_longest_common_subsequence(a, b):
     assert len(got) == best[-1][-1] and all(any(a[i] == y for y in rest) for i in got)
 
 
+# -- quality -----------------------------------------------------------------------------
+def test_quality_fits_the_same_rows_of_repeated_ids_in_any_order(spark):
+    rows = [(i % 2, ("Word %d! " % i) * (1 + i % 7)) for i in range(40)]
+    labels = spark.createDataFrame([(0, 0), (1, 1)], "doc_id long, quality int")
+    fits = []
+    for part in (rows, rows[::-1]):
+        weights, base = quality.fit(spark.createDataFrame(part, "doc_id long, text string").coalesce(1), labels, "doc_id", "text", "quality", 12)
+        fits.append((weights.tolist(), base))
+    assert fits[0] == fits[1]
+
+
 # -- pieces ------------------------------------------------------------------------------
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.sampled_from([*"ab e  \n\t▁éß日😀<>s/01\x00.,", "the", "ing"]), max_size=60).map("".join), max_size=4))

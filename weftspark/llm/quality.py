@@ -61,6 +61,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     )
     ids = ids.orderBy(F.xxhash64("_q_id"), "_q_id", "_q_y").limit(sample)
     rows = with_features(docs.select(F.col(id_col).alias("_q_id"), F.col(text_col)).join(F.broadcast(ids), "_q_id"), text_col)
+    rows = rows.orderBy(F.xxhash64("_q_id"), "_q_id", "_q_y", "_q_x")  # repeated ids can go beyond the bound
     data = rows.select("_q_y", "_q_x").limit(2 * sample).toPandas()
     y = data["_q_y"].to_numpy(np.float64)
     if len(y) == 0 or y.min() == y.max():
