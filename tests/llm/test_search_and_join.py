@@ -92,10 +92,67 @@ def near_copies(seed, groups, size, words, edits):
 def test_jaccard_components(spark, seed, groups, size, words, edits):
     texts = near_copies(seed, groups, size, words, edits)
     texts += [None, "", " \t\n", "one two", "ONE  two", "three", "a b c d e", "A b\tc d e"]
-    got = jaccard_join.jaccard_components(docs(spark, texts), common=8)
+    want = brute_components(enumerate(texts))
+    for limits in ({}, {"task_docs": 8, "task_hashes": 1500, "pivots": 4}):
+        got = jaccard_join.jaccard_components(docs(spark, texts), **limits)
+        assert sorted(tuple(r) for r in got.collect()) == want
+
+
+def test_jaccard_large_group_of_near_copies(spark):
+    """500 near copies about the threshold, through pivots, Voronoi regions and blocks."""
+    r = random.Random(11)
+    base = [f"w{r.randrange(10**5)}" for _ in range(90)]
+    texts = []
+    for i in range(500):
+        t = base[(i % 3) * 8 :]
+        for _ in range(r.randrange(4)):
+            t[r.randrange(len(t))] = f"e{r.randrange(10**6)}"
+        texts.append(" ".join(t))
+    df = docs(spark, texts).repartition(5)
+    got = jaccard_join.jaccard_components(df, task_docs=64, pivots=5)
     assert sorted(tuple(r) for r in got.collect()) == brute_components(enumerate(texts))
 
 
+def test_jaccard_long_texts_and_clashing_columns(spark):
+    r = random.Random(12)
+    long = [f"w{r.randrange(10**6)}" for _ in range(120_000)]
+    texts = [" ".join(long), " ".join(long[3000:]), " ".join(long[:60_000]), "w" * 500_000, "same words here are five"]
+    df = docs(spark, texts).selectExpr("*", "1 as n", "2 as cid", "3 as set", "4 as region", "5 as sig", "6 as uid", "7 as doc", "8 as component_id")
+    got = jaccard_join.jaccard_components(df)
+    assert sorted((x["doc_id"], x["component_id"]) for x in got.collect()) == [(0, 0), (1, 0), (2, 2), (3, 3), (4, 4)]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 14), min_size=1, max_size=12), min_size=2, max_size=14), st.data())
+def test_link_region_joins_what_links_join(lists, data):
+    sets = [np.unique(np.array(x, np.int64)) for x in lists]
+    label = np.array(data.draw(st.lists(st.integers(0, 20), min_size=len(sets), max_size=len(sets))), np.int64)
+    part = np.array(data.draw(st.lists(st.integers(0, 2), min_size=len(sets), max_size=len(sets))), np.int32)
+    linked = lambda i, j: 100 * len({*sets[i]} & {*sets[j]}) >= 60 * len({*sets[i]} | {*sets[j]})
+    found = jaccard_join.link_region(sets, label, part, 60)
+    assert all(linked(i, j) for i, j in found)
+
+    def groups(pairs):
+        up = list(range(len(sets)))
+        for i, j in pairs:
+            a, b = up[i], up[j]
+            up = [a if x == b else x for x in up]
+        return [up.index(x) for x in up]
+
+    alike = [(i, j) for i in range(len(sets)) for j in range(i) if label[i] == label[j]]
+    asked = [(i, j) for i in range(len(sets)) for j in range(i) if linked(i, j) and not (part[i] and part[i] == part[j])]
+    assert groups(alike + found) == groups(alike + asked) and len(found) < len(sets)
+
+
+def test_jaccard_repeated_ids_keep_links_of_every_text(spark):
+    a, b = ("a%d " * 40 % tuple(range(40))), ("b%d " * 40 % tuple(range(40)))
+    got = jaccard_join.jaccard_components(docs(spark, [a, a, b, b + "x", "", None], [3, 5, 5, 7, 7, None]))
+    assert sorted((x["doc_id"] or -1, x["component_id"] or -1) for x in got.collect()) == [(-1, -1), (3, 3), (5, 3), (5, 3), (7, 3), (7, 3)]
+    last = 2**63 - 1
+    got = jaccard_join.jaccard_components(docs(spark, [a, a], [last, None]))
+    assert {(x["doc_id"], x["component_id"]) for x in got.collect()} == {(last, last), (None, None)}
+
+
 def test_jaccard_null_and_repeated_ids(spark):
     texts = ["a b c d e f", "a b c d e f", "x y z u v w", "q q q q q q"]
     got = jaccard_join.jaccard_components(docs(spark, texts, [5, None, 5, 7]))

@@ -3,61 +3,53 @@
 Jaccard distance is a metric: with r the greatest distance of a link, a document x whose
 nearest pivot is p can only be linked to documents y with d(y, p) <= d(y, nearest of y) + 2r.
 So regions about pivots can be joined on their own once such boundary documents are copied
-into them. Three facts about texts shape the operator.
-
-1. Unrelated texts have distance 1, so no document is a useful first pivot for them. The first
-   level takes single shingles as pivots: a document lies in the cells of shingles that it
-   holds, and r says into how many it must be copied, its first n - ceil((1 - r) n) + 1 in one
-   order for all. Every linked pair then meets in a cell. Shingles found in many cells come last
-   in that order, the commonest at the very end, so a passage that a third of all documents
-   quote makes no cell of them all. What takes their places is counted again, round by round.
-2. Documents with equal sets are one class, joined by the representative of least id.
-3. Set sizes are distances to the empty set: a window of one size band on each side splits
-   every cell. Regions of at most DIRECT documents are joined. In larger ones, 4, 16, 64...
-   documents of different components become pivots, level by level, and documents of other
-   components are measured against them; pivots are done then.
-   The others go to the Voronoi region of their nearest pivot and, within the window, to
-   neighbours; regions whose pivots turned out to be in one component are one region, and
-   documents far from all pivots share one far region. Regions whose documents are in
-   one component are dropped, and so are regions with the same members as another. The
-   recursion ends when none is left.
-
-Every document carries a bitmap with the parity of its hashes in up to MOST_BITS slots. Each bit
-in which two bitmaps differ stands for one shingle at least that only one of the sets holds,
-which bounds the distance from below where the region is joined. Only pairs that pass are
-measured on their whole sets, made again from the texts. Links and components stay distributed.
+into them. What texts are like shapes the operator.
+
+1. Documents with equal sets are one class, joined by the row of least id.
+2. Unrelated texts have distance 1, so no document is a useful first pivot for them; single
+   shingles are. A set without links has many shingles of its own: ``crowded_sets`` finds the
+   others, and looks only as far into the sets as that takes.
+3. ``clusters``: these lie in the cells of their rarest shingles, and cells that share a set
+   are one region. Linked sets meet in a cell, so links stay inside regions.
+4. ``region_links``: small regions are joined in one task each. In a larger one a few documents
+   become pivots, which all others are measured against; these go to the Voronoi region of their
+   nearest pivot and, within the window, to neighbours; documents far from all pivots share one
+   far region. So it goes on until all regions are small. Documents linked to one pivot have one
+   label, documents of one label are not compared, and a region of one label is done.
+   Where windows copy so much that the regions' squares do not halve (edits of one text scatter
+   like that), the region is cut into blocks, and each pair of blocks is joined in a task.
+
+A task hands on as few links as it takes to join its documents, so near copies never become all
+their pairs. Sets are copied only from step 4 on, for the few documents that come so far.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftspark.llm.shared import LAST_ID, SPACE, Scratch
+from weftspark.llm.shared import SPACE, Scratch
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0xB4E35F8D2C6A9713)
 _SPACE = np.isin(np.arange(256), list(SPACE.encode()))
 #: Bytes of text hashed at once.
-SLICE_BYTES = 4 << 20
-#: Up to so many ids (16 MB), those to be measured are broadcast; beyond, the joins on the sets
-#: alone pick them.
-SENT_IDS = 1_000_000
-FAR = "far"
-#: Regions of so many documents are joined directly at the first level; four times as many at each next.
-DIRECT = 8
-#: Slots of a bitmap: the power of two from twice the set's size on, but at most so many.
-MOST_BITS = 8192
-#: Rounds in which cells that came in place of common ones are counted and may come last, too.
-ROUNDS = 5
-#: Share of a set by which ``heads`` goes beyond the cells.
-SLACK = 0.05
+SLICE_BYTES = 1 << 20
+#: Up to so many rows (some 20 MB), those whose texts are to be read again are broadcast.
+SENT_ROWS = 300_000
+#: Share by which sets look further at first than they need to without anything shared.
+SLACK = 0.1
+#: Factor on the guess of how far to look next.
+AHEAD = 1.15
+#: Documents and shingles of a region that one task joins, and distances it keeps per document.
+TASK_DOCS, TASK_HASHES, MOST_PIVOTS = 512, 1 << 20, 8
 
 
 def _byte_values() -> np.ndarray:
@@ -139,47 +131,23 @@ class Shingler:
         return (out >> np.uint64(1)).view(np.int64)
 
 
-class Late:
-    """The common shingles (sorted) with their place at the end of the order of all documents."""
-
-    def __init__(self, cells: np.ndarray, counts: np.ndarray) -> None:
-        by_cell = np.argsort(cells)
-        self.cells = cells[by_cell]
-        self.place = np.empty(len(cells), np.int64)
-        self.place[np.lexsort((cells, counts))] = np.arange(1, len(cells) + 1)
-        self.place = self.place[by_cell]
-
-    def of(self, hashes: np.ndarray) -> np.ndarray:
-        """0 for a shingle that is not common, else its place among the common ones from 1 on."""
-        at = np.minimum(np.searchsorted(self.cells, hashes), len(self.cells) - 1)
-        return np.where(self.cells[at] == hashes, self.place[at], 0)
-
-
-def parities(sets: list[np.ndarray]) -> pa.ListArray:
-    """For each set, 64-bit words of the parity of its hashes by slot."""
-    slots = np.array([min(max(128, 2 << max(len(s) - 1, 0).bit_length()), MOST_BITS) for s in sets], np.int64)
-    ends = np.cumsum(slots)
-    flat = np.concatenate(sets) if sets else np.empty(0, np.int64)
-    sizes = [len(s) for s in sets]
-    at = np.repeat(ends - slots, sizes) + (flat & np.repeat(slots - 1, sizes))
-    odd = (np.bincount(at, minlength=int(slots.sum())) & 1).astype(np.uint8)
-    words = np.packbits(odd, bitorder="little").view(np.int64)
-    return pa.ListArray.from_arrays(pa.array(np.r_[0, ends // 64], pa.int32()), pa.array(words))
-
-
 def _over(total: int, percent: int) -> int:
-    """How many cells a set of ``total`` shingles enters: total - ceil(limit * total) + 1."""
+    """How many shingles of a set of ``total`` no linked set can lack: total - ceil(limit * total) + 1."""
     return total - -(-percent * total // 100) + 1 if total else 0
 
 
+def _over_column(n: Column, percent: int) -> Column:
+    return n - F.ceil(n * percent / F.lit(100.0) - 1e-9) + 1
+
+
 def _map_texts(docs: DataFrame, words: int, schema: str, make) -> DataFrame:
     """``make(batch columns before the text, sets)`` over Arrow batches of ``docs``, text last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(words)
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
                 yield make(part, shingles(part.column(part.num_columns - 1)))
 
     return docs.mapInArrow(run, schema)
@@ -192,6 +160,10 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(at), pa.array(flat))
 
 
+def _signature(hashes: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(hashes.tobytes())
+
+
 def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(id, component): the least id that the links (a, b) reach, for every id in a link.
 
@@ -216,192 +188,238 @@ def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
-    )
+    return docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
 def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """(doc, n, sig, heads, bits): id, set size, 128-bit signature (null for an empty set), the
-    least hashes (those of the cells, and SLACK of the set more) and the bitmap."""
+    """(doc, n, sig, heads): id, set size, 128-bit signature (null for an empty set) and the least
+    hashes, SLACK more than no linked set can lack."""
 
     def make(part, sets):
-        sig = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-        heads = _lists([s[: _over(len(s), percent) + int(SLACK * len(s))] for s in sets])
-        columns = [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sig, pa.binary()), heads, parities(sets)]
-        return pa.RecordBatch.from_arrays(columns, names=["doc", "n", "sig", "heads", "bits"])
+        sig = [_signature(s) if len(s) else None for s in sets]
+        heads = _lists([s[: math.ceil((1 + SLACK) * _over(len(s), percent))] for s in sets])
+        columns = [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sig, pa.binary()), heads]
+        return pa.RecordBatch.from_arrays(columns, names=["doc", "n", "sig", "heads"])
 
-    return _map_texts(_texts(docs, id_col, text_col), words, "doc long, n long, sig binary, heads array<long>, bits array<long>", make)
+    return _map_texts(_texts(docs, id_col, text_col), words, "doc long, n long, sig binary, heads array<long>", make)
 
 
-def _later_cells(scratch: Scratch, sets: DataFrame, texts: DataFrame, words: int, percent: int, late: Late) -> DataFrame:
-    """(doc, cell): cells that documents enter in place of late ones, which may be late themselves.
+def _whole_sets(scratch: Scratch, texts: DataFrame, asked: DataFrame, words: int) -> DataFrame:
+    """(cid, set): the sets of the asked (cid, doc, sig), made again from the texts.
 
-    Mostly the next hashes of ``heads`` do; where these do not reach, the whole set is made.
+    The asked rows are broadcast while they are few; beyond, texts and rows meet in a shuffle.
     """
-    held = sets.sparkSession.sparkContext.broadcast(late)
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flat, at = batch.column(2).flatten().to_numpy(), batch.column(2).offsets.to_numpy() - batch.column(2).offsets[0].as_py()
-            is_late, out, short = held.value.of(flat) > 0, [], []
-            for i, n in enumerate(batch.column(1).to_pylist()):
-                k, lo, hi = _over(n, percent), at[i], at[i + 1]
-                new = np.empty(0, np.int64)
-                lacking = False
-                if is_late[lo : lo + k].any():
-                    free = np.flatnonzero(~is_late[lo:hi])
-                    lacking = len(free) < k
-                    new = new if lacking else flat[lo:hi][free[:k][free[:k] >= k]]
-                out.append(new)
-                short.append(lacking)
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(out), pa.array(short)], names=["doc", "cells", "short"])
-
-    def far(part, sets):
-        out = []
-        for s in sets:
-            k = _over(len(s), percent)
-            place = held.value.of(s)
-            first = np.argsort(place, kind="stable")[:k]
-            out.append(s[first[(first >= k) | (place[first] > 0)]])
-        return pa.RecordBatch.from_arrays([part.column(0), _lists(out)], names=["doc", "cells"])
-
-    found = sets.select("doc", "n", "heads").mapInArrow(near, "doc long, cells array<long>, short boolean").where("short or size(cells) > 0")
-    found = scratch.keep(found, "later")
-    rest = _map_texts(_pick(scratch, texts, found.where("short").select("doc")), words, "doc long, cells array<long>", far)
-    return found.where("not short").select("doc", "cells").union(rest).select("doc", F.explode("cells").alias("cell"))
+    asked = asked.select("doc", "sig", "cid")
+    asked = F.broadcast(asked) if asked.count() <= SENT_ROWS else asked
 
+    def make(part, sets):
+        same = pa.array([_signature(s) == sig if len(s) else False for s, sig in zip(sets, part.column(1).to_pylist(), strict=True)], pa.bool_())
+        return pa.RecordBatch.from_arrays([part.column(0), _lists(sets)], names=["cid", "set"]).filter(same)
 
-def _pick(scratch: Scratch, texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``texts`` with one of the ids; these are broadcast while they are few."""
-    ids = scratch.keep(ids.distinct(), "picked")
-    return texts.join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, "doc", "left_semi")
-
-
-def least_distance(n: str, bits: str, other_n: str, other_bits: str) -> Column:
-    """A lower bound of the distance of two sets from their bitmaps, for sizes within a factor of 2.
-
-    With h shingles in one set only and m in both sizes together, the distance is 2h / (m + h).
-    """
-    half = lambda a: F.zip_with(  # noqa: E731  what the bitmap of half as many slots is
-        F.slice(a, F.lit(1), (F.size(a) / 2).cast("int")),
-        F.slice(a, (F.size(a) / 2).cast("int") + 1, (F.size(a) / 2).cast("int")),
-        lambda u, v: u.bitwiseXOR(v),
-    )
-    a, b = F.col(bits), F.col(other_bits)
-    x = F.when(F.size(a) > F.size(b), half(a)).otherwise(a)
-    y = F.when(F.size(b) > F.size(a), half(b)).otherwise(b)
-    h = F.aggregate(F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda acc, v: acc + v)
-    return 2 * h / (F.col(n) + F.col(other_n) + h)
-
+    met = texts.join(asked, "doc").select("cid", "sig", "text")
+    return scratch.keep(_map_texts(met, words, "cid long, set array<long>", make), "whole")
 
-def measure(scratch: Scratch, pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """(x, p, d, linked): distance and link of pairs (x, p), from their whole sets."""
 
-    def make(part, sets):
-        return pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc", "set"])
+def _counted(cells: DataFrame) -> DataFrame:
+    """(cell, n, lo): how many hold a cell, and the least of them."""
+    return cells.groupBy("cell").agg(F.count("*").alias("n"), F.min("cid").alias("lo"))
 
-    picked = _pick(scratch, texts, pairs.select(F.col("x").alias("doc")).union(pairs.select("p")))
-    whole = scratch.keep(_map_texts(picked, words, "doc long, set binary", make), "whole")
-    both = pairs.join(whole.withColumnsRenamed({"doc": "x", "set": "s_x"}), "x").join(whole.withColumnsRenamed({"doc": "p", "set": "s_p"}), "p")
-
-    def run(batches):
-        for batch in batches:
-            sides = [[np.frombuffer(v, np.int64) for v in batch.column(i).to_pylist()] for i in (2, 3)]
-            shared = [len(x) + len(y) - len(_merged(x, y)) for x, y in zip(*sides, strict=True)]
-            union = [len(x) + len(y) - s for x, y, s in zip(*sides, shared, strict=True)]
-            linked = [100 * s >= percent * u > 0 for s, u in zip(shared, union, strict=True)]
-            apart = pa.array([1 - s / max(u, 1) for s, u in zip(shared, union, strict=True)], pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), apart, pa.array(linked, pa.bool_())], names=["x", "p", "d", "linked"])
-
-    exact = both.select("x", "p", "s_x", "s_p").mapInArrow(run, "x long, p long, d double, linked boolean")
-    # Rows that repeat an id give a pair more than one distance; the least counts.
-    return scratch.keep(exact, "measured").groupBy("x", "p").agg(F.min("d").alias("d"), F.max("linked").alias("linked"))
-
-
-def _merged(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The union of two sorted sets; sorting two runs is a merge."""
-    both = np.concatenate([x, y])
-    both.sort(kind="stable")
-    return both[np.r_[True, both[1:] != both[:-1]]] if len(both) else both
-
-
-def _live(scratch: Scratch, regions: DataFrame, comp: DataFrame | None, sets: DataFrame) -> DataFrame:
-    """(region, x, n, bits, component, size): regions that hold two components, one of those with equal members."""
-    own = F.col("x")
-    if comp is not None:
-        regions = regions.join(comp.withColumnsRenamed({"id": "x"}), "x", "left")
-        own = F.coalesce("component", "x")
-    regions = regions.withColumn("component", own)
-    per = regions.groupBy("region").agg(
-        F.min("component").alias("lo"), F.max("component").alias("hi"), F.bit_xor(F.xxhash64("x")).alias("members"), F.count("*").alias("size")
-    )
-    one = per.where("lo < hi").groupBy("members", "size", "lo", "hi").agg(F.min("region").alias("region"))
-    one = one.select("region", "size")
-    kept = regions.join(one, "region").select("region", "x", "n", "component", "size")
-    kept = kept.join(sets.select(F.col("doc").alias("x"), "n", "bits"), ["x", "n"])
-    return scratch.keep(kept.select("region", "x", "n", "bits", "component", "size"), "regions")
 
+def _shared_in(cells: DataFrame, hot: DataFrame) -> DataFrame:
+    """(cid, more): how many of its cells are hot."""
+    return cells.join(hot.select("cell"), "cell", "left_semi").groupBy("cid").agg(F.count("*").alias("more"))
 
-def _level(scratch: Scratch, regions: DataFrame, level: int, texts: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Joins small regions, and measures those of large ones against pivots: (links, met).
 
-    ``met`` has a row for each document and pivot of a large region: (region, x, n, p, low, high).
+def crowded_sets(scratch: Scratch, reps: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(cid, n, set): the sets that may have links.
 
-    A component has at most one pivot in a region, so a document lacks the distance to one
-    pivot at most, that of its own component; it goes to that pivot's region in any case.
+    A set looks at its shingles in the order of their hashes until it has found so many that no
+    other set has looked at, that every linked set would have to hold one of them, and to have
+    looked at it. Then it has no links. A set that finds fewer among all its shingles stays.
+    What one set looks at may be what another one thought its own, so this goes on, round by
+    round, until every set has enough of its own or has looked at all it has.
+    """
+    k = _over_column(F.col("n"), percent).cast("long")
+    cells = reps.select("cid", F.explode("heads").alias("cell"))
+    layers = [scratch.keep(_counted(cells), "layer")]
+    more = _shared_in(cells, layers[0].where("n > 1"))
+    state = reps.select("cid", "doc", "sig", "n", F.size("heads").cast("long").alias("upto"))
+    state = scratch.keep(state.join(more, "cid", "left").select("cid", "doc", "sig", "n", "upto", F.coalesce("more", F.lit(0)).alias("shared")), "state")
+    whole = [reps.where(F.size("heads") == F.col("n")).select("cid", F.col("heads").alias("set"))]
+    made = None
+    while True:
+        own = F.col("upto") - F.col("shared")
+        lacking = state.where((own < k) & (F.col("upto") < F.col("n")))
+        # At first as far as the share found till now makes likely to be enough; after that, to the end.
+        guess = F.ceil(AHEAD * k * F.col("upto") / F.greatest(own, F.lit(1)))
+        reach = F.col("n") if made is not None else F.least(F.col("n"), F.greatest(guess, 2 * F.col("upto")))
+        asked = scratch.keep(lacking.withColumn("reach", reach.cast("long")), "asked")
+        if not asked.limit(1).count():
+            break
+        new = asked if made is None else scratch.keep(asked.join(made, "cid", "left_anti"), "asked")
+        fresh = _whole_sets(scratch, texts, new, words)
+        whole.append(fresh)
+        made = fresh.select("cid") if made is None else made.union(fresh.select("cid"))
+        part = F.explode(F.slice("set", (F.col("upto") + 1).cast("int"), (F.col("reach") - F.col("upto")).cast("int"))).alias("cell")
+        ranges = asked.select("cid", "upto", "reach")
+        cells = reduce(DataFrame.union, [w.join(ranges, "cid").select("cid", part) for w in whole[1:]])
+        cells = scratch.keep(cells, "cells")
+        layer = scratch.keep(_counted(cells), "layer")
+        mine = layer.select("cell", F.col("n").alias("n_here"))
+        before = [old.join(mine.select("cell"), "cell") for old in layers]
+        before = reduce(DataFrame.union, before).groupBy("cell").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"))
+        hot = mine.join(before, "cell", "left").where("n_here + coalesce(n, 0) > 1").select("cell", "n", "lo")
+        hot = scratch.keep(hot, "hot")
+        layers.append(layer)
+        # The new cells that are shared, and the older ones that one set alone held until now.
+        more = _shared_in(cells, hot).union(hot.where("n = 1").groupBy(F.col("lo").alias("cid")).agg(F.count("*").alias("more")))
+        more = more.groupBy("cid").agg(F.sum("more").alias("more"))
+        state = state.join(asked.select("cid", "reach"), "cid", "left").join(more, "cid", "left")
+        state = state.select("cid", "doc", "sig", "n", F.coalesce("reach", "upto").alias("upto"), (F.col("shared") + F.coalesce("more", F.lit(0))).alias("shared"))
+        state = scratch.keep(state, "state")
+    scratch.drop("layer", "cells", "hot")
+    full = state.where((F.col("upto") == F.col("n")) & (F.col("upto") - F.col("shared") < k)).select("cid", "n")
+    full = scratch.keep(reduce(DataFrame.union, [w.join(full, "cid").select("cid", "n", "set") for w in whole]), "full")
+    scratch.drop("whole", "state", "asked")
+    return full
+
+
+def clusters(scratch: Scratch, full: DataFrame, percent: int) -> DataFrame:
+    """(cid, region): sets that share one of their rarest shingles, directly or through others.
+
+    Each set enters the cells of its first n - ceil(limit * n) + 1 shingles, rarest first; cells
+    of one set are left out. Linked sets meet in a cell, so no link joins two regions.
+    """
+    cells = full.select("cid", F.explode("set").alias("cell"))
+    counts = scratch.keep(_counted(cells).where("n > 1").select("cell", F.col("n").alias("df")), "df")
+    held = cells.join(counts, "cell").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("df", "cell"))).alias("held"))
+    enters = _over_column(F.col("n"), percent) - (F.col("n") - F.size("held"))
+    held = held.join(full.select("cid", "n"), "cid").where(enters > 0)
+    members = scratch.keep(held.select("cid", F.explode(F.slice("held", F.lit(1), enters.cast("int"))).alias("s")).select("cid", "s.cell"), "members")
+    first = _counted(members).where("n > 1").select("cell", "lo")
+    edges = members.join(first, "cell").where("cid <> lo").select(F.col("cid").alias("a"), F.col("lo").alias("b"))
+    return components(edges.distinct(), scratch).select(F.col("id").alias("cid"), F.col("component").alias("region"))
+
+
+def link_region(sets: list[np.ndarray], label: np.ndarray, part: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links (i, j) that join what has different labels, as few as there are joins.
+
+    Rows already measured are pivots: another row is measured only against rows whose distances
+    to all of them differ by no more than a link's. Rows of one ``part`` above 0 are not compared.
     """
-    r, q = (100 - percent) / 100 + 1e-9, 4**level
-    alike = F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent
-    low = F.when(alike, F.coalesce(least_distance("n", "bits", "pn", "pbits"), F.lit(0.0))).otherwise(1 - F.least("n", "pn") / F.greatest("n", "pn"))
-    other = [F.col("x").alias("p"), F.col("n").alias("pn"), F.col("bits").alias("pbits"), F.col("component").alias("pc")]
-    direct = DIRECT * 4 ** (level - 1)  # what pivots have not made smaller is joined at last
-    small, large = regions.where(F.col("size") <= direct), regions.where(F.col("size") > direct)
-    pairs = small.join(small.select("region", *other), "region").where("x < p and component <> pc").where(alike & (low <= r)).select("x", "p")
-    slot = F.pmod(F.xxhash64(F.lit(level), "component"), F.lit(q))
-    pivots = large.groupBy("region", slot.alias("slot")).agg(F.min(F.struct("x", "n", "bits", "component")).alias("s"))
-    pivots = scratch.keep(pivots.select("region", "s.*").select("region", *other), "pivots")
-    met = large.join(pivots, "region").where("x <> p").select("region", "x", "n", "p", F.when(F.col("component") == F.col("pc"), 0.0).otherwise(low).alias("low"), (F.col("component") != F.col("pc")).alias("apart"))
+    m, r = len(sets), (100 - percent) / 100 + 1e-9
+    n = np.array([len(s) for s in sets], np.int64)
+    starts = np.r_[0, np.cumsum(n)[:-1]]
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    comp = np.unique(label, return_inverse=True)[1].reshape(-1)
+    held = np.zeros(int(flat.max()) + 1, bool)
+    pivots: list[np.ndarray] = []
+    out: list[tuple[int, int]] = []
+    for i in range(m - 1):
+        near = (comp[i + 1 :] != comp[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= percent * np.maximum(n[i + 1 :], n[i]))
+        if part[i]:
+            near &= part[i + 1 :] != part[i]
+        near = np.flatnonzero(near) + i + 1
+        for d in pivots:
+            near = near[np.abs(d[near] - d[i]) <= r]
+        if not len(near):
+            continue
+        mine = flat[starts[i] : starts[i] + n[i]]
+        held[mine] = True
+        if len(pivots) < MOST_PIVOTS or 2 * len(near) > m:
+            common = np.add.reduceat(held[flat], starts, dtype=np.int64)
+            if len(pivots) < MOST_PIVOTS:
+                pivots.append(1 - common / (n + n[i] - common))
+            common = common[near]
+        else:
+            common = np.array([np.count_nonzero(held[flat[starts[j] : starts[j] + n[j]]]) for j in near.tolist()], np.int64)
+        held[mine] = False
+        for j in near[100 * common >= percent * (n[near] + n[i] - common)].tolist():
+            if comp[i] != comp[j]:
+                comp[comp == comp[j]] = comp[i]
+                out.append((i, j))
+    return out
+
+
+def _region_links(regions: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links of regions (region, cid, label, part, set), each joined in one task."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by("cid")
+        lists = table.column("set").combine_chunks()
+        flat, at = lists.flatten().to_numpy(), lists.offsets.to_numpy()
+        at = at - at[0]
+        cid = table.column("cid").to_numpy()
+        sets = [flat[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        found = link_region(sets, table.column("label").to_numpy(), table.column("part").to_numpy(), percent)
+        i, j = np.array(found, np.int64).reshape(-1, 2).T
+        return pa.table({"a": cid[i], "b": cid[j]})
+
+    return regions.select("region", "cid", "label", "part", "set").groupBy("region").applyInArrow(run, "a long, b long")
+
+
+def _pivot_level(scratch: Scratch, big: DataFrame, level: int, percent: int, pivots: int, docs: int, hashes: int):
+    """One level of the recursion over regions too large for a task: (links, blocks, regions).
+
+    ``blocks`` are pairs of blocks of the regions that Voronoi regions would not make smaller.
+    """
+    r = (100 - percent) / 100 + 1e-9
+    slot = F.pmod(F.xxhash64(F.lit(level), "cid"), F.lit(pivots))
+    chosen = big.groupBy("region", slot.alias("slot")).agg(F.min(F.struct("cid", "n", "set")).alias("s"))
+    chosen = scratch.keep(chosen.select("region", F.col("s.cid").alias("p"), F.col("s.n").alias("pn"), F.col("s.set").alias("pset")), "pivots")
+    both = big.join(chosen, "region").where("cid <> p").withColumn("common", F.size(F.array_intersect("set", "pset")).cast("long"))
+    union = F.col("n") + F.col("pn") - F.col("common")
+    met = both.select("region", "cid", "label", "p", (1 - F.col("common") / union).alias("d"), (100 * F.col("common") >= percent * union).alias("linked"))
     met = scratch.keep(met, "met")
-    pairs = scratch.keep(pairs.union(met.where(F.col("apart") & (F.col("low") <= r)).select("x", "p")).distinct(), "pairs")
-    found = scratch.keep(measure(scratch, pairs, texts, words, percent), "found")
-    links = found.where("linked").select(F.col("x").alias("a"), F.col("p").alias("b"))
-
-    met = met.join(found.select("x", "p", "d"), ["x", "p"], "left")
-    return links, met.select("region", "x", "n", "p", F.coalesce("d", "low").alias("low"), F.coalesce("d", F.lit(1.0)).alias("high"))
+    links = met.where("linked").select(F.col("cid").alias("a"), F.col("p").alias("b"))
 
-
-def _children(scratch: Scratch, met: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
-    """(region, x, n): Voronoi regions of the pivots' components and the far regions, without the pivots."""
-    r = (100 - percent) / 100 + 1e-9
-    pivots = met.select("region", "p").distinct()
-    group = pivots.join(comp.withColumnsRenamed({"id": "p"}), "p", "left").select("region", "p", F.coalesce("component", "p").alias("c"))
-    per = met.join(group, ["region", "p"]).groupBy("region", "x", "n").agg(
-        F.min("low").alias("low"), F.min("high").alias("high"), F.collect_set(F.struct("c", "low")).alias("to")
+    per = met.groupBy("region", "cid", "label").agg(
+        F.min("d").alias("near"), F.min(F.when(F.col("linked"), F.col("p"))).alias("linked"), F.collect_list(F.struct("p", "d")).alias("to")
     )
-    rest = per.join(pivots.withColumnRenamed("p", "x"), ["region", "x"], "left_anti")
-    rest = scratch.keep(rest, "rest")
-    far = rest.where(F.col("high") >= 2 * r).select(F.xxhash64("region", F.lit(FAR)).alias("region"), "x", "n")
-    # A pivot's own region is only needed where a document lies so near that it is not in the far one.
-    close = F.filter("to", lambda t: (t["low"] <= F.col("high") + 2 * r) & (t["low"] < 3 * r))
-    near = rest.where(F.col("low") < 3 * r)
-    near = near.select("region", "x", "n", (F.col("high") < 2 * r).alias("inner"), F.explode(F.array_distinct(close["c"])).alias("c"))
-    needed = near.where("inner").select("region", "c").distinct()
-    near = near.join(needed, ["region", "c"], "left_semi")
-    return far.union(near.select(F.xxhash64("region", "c").alias("region"), "x", "n"))
-
-
-def _joined(scratch: Scratch, comp: DataFrame | None, links: DataFrame) -> DataFrame:
-    """Components after more links: found among the old components, which the links join."""
-    if comp is None:
-        return scratch.keep(components(links, scratch), "components")
-    old = comp.withColumnsRenamed({"id": "_id", "component": "_c"})
-    ends = links.join(old, F.col("a") == F.col("_id"), "left").select(F.coalesce("_c", "a").alias("a"), "b")
-    ends = ends.join(old, F.col("b") == F.col("_id"), "left").select("a", F.coalesce("_c", "b").alias("b"))
-    new = scratch.keep(components(ends.distinct(), scratch), "joined")
-    top = new.withColumnsRenamed({"id": "_c", "component": "_new"})
-    moved = old.join(top, "_c", "left").select(F.col("_id").alias("id"), F.coalesce("_new", "_c").alias("component"))
-    return scratch.keep(moved.union(new.join(comp.select("id"), "id", "left_anti")), "components")
+    # A pivot has met all others. What is linked to one has its label from now on.
+    rest = per.join(chosen.select("region", F.col("p").alias("cid")), ["region", "cid"], "left_anti")
+    rest = scratch.keep(rest.select("region", "cid", F.coalesce("linked", "label").alias("label"), "near", "to"), "rest")
+    far = rest.where(F.col("near") >= 2 * r).select("region", "cid", "label", F.xxhash64("region", F.lit("far")).alias("child"), F.lit(True).alias("home"))
+    window = F.filter("to", lambda t: (t["d"] <= F.col("near") + 2 * r) & (t["d"] < 3 * r))
+    close = rest.select("region", "cid", "label", "near", F.explode(window).alias("t"))
+    close = close.select("region", "cid", "label", F.xxhash64("region", "t.p").alias("child"), (F.col("near") < 2 * r).alias("home"))
+    children = scratch.keep(far.union(close), "children")
+
+    sizes = children.groupBy("region", "child").agg(F.count("*").alias("m"), F.max("home").alias("home")).where("home")
+    sizes = scratch.keep(sizes, "child-sizes")
+    split = sizes.groupBy("region").agg(F.sum(F.col("m") * F.col("m")).alias("after"))
+    parents = big.groupBy("region").agg(F.count("*").alias("m"), F.sum("n").alias("h")).join(split, "region", "left")
+    parents = parents.withColumn("pays", F.coalesce(2 * F.col("after") <= F.col("m") * F.col("m"), F.lit(True)))
+    parents = scratch.keep(parents, "parents")
+    sets = big.select("region", "cid", "n", "set")
+    kids = children.join(sizes.select("region", "child"), ["region", "child"]).join(parents.where("pays").select("region"), "region")
+    kids = kids.join(sets, ["region", "cid"]).select(F.col("child").alias("region"), "cid", "label", F.lit(0).alias("part"), "n", "set")
+    kids = scratch.keep(kids, "regions")
+
+    count = F.ceil(F.greatest(2 * F.col("m") / docs, 2 * F.col("h") / hashes)).cast("long")
+    stuck = rest.select("region", "cid", "label").join(parents.where("not pays").select("region", count.alias("count")), "region")
+    stuck = stuck.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("count"))).join(sets, ["region", "cid"])
+    stuck = stuck.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)).alias("other"))
+    pair = F.xxhash64("region", F.least("block", "other"), F.greatest("block", "other"))
+    part = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
+    return links, stuck.select(pair.alias("region"), "cid", "label", part.alias("part"), "n", "set"), kids
+
+
+def region_links(scratch: Scratch, regions: DataFrame, percent: int, docs: int, hashes: int, pivots: int) -> DataFrame:
+    """(a, b): links that join what regions (region, cid, label, part, n, set) hold, by recursion."""
+    found, level = [], 1
+    while True:
+        sizes = regions.groupBy("region").agg(F.count("*").alias("m"), F.sum("n").alias("h"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+        sizes = scratch.keep(sizes.where("lo < hi").select("region", "m", "h"), "sizes")
+        fits = (F.col("m") <= 2) | ((F.col("m") <= docs) & (F.col("h") <= hashes))
+        small = regions.join(sizes.where(fits).select("region"), "region")
+        found.append(scratch.keep(_region_links(small, percent), "links"))
+        if not sizes.where(~fits).limit(1).count():
+            return reduce(DataFrame.union, found)
+        big = scratch.keep(regions.join(sizes.where(~fits).select("region"), "region"), "big")
+        links, blocks, regions = _pivot_level(scratch, big, level, percent, pivots, docs, hashes)
+        found += [scratch.keep(links, "links"), scratch.keep(_region_links(blocks, percent), "links")]
+        level += 1
 
 
 def jaccard_components(
@@ -410,78 +428,57 @@ def jaccard_components(
     text_col: str = "text",
     words: int = 5,
     percent: int = 80,
-    common: int = 16,
-    most_common: int = 200_000,
+    task_docs: int = TASK_DOCS,
+    task_hashes: int = TASK_HASHES,
+    pivots: int = 16,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``.
 
     Documents are linked when 100 * intersection >= percent * union of their shingle sets;
-    ``component_id`` is the least id that links reach, the own one included. ``common`` and
-    ``most_common`` say which shingles come last in the order of cells (from so many documents
-    on, at most so many shingles); links do not depend on them.
+    ``component_id`` is the least id that links reach, the own one included. Regions of at most
+    ``task_docs`` documents and ``task_hashes`` shingles (or of two documents) are joined in one
+    task; larger ones get ``pivots``. Links do not depend on these three.
 
     * Null or empty texts, and texts without words, have an empty set and no links.
     * Fewer than ``words`` words make one shingle of the whole sequence.
     * A null id has component null and takes no part in links. Rows that repeat an id share a
       component, whatever their texts.
-    * Sets hold 63-bit hashes of shingles: a result is exact but for collisions of these.
+    * Very long texts have long sets and are handled whole. Other columns are not looked at.
+    * Sets hold 63-bit hashes of shingles, and sets are equal where their 128-bit signatures are:
+      a result is exact but for collisions of these. An empty table gives an empty table.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
-    texts = _texts(docs, id_col, text_col).where(F.col("doc") != LAST_ID)
-    sets = scratch.keep(shingle_sets(docs, id_col, text_col, words, percent), "sets")
-    has = sets.where((F.col("n") > 0) & (F.col("doc") != LAST_ID))
-    classes = scratch.keep(has.groupBy("sig").agg(F.min("doc").alias("rep")), "classes")
-    rows = sets.select("doc", "n", "sig").join(classes, "sig", "left").select("doc", "n", F.when(F.col("doc") != LAST_ID, F.col("rep")).alias("rep"))
-    rows = scratch.keep(rows, "rows")
-    copies = scratch.keep(rows.where("doc <> rep").select("doc").distinct(), "copies")
-
-    # Cells by hash alone; the commonest of them come last, and others take their places.
-    reps = scratch.keep(has.join(copies, "doc", "left_anti").select("doc", "n", "heads", "bits"), "reps")
+    texts = _texts(docs, id_col, text_col)
+    sets = shingle_sets(docs, id_col, text_col, words, percent).withColumn("uid", F.monotonically_increasing_id())
+    sets = scratch.keep(sets, "sets")
+    has = sets.where("n > 0 and doc is not null")
+    # Equal sets are one class, held by one row of least id: its uid is the class's cid.
+    classes = scratch.keep(has.groupBy("sig").agg(F.min(F.struct("doc", "uid")).alias("s")).select("sig", F.col("s.doc").alias("rep"), F.col("s.uid").alias("cid")), "classes")
+    held = F.when(F.col("doc").isNotNull(), F.col("cid")).alias("cid")
+    rows = scratch.keep(sets.join(classes.select("sig", "cid"), "sig", "left").select("uid", "doc", "n", held), "rows")
+    copies = scratch.keep(rows.where("uid <> cid").select("uid"), "copies")
+    reps = scratch.keep(has.join(copies, "uid", "left_anti").select(F.col("uid").alias("cid"), "doc", "sig", "n", "heads"), "reps")
     scratch.drop("sets")
-    enters = F.col("n") - F.ceil(F.col("n") * percent / 100.0 - 1e-9) + 1
-    plain = reps.select("doc", F.explode(F.slice("heads", F.lit(1), enters.cast("int"))).alias("cell"))
-    full = scratch.keep(plain.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"), "cells")
-    most = lambda cells: cells.where(F.col("n") >= common).orderBy(F.desc("n"), "cell").limit(most_common).toPandas()
-    late, later = most(full), None
-    for _ in range(ROUNDS if len(late) else 0):
-        order = Late(late["cell"].to_numpy(np.int64), late["n"].to_numpy(np.int64))
-        later = scratch.keep(_later_cells(scratch, reps, texts, words, percent, order), "later-cells")
-        again = later.groupBy("cell").agg(F.count("*").alias("more")).where("more > 1").join(full, "cell", "left")
-        known = F.broadcast(spark.createDataFrame(late[["cell"]]))  # at most ``most_common`` rows
-        again = most(again.join(known, "cell", "left_anti").select("cell", (F.col("more") + F.coalesce("n", F.lit(0))).alias("n")))
-        again = again[: max(0, most_common - len(late))]
-        if not len(again):
-            break
-        late = pd.concat([late, again], ignore_index=True)
-    if later is None:
-        members = plain.join(full, "cell", "left_semi")
-    else:
-        gone = F.broadcast(spark.createDataFrame(pd.DataFrame({"cell": order.cells})))
-        members = plain.join(gone, "cell", "left_anti").unionByName(later)
-        twice = later.join(full, "cell", "left_anti").select("cell").distinct()
-        members = members.join(scratch.keep(full.select("cell").union(twice), "shared"), "cell", "left_semi")
-    # Size bands: linked sets are of one band or of neighbours.
-    sized = members.distinct().join(rows.where("doc = rep").select("doc", "n").distinct(), "doc")
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9)
-    sized = sized.select("cell", "doc", "n", F.explode(F.array(band, band - 1)).alias("band"))
-    first = sized.select(F.xxhash64("cell", "band").alias("region"), F.col("doc").alias("x"), "n").distinct()
-    regions = _live(scratch, scratch.keep(first, "first"), None, reps)
-    scratch.drop("first", "cells", "later", "later-cells", "shared", "picked")
+
+    full = crowded_sets(scratch, reps, texts.where("doc is not null"), words, percent)
+    scratch.drop("reps")
+    regions = clusters(scratch, full, percent).join(full, "cid")
+    regions = scratch.keep(regions.select("region", "cid", F.col("cid").alias("label"), F.lit(0).alias("part"), "n", "set"), "regions")
+    scratch.drop("full", "df", "members")
+    links = region_links(scratch, regions, percent, task_docs, task_hashes, pivots)
 
     # Rows of one id with different texts belong together.
-    own = rows.where("rep is not null").groupBy("doc").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
-    links = rows.join(own, "doc").where("rep <> lo").select(F.col("lo").alias("a"), F.col("rep").alias("b")).distinct()
-    links, comp, level = scratch.keep(links, "links"), None, 1
-    while regions.limit(1).count():
-        more, met = _level(scratch, regions, level, texts, words, percent)
-        comp = _joined(scratch, comp, links.union(more) if comp is None else more)
-        children = scratch.keep(_children(scratch, met, comp, percent).distinct(), "children")
-        regions, level = _live(scratch, children, comp, reps), level + 1
-        scratch.drop("children", "rest", "met", "found", "measured", "whole", "pairs", "pivots", "cc", "cc-large", "cc-small", "joined")
-    comp = comp if comp is not None else components(links, scratch)
-    out = rows.join(comp.withColumnsRenamed({"id": "rep"}), "rep", "left")
-    alone = F.when(F.col("doc") != LAST_ID, F.coalesce("component", "rep", "doc"))
-    return out.select(
-        F.when(F.col("doc") != LAST_ID, F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"), alone.alias("component_id")
-    )
+    several = rows.groupBy("doc").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.count("*").alias("m")).where("m > 1 and doc is not null")
+    several = scratch.keep(several, "several")
+    ties = rows.join(several.where("lo < hi").select("doc", "lo"), "doc").where("cid <> lo").select(F.col("cid").alias("a"), F.col("lo").alias("b"))
+    comp = scratch.keep(components(links.union(ties), scratch), "components")
+    least = comp.join(classes.select(F.col("cid").alias("id"), "rep"), "id").groupBy("component").agg(F.min("rep").alias("least"))
+    joined = comp.join(least, "component").select(F.col("id").alias("cid"), "least")
+    of_class = classes.select("cid", "rep").join(joined, "cid", "left").select("cid", F.coalesce("least", "rep").alias("least"))
+    of_class = scratch.keep(of_class, "of-class")
+    of_id = several.join(of_class.select(F.col("cid").alias("lo"), F.col("least").alias("tied")), "lo").select("doc", "tied")
+    scratch.drop("regions", "big", "pivots", "met", "rest", "children", "child-sizes", "parents", "sizes", "links", "cc", "cc-large", "cc-small", "components")
+    out = rows.join(of_class, "cid", "left").join(of_id, "doc", "left")
+    own = F.when(F.col("doc").isNotNull(), F.coalesce("tied", "least", "doc"))
+    return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), own.alias("component_id"))
