@@ -237,11 +237,12 @@ def crowded_sets(scratch: Scratch, reps: DataFrame, texts: DataFrame, words: int
     other set has looked at, that every linked set would have to hold one of them, and to have
     looked at it. Then it has no links. A set that finds fewer among all its shingles stays.
     What one set looks at may be what another one thought its own, so this goes on, round by
-    round, until every set has enough of its own or has looked at all it has.
+    round, until every set has enough of its own or has looked at all it has. The counts of every
+    round are bucketed by shingle, so a later round, which looks at little, moves only that.
     """
     k = _over_column(F.col("n"), percent).cast("long")
     cells = reps.select("cid", F.explode("heads").alias("cell"))
-    layers = [scratch.keep(_counted(cells), "layer")]
+    layers = [scratch.keep_dealt(_counted(cells), "layer", "cell")]
     more = _shared_in(cells, layers[0].where("n > 1"))
     state = reps.select("cid", "doc", "sig", "n", F.size("heads").cast("long").alias("upto"))
     state = scratch.keep(state.join(more, "cid", "left").select("cid", "doc", "sig", "n", "upto", F.coalesce("more", F.lit(0)).alias("shared")), "state")
@@ -264,7 +265,7 @@ def crowded_sets(scratch: Scratch, reps: DataFrame, texts: DataFrame, words: int
         ranges = asked.select("cid", "upto", "reach")
         cells = reduce(DataFrame.union, [w.join(ranges, "cid").select("cid", part) for w in whole[1:]])
         cells = scratch.keep(cells, "cells")
-        layer = scratch.keep(_counted(cells), "layer")
+        layer = scratch.keep_dealt(_counted(cells), "layer", "cell")
         mine = layer.select("cell", F.col("n").alias("n_here"))
         before = [old.join(mine.select("cell"), "cell") for old in layers]
         before = reduce(DataFrame.union, before).groupBy("cell").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"))

@@ -2,8 +2,9 @@
 
 Only hashes, ids and positions are shuffled for the counting; a text is moved once, when it
 meets the positions of its own dropped lines. A line that a third of all documents share is
-one row per task after partial aggregation, and the join that finds its places is one whose
-skewed partitions adaptive execution splits.
+one row per task after partial aggregation. The shared hashes are written before the join that
+finds their places: both of its sides are then plain exchanges, so adaptive execution splits
+the partition of such a line (it can't where one side is what an aggregation left).
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftspark.llm.shared import LAST_ID, SPACE, ascii_lower
+from weftspark.llm.shared import SPACE, ascii_lower, join_null_safe, written
 
 
 def line_key(line: Column) -> Column:
@@ -34,12 +35,13 @@ def dedup_lines(
     * A null or empty text is one empty line and stays as "".
     * A null id counts as one more document, after all others.
     * Rows that repeat an id count as one document; each row keeps its own lines.
+    * Very long texts are handled whole: lines are rows, and a text's dropped ones a byte each.
     * Names that clash with the helper columns are no problem: these begin with ``_ld_``.
     * An empty table gives an empty table.
     """
     base = docs.withColumns({
         "_ld_text": F.coalesce(F.col(text_col), F.lit("")),
-        "_ld_doc": F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)),
+        "_ld_doc": F.col(id_col).cast("long"),
     }).withColumn("_ld_row", F.xxhash64("_ld_text"))
 
     lines = (
@@ -53,17 +55,18 @@ def dedup_lines(
         )
     )
     by = ["_ld_h1", "_ld_h2"]
-    if min_docs <= 2:  # two distinct documents: the least is not the greatest
-        seen = lines.groupBy(*by).agg(F.min("_ld_doc").alias("_ld_first"), F.max("_ld_doc").alias("_ld_last"))
-        shared = seen.where((F.col("_ld_first") < F.col("_ld_last")) if min_docs == 2 else F.lit(True))
+    least, anonymous = F.min("_ld_doc").alias("_ld_first"), F.max(F.col("_ld_doc").isNull()).alias("_ld_none")
+    if min_docs <= 2:  # two distinct documents: the least is not the greatest, or one has no id
+        seen = lines.groupBy(*by).agg(least, F.max("_ld_doc").alias("_ld_last"), anonymous)
+        two = (F.col("_ld_first") < F.col("_ld_last")) | (F.col("_ld_first").isNotNull() & F.col("_ld_none"))
+        shared = seen.where(two if min_docs == 2 else F.lit(True))
     else:
         seen = lines.select(*by, "_ld_doc").distinct().groupBy(*by)
-        shared = seen.agg(F.min("_ld_doc").alias("_ld_first"), F.count("*").alias("_ld_n")).where(
-            F.col("_ld_n") >= min_docs
-        )
+        shared = seen.agg(least, F.count("*").alias("_ld_n")).where(F.col("_ld_n") >= min_docs)
+    shared = written(shared.where(F.col("_ld_first").isNotNull()).select(*by, "_ld_first"), "shared-lines")
     dropped = (
-        lines.join(shared.select(*by, "_ld_first"), by)
-        .where(F.col("_ld_doc") > F.col("_ld_first"))
+        lines.join(shared, by)
+        .where(F.col("_ld_doc").isNull() | (F.col("_ld_doc") > F.col("_ld_first")))
         .groupBy("_ld_doc", "_ld_row")
         .agg(F.array_sort(F.collect_set("_ld_pos")).alias("_ld_gone"))
     )
@@ -82,7 +85,7 @@ def dedup_lines(
     )
     n_lines = F.char_length("_ld_text") - F.char_length(F.replace(F.col("_ld_text"), F.lit("\n"), F.lit(""))) + 1
     out = [F.col(c) for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
-    return base.join(masks, ["_ld_doc", "_ld_row"], "left").select(
+    return join_null_safe(base, masks, ["_ld_doc", "_ld_row"], "left").select(
         *out,
         F.when(F.col("_ld_mask").isNull(), F.col("_ld_text")).otherwise(kept).alias(text_col),
         n_lines.cast("long").alias("n_lines"),

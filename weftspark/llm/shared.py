@@ -13,16 +13,18 @@ SPACE = " \t\n\x0b\x0c\r"
 #: A word, as a Java pattern: a run of anything else.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LAST_ID = 2**63 - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Where the setting is absent (tests on one machine) a temporary folder is set.
+    Where the setting is absent a temporary folder is set, but only with a local master: on a
+    cluster every machine would have such a folder of its own.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='weft-shared-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -47,6 +49,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark, self.folder = spark, fresh_path(spark, name)
         self.paths: dict[str, list[str]] = {}
+        self.tables: dict[str, list[str]] = {}
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """``df`` as a written table, see ``written``."""
@@ -55,9 +58,20 @@ class Scratch:
         self.paths.setdefault(name, []).append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def keep_dealt(self, df: DataFrame, name: str, column: str) -> DataFrame:
+        """``df`` as a table bucketed by a column: joins on it read both sides without a shuffle."""
+        path, table = f"{self.folder}/{name}-{uuid.uuid4().hex}", f"weft_{uuid.uuid4().hex}"
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df.write.bucketBy(buckets, column).option("path", path).saveAsTable(table)
+        self.paths.setdefault(name, []).append(path)
+        self.tables.setdefault(name, []).append(table)
+        return self.spark.table(table)
+
     def drop(self, *names: str) -> None:
         """Deletes the tables of these names, which nothing will read again."""
         for name in names:
+            for table in self.tables.pop(name, []):
+                self.spark.sql(f"drop table {table}")
             for path in self.paths.pop(name, []):
                 place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
                 place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
