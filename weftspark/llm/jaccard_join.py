@@ -205,19 +205,20 @@ def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _whole_sets(scratch: Scratch, texts: DataFrame, asked: DataFrame, words: int) -> DataFrame:
-    """(cid, set): the sets of the asked (cid, doc, sig), made again from the texts.
+    """(cid, upto, reach, set): the sets of the asked (cid, doc, sig, upto, reach), made again from the texts.
 
     The asked rows are broadcast while they are few; beyond, texts and rows meet in a shuffle.
+    The sets are bucketed by cid, so they are not moved again to meet later rows.
     """
-    asked = asked.select("doc", "sig", "cid")
+    asked = asked.select("doc", "sig", "cid", "upto", "reach")
     asked = F.broadcast(asked) if asked.count() <= SENT_ROWS else asked
 
     def make(part, sets):
         same = pa.array([_signature(s) == sig if len(s) else False for s, sig in zip(sets, part.column(1).to_pylist(), strict=True)], pa.bool_())
-        return pa.RecordBatch.from_arrays([part.column(0), _lists(sets)], names=["cid", "set"]).filter(same)
+        return pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), _lists(sets)], names=["cid", "upto", "reach", "set"]).filter(same)
 
-    met = texts.join(asked, "doc").select("cid", "sig", "text")
-    return scratch.keep(_map_texts(met, words, "cid long, set array<long>", make), "whole")
+    met = texts.join(asked, "doc").select("cid", "sig", "upto", "reach", "text")
+    return scratch.keep_dealt(_map_texts(met, words, "cid long, upto long, reach long, set array<long>", make).repartition("cid"), "whole", "cid")
 
 
 def _counted(cells: DataFrame) -> DataFrame:
@@ -246,8 +247,7 @@ def crowded_sets(scratch: Scratch, reps: DataFrame, texts: DataFrame, words: int
     more = _shared_in(cells, layers[0].where("n > 1"))
     state = reps.select("cid", "doc", "sig", "n", F.size("heads").cast("long").alias("upto"))
     state = scratch.keep(state.join(more, "cid", "left").select("cid", "doc", "sig", "n", "upto", F.coalesce("more", F.lit(0)).alias("shared")), "state")
-    whole = [reps.where(F.size("heads") == F.col("n")).select("cid", F.col("heads").alias("set"))]
-    made = None
+    whole, made = [], None
     while True:
         own = F.col("upto") - F.col("shared")
         lacking = state.where((own < k) & (F.col("upto") < F.col("n")))
@@ -259,12 +259,12 @@ def crowded_sets(scratch: Scratch, reps: DataFrame, texts: DataFrame, words: int
             break
         new = asked if made is None else scratch.keep(asked.join(made, "cid", "left_anti"), "asked")
         fresh = _whole_sets(scratch, texts, new, words)
-        whole.append(fresh)
-        made = fresh.select("cid") if made is None else made.union(fresh.select("cid"))
         part = F.explode(F.slice("set", (F.col("upto") + 1).cast("int"), (F.col("reach") - F.col("upto")).cast("int"))).alias("cell")
         ranges = asked.select("cid", "upto", "reach")
-        cells = reduce(DataFrame.union, [w.join(ranges, "cid").select("cid", part) for w in whole[1:]])
-        cells = scratch.keep(cells, "cells")
+        cells = [w.select("cid", "set").join(ranges, "cid").select("cid", part) for w in whole]
+        cells = scratch.keep(reduce(DataFrame.union, [*cells, fresh.select("cid", part)]), "cells")
+        whole.append(fresh)
+        made = fresh.select("cid") if made is None else made.union(fresh.select("cid"))
         layer = scratch.keep_dealt(_counted(cells), "layer", "cell")
         mine = layer.select("cell", F.col("n").alias("n_here"))
         before = [old.join(mine.select("cell"), "cell") for old in layers]
@@ -280,7 +280,9 @@ def crowded_sets(scratch: Scratch, reps: DataFrame, texts: DataFrame, words: int
         state = scratch.keep(state, "state")
     scratch.drop("layer", "cells", "hot")
     full = state.where((F.col("upto") == F.col("n")) & (F.col("upto") - F.col("shared") < k)).select("cid", "n")
-    full = scratch.keep(reduce(DataFrame.union, [w.join(full, "cid").select("cid", "n", "set") for w in whole]), "full")
+    # Sets that are in ``heads`` as a whole are those of a few words.
+    whole.append(reps.where(F.size("heads") == F.col("n")).select("cid", F.col("heads").alias("set")).repartition("cid"))
+    full = scratch.keep_dealt(reduce(DataFrame.union, [w.select("cid", "set").join(full, "cid").select("cid", "n", "set") for w in whole]), "full", "cid")
     scratch.drop("whole", "state", "asked")
     return full
 
