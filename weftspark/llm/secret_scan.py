@@ -1,14 +1,19 @@
 """Secret scans: fixed patterns, and a randomness test battery for token-like strings.
 
 Base spans come from three patterns. The method then looks at every long token that holds
-letters and digits, infers its encoding, and asks whether it looks drawn at random from that
-alphabet: chi-squared uniformity of the symbols, number of runs above and below the middle of
-the alphabet, and lag-1 serial correlation. The three p-values make one per token; a
-Benjamini-Hochberg step over all tokens of the corpus, weighted by length, says which tokens
-are not random. The others are reported as spans of kind ``random``.
+letters and digits and overlaps no base span, infers its encoding, and puts it through three
+tests: chi-squared uniformity of the symbols over that alphabet, number of runs of its two
+halves (digits and capitals, small letters), and lag-1 serial correlation.
+
+Each test is asked two things. Does the token differ from a random string? If one test says so,
+it is none. Could it be a natural one, a name or an identifier? There the null is a natural
+token, whose symbols are as uneven or whose halves change as seldom as those of words; the greater
+of the two p-values stands for both, and a Benjamini-Hochberg step over all tokens of the corpus,
+weighted by length, says which ones are no natural tokens. These are reported as spans of kind
+``random``, so what the step bounds is the share of natural tokens among them.
 
 Everything is Column expressions; what is gathered for the step is a histogram of p-values of
-at most P_BINS rows.
+at most P_BINS rows. Work on a text grows with its length, however many spans it has.
 """
 
 from __future__ import annotations
@@ -27,16 +32,32 @@ KINDS = ("assign", "access", "hex", "random")
 
 #: A token for the battery: long, of one of the alphabets, with a digit and a letter.
 TOKEN = r"[A-Za-z0-9+/_-]{20,}"
-# Alphabets by encoding, in the order in which they are tried.
-ALPHABETS = (
-    ("hex", "0123456789abcdef", r"^[0-9a-f]+$"),
-    ("HEX", "0123456789ABCDEF", r"^[0-9A-F]+$"),
-    ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", r"^[A-Z2-7]+$"),
-    ("base36", "0123456789abcdefghijklmnopqrstuvwxyz", r"^[0-9a-z]+$"),
-    ("base62", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", r"^[0-9A-Za-z]+$"),
-    ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_", r"^[0-9A-Za-z+/_-]+$"),
+_LOWER, _CAPITAL, _DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+# Encodings in the order in which they are tried: the two halves of the alphabet,
+# a pattern, and how uneven natural symbols are: k * sum(q^2) - 1, with the sum over the letters
+# of English words (0.066; 0.048 with a capital in six letters) or, for the hexadecimal ones, over
+# decimal digits (0.1).
+ENCODINGS = (
+    ("hex", _DIGIT, "abcdef", r"^[0-9a-f]+$", 0.6),
+    ("HEX", _DIGIT, "ABCDEF", r"^[0-9A-F]+$", 0.6),
+    ("base32", "234567", _CAPITAL, r"^[A-Z2-7]+$", 1.1),
+    ("base36", _DIGIT, _LOWER, r"^[0-9a-z]+$", 1.4),
+    ("base62", _DIGIT + _CAPITAL, _LOWER, r"^[0-9A-Za-z]+$", 2.0),
+    ("base64", _DIGIT + _CAPITAL + "+/-_", _LOWER, r"^[0-9A-Za-z+/_-]+$", 2.1),
 )
+#: A natural token goes over to the other half at this share of the places where a random one does.
+SELDOM = 0.4
+#: A token for which a test of randomness has a p-value below this is not random.
+VETO = 0.001
 P_BINS, BINS_PER_HALVING = 1024, 16
+#: Matches of a text up to which their places are added up one by one; beyond, a mask of the text
+#: tells them, which costs the same for any number.
+FEW = 64
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, even where ``use`` reads it for every element of an array."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _spans(text: Column, pattern: str, rank: int, group: int = 0, least: int = 0) -> Column:
@@ -46,23 +67,47 @@ def _spans(text: Column, pattern: str, rank: int, group: int = 0, least: int = 0
     pieces and the first k matches. ``least``: matches whose ``group`` is shorter are dropped.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if least else found
     steps = F.arrays_zip(
         F.slice(F.transform(F.split(text, pattern, -1), F.char_length), 1, F.size(found)).alias("skip"),
         F.transform(found, F.char_length).alias("len"),
         F.transform(inner, F.char_length).alias("inner"),
     )
-    none = F.array().cast("array<struct<start:int,rank:int,end:int>>")
+    none = F.array().cast("array<struct<start:int,len:int,inner:int>>")
     empty = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
+    def placed(start: Column, x: Column) -> Column:
+        return F.struct(start.cast("int").alias("start"), x["len"].alias("len"), x["inner"].alias("inner"))
+
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["skip"]
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + x["len"]).alias("end"))
-        out = F.when(x["inner"] >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
-        return F.struct((start + x["len"]).alias("at"), out.alias("out"))
+        return F.struct((start + x["len"]).alias("at"), F.concat(acc["out"], F.array(placed(start, x))).alias("out"))
 
-    places = F.aggregate(steps, empty, step, lambda acc: acc["out"])
-    return F.when(F.regexp_like(text, F.lit(pattern)), places).otherwise(none)
+    # A byte per code point, 1 where a match starts: a look-up by position costs the same anywhere.
+    marks = F.transform(steps, lambda x: F.concat(F.repeat(F.lit("0"), x["skip"]), F.lit("1"), F.repeat(F.lit("0"), x["len"] - 1)))
+    mask = F.array_join(marks, "").cast("binary")
+    all_places = lambda m: F.sequence(F.lit(0), F.octet_length(m) - 1)
+    starts = _once(mask, lambda m: F.filter(all_places(m), lambda i: F.substring(m, i + 1, F.lit(1)) == F.lit(b"1")))
+    few = F.aggregate(steps, empty, step, lambda acc: acc["out"])
+    places = F.when(F.size(found) <= FEW, few).otherwise(F.zip_with(starts, steps, placed))
+    places = F.when(F.regexp_like(text, F.lit(pattern)), places).otherwise(none)
+    if least:
+        places = F.filter(places, lambda x: x["inner"] >= least)
+    return F.transform(places, lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), (x["start"] + x["len"]).alias("end")))
+
+
+def _apart(tokens: Column, base: Column) -> Column:
+    """The tokens that no span of one base kind overlaps; both in the order of their starts.
+
+    The spans of a kind as a mask: a byte per code point up to the last one's end, 1 inside.
+    """
+    before = lambda b, i: F.when(i > 0, F.get(b, i - 1)["end"]).otherwise(F.lit(0))
+    ones = lambda s: F.repeat(F.lit("1"), s["end"] - s["start"])
+    runs = _once(base, lambda b: F.transform(b, lambda s, i: F.concat(F.repeat(F.lit("0"), s["start"] - before(b, i)), ones(s))))
+    mask = F.array_join(runs, "").cast("binary")
+    inside = lambda m, s: F.substring(m, s["start"] + 1, s["end"] - s["start"]).cast("string")
+    free = _once(mask, lambda m: F.filter(tokens, lambda s: ~F.contains(inside(m, s), F.lit("1"))))
+    return F.when(F.size(base) > 0, free).otherwise(tokens)
 
 
 def _upper_tail(z: Column) -> Column:
@@ -84,15 +129,15 @@ def _pick(encoding: Column, values: dict) -> Column:
 def battery(tokens: Column) -> Column:
     """Over an array of structs with a field ``token``: adds encoding, length and p-values.
 
-    ``p`` is three times the least of p_uniform, p_runs and p_serial (1 at most): small where
-    the token is no random string of its encoding's alphabet.
+    p_uniform, p_runs and p_serial are small where the token is no random string; ``p`` is small
+    where it is no natural one either, and 1 where one of the three is below VETO.
     """
-    letters = {name: x for name, x, _ in ALPHABETS}
-    halves = {name: "0" * (len(x) // 2) + "1" * (len(x) - len(x) // 2) for name, x in letters.items()}
+    letters = {name: a + b for name, a, b, _, _ in ENCODINGS}
+    halves = {name: "0" * len(a) + "1" * len(b) for name, a, b, _, _ in ENCODINGS}
 
     def encoding(x: Column) -> Column:
-        out = F.lit("base64")
-        for name, _, pattern in reversed(ALPHABETS[:-1]):
+        out = F.lit(ENCODINGS[-1][0])
+        for name, _, _, pattern, _ in reversed(ENCODINGS[:-1]):
             out = F.when(F.regexp_like(x["token"], F.lit(pattern)), F.lit(name)).otherwise(out)
         return out
 
@@ -110,9 +155,8 @@ def battery(tokens: Column) -> Column:
         return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
 
     def z_chi(x: Column) -> Column:  # the cube-root rule of Wilson and Hilferty
-        chi = F.greatest(x["squares"] * x["k"] / x["length"] - x["length"], F.lit(0.0))
         v = 2 / (9 * (x["k"] - 1))
-        return (F.pow(chi / (x["k"] - 1), F.lit(1 / 3)) - (1 - v)) / F.sqrt(v)
+        return (F.pow(x["chi"] / (x["k"] - 1), F.lit(1 / 3)) - (1 - v)) / F.sqrt(v)
 
     def z_runs(x: Column) -> Column:
         n, n1 = x["length"].cast("double"), x["ones"].cast("double")
@@ -129,13 +173,29 @@ def battery(tokens: Column) -> Column:
         n = x["length"].cast("double")
         return F.when(x["ss"] > 0, F.abs(x["lag"] / F.greatest(x["ss"], F.lit(1e-9)) + 1 / n) * F.sqrt(n)).otherwise(F.sqrt(n))
 
+    def natural_uniform(x: Column) -> Column:  # a smaller chi-squared than that of natural symbols, which is not central
+        off = x["length"] * x["uneven"]
+        return _upper_tail((x["k"] - 1 + off - x["chi"]) / F.sqrt(2 * (x["k"] - 1) + 4 * off))
+
+    def natural_runs(x: Column) -> Column:  # more changes of the half than a natural token has
+        places = x["length"] - 1
+        return _upper_tail((x["runs"] - 1.5 - places * x["change"]) / F.sqrt(places * x["change"] * (1 - x["change"])))
+
+    def combined(x: Column) -> Column:
+        natural = F.greatest(x["natural_uniform"], x["natural_runs"])
+        return F.when(F.least(x["p_uniform"], x["p_runs"], x["p_serial"]) < VETO, 1.0).otherwise(natural)
+
+    share = {name: len(a) / len(a + b) for name, a, b, _, _ in ENCODINGS}
     fields = (
         ("encoding", encoding),
         ("length", lambda x: F.char_length(x["token"])),
         ("letters", lambda x: _pick(x["encoding"], letters)),
         ("k", lambda x: _pick(x["encoding"], {name: float(len(own)) for name, own in letters.items()})),
+        ("uneven", lambda x: _pick(x["encoding"], {name: u for name, _, _, _, u in ENCODINGS})),
+        ("change", lambda x: _pick(x["encoding"], {name: SELDOM * 2 * q * (1 - q) for name, q in share.items()})),
         ("symbols", lambda x: F.split(x["token"], "")),
         ("squares", squares),
+        ("chi", lambda x: F.greatest(x["squares"] * x["k"] / x["length"] - x["length"], F.lit(0.0))),
         ("bits", bits),
         ("ones", lambda x: F.char_length(F.replace(x["bits"], F.lit("0"), F.lit("")))),
         ("runs", lambda x: F.char_length(F.regexp_replace(F.regexp_replace(x["bits"], "0+", "a"), "1+", "b"))),
@@ -147,19 +207,21 @@ def battery(tokens: Column) -> Column:
         ("p_uniform", lambda x: _upper_tail(z_chi(x))),
         ("p_runs", lambda x: 2 * _upper_tail(z_runs(x))),
         ("p_serial", lambda x: 2 * _upper_tail(z_serial(x))),
-        ("p", lambda x: F.least(F.lit(1.0), 3 * F.least(x["p_uniform"], x["p_runs"], x["p_serial"]))),
+        ("natural_uniform", natural_uniform),
+        ("natural_runs", natural_runs),
+        ("p", combined),
     )
     def adding(name: str, value: Callable[[Column], Column]) -> Callable[[Column], Column]:
         return lambda x: x.withField(name, value(x))
 
     for name, value in fields:
         tokens = F.transform(tokens, adding(name, value))
-    work = ("letters", "k", "symbols", "squares", "bits", "ones", "runs", "at", "mean", "away", "ss", "lag")
+    work = ("letters", "k", "uneven", "change", "symbols", "squares", "chi", "bits", "ones", "runs", "at", "mean", "away", "ss", "lag")
     return F.transform(tokens, lambda x: x.dropFields(*work))
 
 
 def length_weight(length: Column) -> Column:
-    """Weight of a token's hypothesis: long tokens, whose tests have power, bear more of alpha."""
+    """Weight of a token's hypothesis: long tokens, whose tests have power, get more of alpha."""
     return F.when(length < 32, 0.5).when(length < 64, 1.0).otherwise(2.0)
 
 
@@ -192,39 +254,52 @@ def token_spans(text: Column) -> Column:
     return F.filter(spans, lambda s: F.regexp_like(s["token"], F.lit("[0-9]")) & F.regexp_like(s["token"], F.lit("[A-Za-z]")))
 
 
+def _with_spans(docs: DataFrame, text_col: str) -> DataFrame:
+    """Adds ``base`` and ``_ss_tokens``, the tokens that no base span overlaps."""
+    df = docs.withColumn("_ss_text", F.coalesce(F.col(text_col), F.lit("")))
+    text = F.col("_ss_text")
+    df = df.withColumns({
+        "_ss_0": _spans(text, ASSIGN, 0, group=2, least=12),
+        "_ss_1": _spans(text, ACCESS, 1),
+        "_ss_2": _spans(text, HEX, 2),
+        "_ss_tokens": token_spans(text),
+    })
+    kinds = ("_ss_0", "_ss_1", "_ss_2")
+    tokens = F.col("_ss_tokens")
+    for kind in kinds:
+        tokens = _apart(tokens, F.col(kind))
+    tokens = F.when(F.size("_ss_tokens") > 0, tokens).otherwise(F.col("_ss_tokens"))
+    return df.withColumns({"base": F.array_sort(F.concat(*kinds)), "_ss_tokens": tokens}).drop("_ss_text", *kinds)
+
+
 def scan_secrets(docs: DataFrame, text_col: str = "text", alpha: float = 0.01) -> DataFrame:
     """All columns of ``docs`` and two arrays: ``base`` and ``found``, structs (start, rank, end).
 
     ``rank`` counts KINDS from 0; arrays are ordered by start, then rank. ``base`` holds the
     fixed patterns' spans, ``found`` also a ``random`` span for every token that overlaps no
-    base span and whose randomness the battery does not reject at false-discovery rate ``alpha``.
+    base span and that the battery takes for random, at most a share ``alpha`` of them wrongly
+    as far as natural tokens are like its null.
 
-    * A null or empty text has no spans. Ids are not looked at, so they may be null or repeated.
+    * A null or empty text has no spans. Ids are not looked at, so they may be null or repeated;
+      rows repeated whole have equal spans, and count as often in the step.
     * Tokens without a letter or without a digit are not tested.
-    * Other columns keep their names and values; ``base`` and ``found`` are replaced.
+    * Very long texts are scanned whole, in time that grows with their length.
+    * Other columns keep their names and values; ``base`` and ``found`` are replaced, and names
+      that begin with ``_ss_`` are the operator's own.
+    * An empty table gives an empty table.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    texts = docs.select(text.alias("text"))
-    tested = texts.select(F.explode(battery(token_spans(F.col("text")))).alias("t")).select("t.*")
+    tested = _with_spans(docs.select(F.col(text_col).alias("text")), "text")
+    tested = tested.select(F.explode(battery(F.col("_ss_tokens"))).alias("t")).select("t.*")
     cut = false_discovery_cut(tested, alpha)
 
-    df = docs.withColumn("_ss_text", text).withColumns({
-        "base": F.array_sort(F.concat(
-            _spans(F.col("_ss_text"), ASSIGN, 0, group=2, least=12),
-            _spans(F.col("_ss_text"), ACCESS, 1),
-            _spans(F.col("_ss_text"), HEX, 2),
-        )),
-        "_ss_tokens": token_spans(F.col("_ss_text")),
-    })
-    apart = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    tokens = battery(F.filter("_ss_tokens", apart))
+    df = _with_spans(docs, text_col)
     weighted = lambda t: t["p"] / length_weight(t["length"])
     secret = F.transform(
-        F.filter(tokens, lambda t: weighted(t) > cut),
+        F.filter(battery(F.col("_ss_tokens")), lambda t: weighted(t) <= cut),
         lambda t: F.struct(t["start"].alias("start"), t["rank"].alias("rank"), t["end"].alias("end")),
     )
     found = F.when(F.size("_ss_tokens") > 0, F.array_sort(F.concat("base", secret))).otherwise(F.col("base"))
-    return df.withColumn("found", found).drop("_ss_text", "_ss_tokens")
+    return df.withColumn("found", found).drop("_ss_tokens")
 
 
 def listed(spans: Column | str) -> Column:
