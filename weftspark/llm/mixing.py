@@ -86,6 +86,8 @@ def plan_mix(
     * A null text has size 0; size 0 is taken 0 words. A null source is a source, the last one.
     * Null ids order by the hash of "". Equal ids order by size, then by the text's hash.
     * All texts empty: all targets are 0. An empty table gives an empty table.
+    * Rows repeated whole are rows of their own. Very long texts are counted whole.
+    * Columns of ``docs`` other than the three named are not looked at.
     """
     key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
     sized = written(
@@ -143,7 +145,7 @@ def plan_mix(
     time = due(F.least(done / F.greatest("_mx_taken", F.lit(1)), F.lit(1.0)), F.col("_mx_slope"))
     live = (F.col("copies") > 0) & (F.col("_mx_size") > 0)
     return out.select(
-        "doc_id", "row_key",
+        "doc_id", "row_key", F.col("_mx_source").alias("source"),
         F.col("_mx_size").alias("size"), F.col("_mx_s").alias("source_size"), F.col("_mx_target").alias("target"),
         F.when(live, F.col("copies")).otherwise(0).cast("long").alias("copies"),
         F.when(live, F.col("copies") * F.col("_mx_size")).otherwise(0).cast("long").alias("taken"),
@@ -153,23 +155,34 @@ def plan_mix(
     )
 
 
-def training_order(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _numbered(rows: DataFrame, by: list[str], order: list[Column | str]) -> DataFrame:
+    """``rows`` with ``_mx_number``, from 1 on among rows that are equal in ``by``."""
+    return rows.withColumn("_mx_number", F.row_number().over(W.partitionBy(*by).orderBy(*order)))
+
+
+def training_order(
+    docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
+) -> DataFrame:
     """The rows of ``docs`` as often as the plan takes them, range-sorted by training position.
 
     Copy k of a document stands k source lengths behind its first copy in the source's stream.
+
+    * Rows that repeat id, text and source are numbered, and so are their rows of the plan: each
+      gets the copies of one of these. A null id, text or source meets its like.
+    * Other columns go through; names that begin with ``_mx_`` are the operator's own.
     """
-    keyed = docs.withColumns({"_mx_id": F.col(id_col), "_mx_row": F.xxhash64(text_col)})
-    # Rows repeated whole share one key and one plan row's copies each: number them apart.
-    plan = plan.where(F.col("copies") > 0).select(
-        F.col("doc_id").alias("_mx_pid"), F.col("row_key").alias("_mx_pkey"), "copies", "_mx_s", "_mx_taken",
-        "_mx_start", "_mx_slope", "_mx_total",
+    by = ["_mx_id", "_mx_row", "_mx_source"]
+    hashed = {c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind} - {id_col, text_col, source_col}
+    others = [F.col(f"`{c}`") for c in sorted(hashed)]
+    keyed = docs.withColumns({"_mx_id": F.col(id_col), "_mx_row": F.xxhash64(text_col), "_mx_source": F.col(source_col)})
+    keyed = _numbered(keyed, by, [F.xxhash64(F.lit(0), *others)])
+    plan = plan.select(
+        F.col("doc_id").alias("_mx_id"), F.col("row_key").alias("_mx_row"), F.col("source").alias("_mx_source"),
+        "_mx_s", "_mx_taken", "_mx_start", "_mx_slope", "_mx_total", F.col("copies").alias("_mx_copies"),
     )
-    plan = plan.groupBy("_mx_pid", "_mx_pkey").agg(
-        F.max("copies").alias("copies"),
-        *[F.min(c).alias(c) for c in ("_mx_s", "_mx_taken", "_mx_start", "_mx_slope", "_mx_total")],
-    )
-    joined = keyed.join(plan, keyed["_mx_id"].eqNullSafe(plan["_mx_pid"]) & (keyed["_mx_row"] == plan["_mx_pkey"]))
-    joined = joined.withColumn("_mx_copy", F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))))
+    plan = _numbered(plan, by, ["_mx_start", F.desc("_mx_copies")]).where(F.col("_mx_copies") > 0)
+    joined = join_null_safe(keyed, plan, [*by, "_mx_number"])
+    joined = joined.withColumn("_mx_copy", F.explode(F.sequence(F.lit(0), (F.col("_mx_copies") - 1).cast("int"))))
     done = F.least((F.col("_mx_start") + F.col("_mx_copy") * F.col("_mx_s")) / F.greatest("_mx_taken", F.lit(1)), F.lit(1.0))
     joined = joined.withColumn("_mx_position", due(done, F.col("_mx_slope")) * F.col("_mx_total"))
-    return joined.orderBy("_mx_position", "_mx_id", "_mx_copy").select(*docs.columns)
+    return joined.orderBy("_mx_position", "_mx_id", "_mx_row", "_mx_copy").select(*docs.columns)
