@@ -1,13 +1,16 @@
 """Exact top-k by inner product with vector-approximation files.
 
 The approximation of a vector is one byte per component: the cell it falls into, of 256 cells
-between the component's least and greatest value over all vectors. A scan of the cells bounds
-every score from both sides; exact vectors are then read from the greatest upper bound down,
-until the k-th best exact score is above every bound that is left.
-
-Queries go to the executors in blocks of at most BLOCK rows, one pass over the vectors for
-PASS_BLOCKS blocks: what is broadcast has that bound however many queries there are. A task
-keeps k rows a query; partial results meet in a window per query.
+between the component's least and greatest value over all vectors. The approximations are
+written as a table of their own, the file that is scanned: blocks of queries meet chunks of
+cells, and every score gets a bound from both sides. A task hands on the vectors whose upper
+bound reaches the k-th lower bound it has seen; over all tasks the k-th lower bound is higher,
+and few are left. Their exact vectors are read in the order of their upper bounds: first READ
+times k for each query, then all whose bound reaches the k-th exact score found. No other can
+be among the k best.
+
+Queries are a table too. Nothing but the components' ranges goes through the driver, and what
+reaches a task is one block of queries and one chunk of cells at a time.
 """
 
 from __future__ import annotations
@@ -22,10 +25,13 @@ from pyspark.sql import functions as F
 
 from weftspark.llm.shared import written
 
-BLOCK, PASS_BLOCKS = 512, 16
+#: Queries of a block, vectors of a chunk, and blocks in a file of queries.
+BLOCK, CHUNK, FILE_BLOCKS = 512, 4096, 16
 CELLS = 256
-#: Below every score; its negative is a number too.
-NONE = np.iinfo(np.int64).min + 1
+#: Candidates read at first, in units of k.
+READ = 2
+#: Candidates a task holds before it looks again which ones its bounds still allow.
+HELD = 1_000_000
 
 
 def scaled(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
@@ -49,63 +55,121 @@ def approximate(low: np.ndarray, width: np.ndarray, x: np.ndarray) -> np.ndarray
     return np.minimum((x - low) // width, CELLS - 1).astype(np.uint8)
 
 
-class _Best:
-    """The k best (score, -id) of each query of a block so far."""
-
-    def __init__(self, n: int, k: int) -> None:
-        self.score = np.full((n, k), NONE, np.int64)
-        self.vec = np.full((n, k), np.iinfo(np.int64).max, np.int64)
-        self.k = k
+def _ranges(ints: DataFrame) -> list:
+    """Rows (place, low, high) of the components, in order; ValueError where scores could overflow."""
 
-    def floor(self) -> np.ndarray:
-        return self.score[:, -1]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low = high = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lengths = batch.column(0).value_lengths().to_numpy(zero_copy_only=False)
+            if lengths.min() != lengths.max() or (low is not None and len(low) != lengths[0]):
+                raise ValueError("vectors of different numbers of components")
+            x = _matrix(batch.column(0))
+            low = x.min(0) if low is None else np.minimum(low, x.min(0))
+            high = x.max(0) if high is None else np.maximum(high, x.max(0))
+        if low is not None:
+            columns = [pa.array(np.arange(len(low)), pa.int32()), pa.array(low), pa.array(high), pa.array([len(low)] * len(low), pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["place", "low", "high", "d"])
+
+    found = ints.select("x").mapInArrow(run, "place int, low long, high long, d int")
+    rows = found.groupBy("place").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("d").alias("d"), F.max("d").alias("most")).orderBy("place").collect()
+    if any(r["d"] != r["most"] for r in rows) or (rows and len(rows) != rows[0]["d"]):
+        raise ValueError("vectors of different numbers of components")
+    most = max((max(abs(r["low"]), abs(r["high"])) for r in rows), default=0)
+    if most * most * len(rows) >= 2**63:
+        raise ValueError(f"components of up to {most} after scaling: their inner products do not fit into 64 bits")
+    return rows
+
+
+def _packed(rows: DataFrame, size: int, code) -> DataFrame:
+    """(ids, data): rows (id, x) by ``size`` as bytes, ``code`` of the matrix."""
 
-    def take(self, i: int, score: np.ndarray, vec: np.ndarray) -> None:
-        s, v = np.concatenate([self.score[i], score]), np.concatenate([self.vec[i], vec])
-        order = np.lexsort((v, -s))[: self.k]
-        self.score[i], self.vec[i] = s[order], v[order]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, parts, n = [], [], 0
 
+        def flush() -> pa.RecordBatch:
+            columns = [pa.array([np.concatenate(ids).tobytes()], pa.binary()), pa.array([np.concatenate(parts).tobytes()], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["ids", "data"])
 
-def _search(low, width, blocks, k):
-    """A function over Arrow batches of (vec_id, x) for one pass of query blocks."""
+        for batch in batches:
+            for start in range(0, batch.num_rows, size):
+                part = batch.slice(start, size)
+                ids.append(np.column_stack([part.column(i).to_numpy() for i in range(part.num_columns - 1)]))
+                parts.append(code(_matrix(part.column(part.num_columns - 1))))
+                n += part.num_rows
+                if n >= size:
+                    yield flush()
+                    ids, parts, n = [], [], 0
+        if n:
+            yield flush()
+
+    return rows.mapInArrow(run, "ids binary, data binary")
+
+
+def _scan(low: np.ndarray, width: np.ndarray, k: int):
+    """A function over Arrow batches of pairs (chunk of cells, block of queries): candidates with bounds."""
+    d, top = len(low), (width - 1).astype(np.float64)
+
+    class Block:
+        def __init__(self, ids: bytes, data: bytes) -> None:
+            self.rows, self.ids = np.frombuffer(ids, np.int64).reshape(-1, 2).T
+            self.q = np.frombuffer(data, np.int64).reshape(-1, d).astype(np.float64)
+            self.over, self.under = np.maximum(self.q, 0) @ top, np.minimum(self.q, 0) @ top
+            self.best = np.full((len(self.ids), k), -np.inf)
+            self.found: list[tuple] = []
+            self.n = 0
+
+        def take(self, vec: np.ndarray, floor_of: np.ndarray) -> None:
+            base = self.q @ floor_of.T
+            upper, lower = base + self.over[:, None], base + self.under[:, None]
+            slack = 1e-9 * np.maximum(np.abs(upper), np.abs(lower)) + 1e-6  # of rounding in the sums
+            upper += slack
+            lower -= slack
+            own = self.ids[:, None] == vec[None, :]
+            upper[own] = lower[own] = -np.inf
+            both = np.concatenate([self.best, lower], axis=1)
+            self.best = -np.partition(-both, k - 1, axis=1)[:, :k]
+            at = self.best.min(axis=1)
+            i, j = np.nonzero((upper >= at[:, None]) & ~own)
+            self.found.append((i, vec[j], upper[i, j], lower[i, j]))
+            self.n += len(i)
+            if self.n > HELD:
+                self.prune()
+
+        def prune(self) -> tuple:
+            i, vec, upper, lower = (np.concatenate(x) for x in zip(*self.found, strict=True))
+            good = upper >= self.best.min(axis=1)[i]
+            self.found = [(i[good], vec[good], upper[good], lower[good])]
+            self.n = int(good.sum())
+            return self.found[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = [_Best(len(ids), k) for ids, _ in blocks.value]
-        top = width.astype(np.float64) - 1
+        blocks: dict[bytes, Block] = {}
         for batch in batches:
-            for start in range(0, batch.num_rows, 2048):
-                part = batch.slice(start, 2048)
-                vec, exact = part.column(0).to_numpy(), _matrix(part.column(1))
-                cells = approximate(low, width, exact)
-                floor_of = low + cells.astype(np.int64) * width  # all that the scan knows
-                floor_of = floor_of.astype(np.float64)
-                for (ids, q), state in zip(blocks.value, best, strict=True):
-                    qf = q.astype(np.float64)
-                    upper = qf @ floor_of.T + (np.maximum(qf, 0) @ top)[:, None]
-                    upper += 1e-9 * np.abs(upper) + 1e-6  # of rounding in the sums
-                    for i in np.flatnonzero((upper >= state.floor()[:, None]).any(axis=1)):
-                        near = np.flatnonzero(upper[i] >= state.floor()[i])
-                        near = near[np.argsort(-upper[i][near], kind="stable")]
-                        at = 0
-                        while at < len(near) and upper[i][near[at]] >= state.floor()[i]:
-                            chosen = near[at : at + 4 * k]  # the next exact vectors in bound order
-                            at += len(chosen)
-                            chosen = chosen[vec[chosen] != ids[i]]
-                            score = exact[chosen] @ q[i]
-                            good = score >= state.floor()[i]
-                            if good.any():
-                                state.take(i, score[good], vec[chosen][good])
-        for (ids, _), state in zip(blocks.value, best, strict=True):
-            found = state.vec != np.iinfo(np.int64).max
-            row, _ = np.nonzero(found)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[row]), pa.array(state.vec[found]), pa.array(state.score[found])],
-                names=["query_id", "vec_id", "score"],
-            )
+            for vec, cells, ids, data in zip(*(batch.column(c) for c in range(4)), strict=True):
+                ids = ids.as_py()
+                if ids not in blocks:
+                    blocks[ids] = Block(ids, data.as_py())
+                vec = np.frombuffer(vec.as_py(), np.int64)
+                floor_of = low + np.frombuffer(cells.as_py(), np.uint8).reshape(-1, d).astype(np.int64) * width
+                blocks[ids].take(vec, floor_of.astype(np.float64))
+        for block in blocks.values():
+            i, vec, upper, lower = block.prune()
+            columns = [pa.array(block.rows[i]), pa.array(block.ids[i]), pa.array(vec), pa.array(upper), pa.array(lower)]
+            yield pa.RecordBatch.from_arrays(columns, names=["q_row", "query_id", "vec_id", "upper", "lower"])
 
     return run
 
 
+def _exact(pairs: DataFrame, ints: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, vec_id, score) of pairs (q_row, query_id, vec_id), from the exact vectors."""
+    dot = F.aggregate(F.zip_with("x", "q", lambda a, b: a * b), F.lit(0).cast("long"), lambda acc, v: acc + v)
+    met = pairs.select("q_row", "query_id", "vec_id").join(ints, "vec_id").join(queries.select("q_row", F.col("x").alias("q")), "q_row")
+    return met.select("query_id", "vec_id", dot.alias("score"))
+
+
 def top_k(
     vectors: DataFrame,
     k: int = 10,
@@ -120,43 +184,39 @@ def top_k(
     with another id. Ties go to the smaller id.
 
     * Null vectors, vectors with a null, NaN or infinite component, empty ones and null ids take
-      no part. Vectors of another length than the commonest cannot be compared: an error says so.
+      no part. Vectors of different lengths cannot be compared, and components so large that
+      a score might not fit into 64 bits are not counted with: an error says so.
     * A row that repeats an id is one more candidate and is listed again. Queries that repeat
       an id share one result: the k best rows of both.
-    * Fewer than k candidates give as many rows; an empty table gives none.
+    * Fewer than k candidates give as many rows; an empty table gives none. Other columns are
+      not looked at.
     """
     spark = vectors.sparkSession
     ints = scaled(vectors, id_col, vec_col, scale)
-    queries = written(ints.where(F.col("vec_id") % query_every == 0), "va-queries")
-    shape = ints.select(F.size("x").alias("d")).agg(F.min("d"), F.max("d")).first()
-    schema = "query_id long, vec_id long, score long"
-    if shape[0] is None:
+    ranges = _ranges(ints)
+    if not ranges:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    if shape[0] != shape[1]:
-        raise ValueError(f"vectors of {shape[0]} and of {shape[1]} components")
-    ends = ints.agg(*[f(F.get("x", F.lit(d))) for d in range(shape[0]) for f in (F.min, F.max)]).first()
-    low, high = np.array(ends[0::2], np.int64), np.array(ends[1::2], np.int64)
+    low, high = np.array([r["low"] for r in ranges], np.int64), np.array([r["high"] for r in ranges], np.int64)
     width = (high - low) // CELLS + 1
 
-    # Row numbers only split the queries into passes; each pass takes BLOCK * PASS_BLOCKS at most.
-    n = queries.count()
-    passes = max(1, -(-n // (BLOCK * PASS_BLOCKS)))
-    marks = queries.stat.approxQuantile("vec_id", [i / passes for i in range(1, passes)], 0.0) if passes > 1 else []
-    edges = [None, *marks, None]
-    found = None
-    for lower, above in zip(edges, edges[1:], strict=False):
-        part = queries if lower is None else queries.where(F.col("vec_id") > int(lower))
-        part = part if above is None else part.where(F.col("vec_id") <= int(above))
-        rows = part.orderBy("vec_id").collect()
-        if not rows:
-            continue
-        ids = np.array([r[0] for r in rows], np.int64)
-        q = np.array([r[1] for r in rows], np.int64)
-        blocks = spark.sparkContext.broadcast([(ids[i : i + BLOCK], q[i : i + BLOCK]) for i in range(0, len(ids), BLOCK)])
-        near = ints.mapInArrow(_search(low, width, blocks, k), schema)
-        found = near if found is None else found.unionByName(near)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    queries = ints.where(F.col("vec_id") % query_every == 0).withColumn("q_row", F.monotonically_increasing_id())
+    queries = written(queries, "va-queries")
+    files = max(1, -(-queries.count() // (BLOCK * FILE_BLOCKS)))
+    blocks = written(_packed(queries.select("q_row", "vec_id", "x").repartition(files), BLOCK, lambda x: x), "va-blocks")
+    cells = written(_packed(ints.select("vec_id", "x"), CHUNK, lambda x: approximate(low, width, x)), "va-cells")
+    # The stated queries against all rows, in blocks: a row for each block and chunk.
+    paired = cells.crossJoin(blocks.withColumnsRenamed({"ids": "q_ids", "data": "q_data"}))
+    bounds = "q_row long, query_id long, vec_id long, upper double, lower double"
+    found = written(paired.mapInArrow(_scan(low, width, k), bounds), "va-bounds")
+
+    by_query = lambda *order: F.row_number().over(W.partitionBy("query_id").orderBy(*order))
+    least = found.withColumn("r", by_query(F.desc("lower"))).where(F.col("r") == k).select("query_id", F.col("lower").alias("bound"))
+    near = found.join(least, "query_id", "left").where("bound is null or upper >= bound")
+    near = near.groupBy("q_row", "query_id", "vec_id").agg(F.max("upper").alias("upper"))
+    near = written(near.withColumn("place", by_query(F.desc("upper"), "vec_id", "q_row")), "va-near")
+    first = written(_exact(near.where(F.col("place") <= READ * k), ints, queries), "va-first")
+    kth = first.withColumn("r", by_query(F.desc("score"))).where(F.col("r") == k).select("query_id", F.col("score").alias("kth"))
+    rest = near.where(F.col("place") > READ * k).join(kth, "query_id", "left").where("kth is null or upper >= kth")
+    all_found = first.union(_exact(rest, ints, queries))
+    ranked = all_found.withColumn("rank", by_query(F.desc("score"), "vec_id")).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
