@@ -20,5 +20,5 @@ def piece_digests(docs: DataFrame) -> DataFrame:
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return coded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"), "n_differing",
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )

@@ -4,9 +4,11 @@ A text is normalised by the model's rules, its spaces become the space mark, and
 (a mark and what follows it) is merged on its own: an agenda holds all adjacent symbol pairs
 that make a piece, ordered by score and place, and the best pair merges first. Units are
 independent because no piece has a mark behind another character, which is checked when the
-model is loaded. Texts arrive in Arrow batches; every unit that a worker sees for the first
-time is also encoded by the sentencepiece library; were its ids others, they would be taken
-and the unit counted in ``n_differing``.
+model is loaded. Texts arrive in Arrow batches, and the new units of a batch are merged together:
+short ones in rounds over one array that holds all their agendas, each round taking the best
+pair of every unit (``merge_many``), long ones and those with unknown characters each with a
+heap (``merge``). Every unit that a worker sees for the first time is also encoded by the
+sentencepiece library; other ids than its own are an error.
 """
 
 from __future__ import annotations
@@ -42,7 +44,6 @@ class Merger:
         self.ids: dict[str, int] = {}
         self.scores: dict[str, float] = {}
         self.bytes_: dict[int, int] = {}
-        self.own: set[str] = set()
         for i in range(size):
             piece = sp.id_to_piece(i)
             if sp.is_byte(i):
@@ -55,7 +56,6 @@ class Merger:
         if not self.apart:
             raise ValueError(f"{path}: pieces join words, so units can't be merged apart")
         self.known: dict[str, bytes] = {}
-        self.differing: set[str] = set()
         if any("\n" in p for p in self.ids) or not self.bytes_:
             raise ValueError(f"{path}: a line feed must be a byte token")
         self.cut = re.compile(rf"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n").findall
@@ -157,7 +157,7 @@ class Merger:
         return [raw[i:j] for i, j in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True)]
 
     def learn(self, units: list[str]) -> None:
-        """Merges units not seen before, checks them against the library, which has the last word."""
+        """Merges units not seen before and checks them against the library."""
         plain = [u for u in units if len(u) <= SHORT and self.usual(u)]
         others = set(units).difference(plain)
         new = dict(zip(plain, self.merge_many(plain), strict=True)) if plain else {}
@@ -169,17 +169,16 @@ class Merger:
         mine = np.frombuffer(feed[1:].tobytes().join([feed[:1].tobytes(), *(new[u] for u in lines)]), np.int32)
         if not np.array_equal(mine, theirs):
             for u in lines:
-                ids = np.array(self.library.encode("\n" + u.replace(MARK, " "))[len(feed):], np.int32).tobytes()
-                if ids != new[u]:
-                    self.differing.add(u)
-                    new[u] = ids
+                ids = self.library.encode("\n" + u.replace(MARK, " "))[len(feed):]
+                if ids != np.frombuffer(new[u], np.int32).tolist():
+                    raise ValueError(f"unit {u!r}: merged to {np.frombuffer(new[u], np.int32).tolist()}, by the library to {ids}")
+            raise ValueError(f"units merged to other ids than by the library, but only together: {lines[:20]}")
         self.known |= new
 
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, int]]:
-        """For each text its ids with the end id, and how many different units differ from the library's."""
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """For each text its ids with the end id."""
         if len(self.known) > UNITS:
             self.known.clear()
-            self.differing.clear()
         parts = [self.cut(self.library.normalize(t)) if t else [] for t in texts]
         new = set().union(*parts).difference(self.known)
         if new:
@@ -187,7 +186,7 @@ class Merger:
         out = []
         for units in parts:
             ids = np.frombuffer(b"".join(map(self.known.__getitem__, units)), np.int32)
-            out.append((np.append(ids, np.int32(self.end)), len(self.differing.intersection(units))))
+            out.append(np.append(ids, np.int32(self.end)))
         return out
 
 
@@ -200,22 +199,21 @@ def merger(path: str) -> Merger:
 def encode_texts(
     docs: DataFrame, model_path: str, text_col: str = "text", keep: list[str] | None = None, decode: bool = True
 ) -> DataFrame:
-    """The columns ``keep`` (all but the text, if not given), ``ids`` with the end id, ``decoded``
-    (the library's decode(ids)) and ``n_differing``, units on which the library's merges differ.
+    """The columns ``keep`` (all but the text, if not given), ``ids`` with the end id and
+    ``decoded`` (the library's decode(ids)).
 
     ``model_path`` is a vocabulary file that every worker can open.
 
     * A null or empty text has the end id alone and decodes to "".
     * Long texts are handled whole; rows are independent, so ids may be null or repeated.
-    * Columns of ``docs`` named like an output column are replaced.
+    * Columns of ``docs`` named like an output column are replaced. An empty table gives an empty one.
     """
-    made = ("ids", "decoded", "n_differing")
+    made = ("ids", "decoded")
     names = [c for c in (keep if keep is not None else docs.columns) if c not in (text_col, *made)]
     source = docs.select(*names, F.coalesce(F.col(text_col), F.lit("")).alias("_sp_text"))
     fields = [docs.schema[c] for c in names] + [
         T.StructField("ids", T.ArrayType(T.IntegerType())),
         *([T.StructField("decoded", T.StringType())] if decode else []),
-        T.StructField("n_differing", T.IntegerType()),
     ]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,15 +225,13 @@ def encode_texts(
                 while end < len(texts) and (end == start or chars + len(texts[end]) <= SLICE_CHARS):
                     chars += len(texts[end])
                     end += 1
-                coded = model.encode(texts[start:end])
-                ids = [c[0] for c in coded]
+                ids = model.encode(texts[start:end])
                 at = np.zeros(len(ids) + 1, np.int32)
                 np.cumsum([len(x) for x in ids], out=at[1:])
                 columns = [batch.column(i).slice(start, end - start) for i in range(len(names))]
                 columns.append(pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(ids))))
                 if decode:
                     columns.append(pa.array([model.library.decode(x.tolist()) for x in ids], pa.string()))
-                columns.append(pa.array([c[1] for c in coded], pa.int32()))
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
                 start = end
 
