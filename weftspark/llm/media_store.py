@@ -2,17 +2,17 @@
 
 An archive is a ZIP file whose members are stored PNG images of 8-bit samples, 64 a row; its
 central directory at the end lists names, offsets and lengths. ``write_archives`` lets every
-task write archives into the shared folder. The data source ``media_archive`` plans partitions
-as byte ranges of archives, from file sizes alone; a task reads the directory of its archive,
-takes the members whose offset lies in its range and streams their bytes in Arrow batches. A
-member that can't be read, or whose checksum is wrong, is read again by its offset, on its own.
+task write archives into the shared folder. The data source ``media_archive`` plans its partitions
+as shares of a listing of byte ranges, which Spark makes from the archives' sizes; a task reads
+the directories of its archives, takes the members whose offset lies in its ranges and streams
+their bytes in Arrow batches. A member that can't be read, or whose checksum is wrong, is read
+again by its offset, on its own.
 
 Files are reached through pyarrow's file systems by URI, so the shared folder may be any store.
 """
 
 from __future__ import annotations
 
-import json
 import struct
 import time
 import zlib
@@ -20,15 +20,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from weftspark.llm.shared import fresh_path
+from weftspark.llm.shared import fresh_path, written
 
 WIDTH = 64
 #: Bytes after which a task begins another archive, and bytes a partition of the source covers.
-ARCHIVE_BYTES, RANGE_BYTES = 64 << 20, 16 << 20
+ARCHIVE_BYTES, RANGE_BYTES = 64 << 20, 32 << 20
 BATCH_BYTES = 8 << 20
 TRIES = 4
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -150,9 +151,11 @@ def write_archives(payloads: DataFrame, folder: str) -> DataFrame:
     return payloads.mapInArrow(run, "archive string, bytes long, members long")
 
 
-class ByteRange(InputPartition):
-    def __init__(self, archive: str, size: int, start: int, end: int) -> None:
-        self.archive, self.size, self.start, self.end = archive, size, start, end
+class Share(InputPartition):
+    """One share of the byte ranges in a listing."""
+
+    def __init__(self, listing: str, number: int) -> None:
+        self.listing, self.number = listing, number
 
 
 def directory(file, size: int) -> list[tuple[bytes, int, int, int]]:
@@ -187,41 +190,51 @@ def read_member(open_file, name: bytes, offset: int, length: int, crc: int, paus
 
 
 class ArchiveReader(DataSourceReader):
+    """Plans a partition for each share of the listing; the driver knows no more than their number."""
+
     def __init__(self, options: dict) -> None:
-        self.archives = json.loads(options["archives"])
+        self.listing, self.shares = options["listing"], int(options["shares"])
 
-    def partitions(self) -> list[ByteRange]:
-        return [
-            ByteRange(uri, size, start, start + RANGE_BYTES)
-            for uri, size in self.archives
-            for start in range(0, size, RANGE_BYTES)
-        ]
+    def partitions(self) -> list[Share]:
+        return [Share(self.listing, i) for i in range(self.shares)]
+
+    def read(self, partition: Share | None) -> Iterator[pa.RecordBatch]:
+        import pyarrow.dataset as ds
 
-    def read(self, partition: ByteRange | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # without archives, Spark still asks once
             return
-        files, path = _filesystem(partition.archive)
-        opened: list = []
-
-        def open_file(attempt: int):
-            if attempt or not opened:
-                opened[:] = [files.open_input_file(path)]
-            return opened[0]
-
-        names, offsets, media, size = [], [], [], 0
-        for name, offset, length, crc in directory(open_file(0), partition.size):
-            if not partition.start <= offset < partition.end:
-                continue
-            data = read_member(open_file, name, offset, length, crc)
-            names.append(name.decode())
-            offsets.append(offset)
-            media.append(data)
-            size += length
-            if size >= BATCH_BYTES:
-                yield _batch(partition.archive, names, offsets, media)
-                names, offsets, media, size = [], [], [], 0
-        if names:
-            yield _batch(partition.archive, names, offsets, media)
+        files, path = _filesystem(partition.listing)
+        listing = ds.dataset(path, filesystem=files, format="parquet")
+        own = listing.to_table(filter=ds.field("share") == partition.number).sort_by([("archive", "ascending"), ("start", "ascending")])
+        uri, members = None, []
+        for row in own.to_pylist():
+            if row["archive"] != uri:
+                uri = row["archive"]
+                files, path = _filesystem(uri)
+                members = directory(files.open_input_file(path), row["bytes"])
+            yield from _members(files, path, uri, [m for m in members if row["start"] <= m[1] < row["end"]])
+
+
+def _members(files, path: str, uri: str, members: list[tuple[bytes, int, int, int]]) -> Iterator[pa.RecordBatch]:
+    opened: list = []
+
+    def open_file(attempt: int):
+        if attempt or not opened:
+            opened[:] = [files.open_input_file(path)]
+        return opened[0]
+
+    names, offsets, media, size = [], [], [], 0
+    for name, offset, length, crc in members:
+        data = read_member(open_file, name, offset, length, crc)
+        names.append(name.decode())
+        offsets.append(offset)
+        media.append(data)
+        size += length
+        if size >= BATCH_BYTES:
+            yield _batch(uri, names, offsets, media)
+            names, offsets, media, size = [], [], [], 0
+    if names:
+        yield _batch(uri, names, offsets, media)
 
 
 def _batch(archive: str, names: list, offsets: list, media: list) -> pa.RecordBatch:
@@ -232,7 +245,8 @@ def _batch(archive: str, names: list, offsets: list, media: list) -> pa.RecordBa
 
 
 class MediaArchives(DataSource):
-    """Format ``media_archive``; option ``archives``: JSON of [uri, bytes] pairs."""
+    """Format ``media_archive``. Options: ``listing``, a table of byte ranges (archive, bytes, start,
+    end, share), and ``shares``, into how many shares it deals them."""
 
     @classmethod
     def name(cls) -> str:
@@ -245,10 +259,29 @@ class MediaArchives(DataSource):
         return ArchiveReader(self.options)
 
 
-def read_archives(spark: SparkSession, archives: list[tuple[str, int]]) -> DataFrame:
-    """(archive, name, offset, media): all members of the given archives."""
+def byte_ranges(archives: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """(archive, bytes, start, end): the ranges of archives (archive, bytes, ...)."""
+    starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0).cast("long")), F.lit(range_bytes).cast("long"))
+    ranges = archives.select("archive", "bytes", F.explode(starts).alias("start"))
+    return ranges.withColumn("end", F.col("start") + range_bytes)
+
+
+def read_archives(archives: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """(archive, name, offset, media): all members of the given archives (archive, bytes, ...).
+
+    Their byte ranges are written as a listing beside the archives, numbered in the order of the
+    archives (one row for RANGE_BYTES goes through that window); a share is one range.
+    """
+    spark = archives.sparkSession
     spark.dataSource.register(MediaArchives)
-    return spark.read.format("media_archive").option("archives", json.dumps(archives)).load()
+    ranges = written(byte_ranges(archives, range_bytes), "media-ranges")
+    shares = ranges.count()
+    if not shares:
+        return spark.createDataFrame([], "archive string, name string, offset long, media binary")
+    listing = fresh_path(spark, "media-listing")
+    dealt = ranges.withColumn("share", F.row_number().over(W.orderBy("archive", "start")) - 1)
+    dealt.repartitionByRange("share").sortWithinPartitions("share").write.parquet(listing)
+    return spark.read.format("media_archive").option("listing", listing).option("shares", shares).load()
 
 
 def media_features(media: DataFrame) -> DataFrame:
@@ -283,10 +316,11 @@ def store_and_describe(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """Stores every text of ``docs`` as media in archives, reads them back and describes them.
 
     * A null or empty text is stored as WIDTH samples 0, with n_bytes 0.
-    * Ids may be null or repeated: every row is a member of its own.
+    * Ids may be null or repeated: every row is a member of its own. Other columns are not looked at.
+    * Very long texts are members like others; a member is held whole in memory.
     * An empty table writes no archive and gives an empty table.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")))
-    made = write_archives(rows, fresh_path(spark, "media")).collect()  # one row an archive of 64 MB
-    return media_features(read_archives(spark, [(r[0], r[1]) for r in made]))
+    made = written(write_archives(rows, fresh_path(spark, "media")), "media-archives")
+    return media_features(read_archives(made))
