@@ -2,6 +2,12 @@
 
 Every stage works on all rows that the one before kept. Stages hand on the columns of
 ``documents``; the last returns the digests of the encoded texts.
+
+In all stages a null text counts as an empty one, very long texts are handled whole, further
+columns go through, and an empty table gives an empty table. A null id is a document of its own
+to the classifier, to near copies and to the mix; to line dedup all rows without an id are one
+document, after all others. Rows that repeat an id are judged one by one, are one document to
+line dedup and one group to near copies, so a single one of them stays; ties go to the least id.
 """
 
 from __future__ import annotations
@@ -29,10 +35,17 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents, the one of least id stays."""
+    """Of each group of linked documents, the one of least id stays; of rows that repeat an id, the one of least hash."""
     found = jaccard_join.jaccard_components(docs)
     gone = written(found.where("component_id <> doc_id").select("doc_id").distinct(), "pipeline-copies")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_rows")).where("_rows > 1")
+    again = written(again.select("doc_id"), "pipeline-repeated")
+    if not again.limit(1).count():
+        return kept
+    hashed = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    least = kept.join(again, "doc_id").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*hashed)).alias("_row"))
+    return kept.join(again, "doc_id", "left_anti").unionByName(least.select("_row.*"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,6 +21,8 @@ def chi_square_tail(statistic: float, freedom: int) -> float:
     """P(X > statistic): the upper regularised gamma function at (freedom / 2, statistic / 2)."""
     if statistic <= 0 or freedom <= 0:
         return 1.0
+    if math.isinf(statistic):
+        return 0.0
     a, x = freedom / 2.0, statistic / 2.0
     front = math.exp(a * math.log(x) - x - math.lgamma(a))
     if x < a + 1:
@@ -50,6 +52,8 @@ def chi_square_tail(statistic: float, freedom: int) -> float:
 
 def kolmogorov_tail(distance: float, n: float) -> float:
     """Asymptotic p-value of a KS distance for an effective sample size ``n``."""
+    if n <= 0:
+        return 1.0
     root = math.sqrt(n)
     lam = (root + 0.12 + 0.11 / root) * distance
     if lam < 0.2:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import DataFrame
@@ -20,37 +21,50 @@ def itemset_support(df: DataFrame, sets: list[tuple[str, ...]]) -> DataFrame:
     return out.select("columns", "n", "n_distinct", F.try_divide(F.col("n_distinct").cast("double"), F.col("n")).alias("support"))
 
 
+def fd_confidences(df: DataFrame, lhs: list[str], rhs: list[str]) -> DataFrame:
+    """(lhs, rhs, n, confidence) for several right sides of one left side, which is grouped once.
+
+    Confidence: share of the rows (without NULLs) whose lhs group has a single rhs value.
+    """
+    groups = df.na.drop(subset=lhs).groupBy(*lhs).agg(
+        *[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(rhs)], *[(F.min(c) == F.max(c)).alias(f"one{i}") for i, c in enumerate(rhs)]
+    )
+    row = groups.agg(
+        *[F.coalesce(F.sum(f"n{i}"), F.lit(0)).alias(f"n{i}") for i in range(len(rhs))],
+        *[F.coalesce(F.sum(F.when(F.col(f"one{i}"), F.col(f"n{i}"))), F.lit(0)).alias(f"held{i}") for i in range(len(rhs))],
+    )
+    stacked = ", ".join(f"'{c}', n{i}, held{i}" for i, c in enumerate(rhs))
+    out = row.selectExpr(f"stack({len(rhs)}, {stacked}) as (rhs, n, held)")
+    return out.select(F.lit(",".join(lhs)).alias("lhs"), "rhs", "n", F.try_divide(F.col("held").cast("double"), F.col("n")).alias("confidence"))
+
+
 def fd_confidence(df: DataFrame, lhs: list[str], rhs: str) -> DataFrame:
-    """One row: share of the rows (without NULLs) whose lhs group has a single rhs value."""
-    rows = df.na.drop(subset=[*lhs, rhs])
-    groups = rows.groupBy(*lhs).agg(F.count("*").alias("n"), (F.min(rhs) == F.max(rhs)).alias("one"))
-    return groups.agg(
-        F.lit(",".join(lhs)).alias("lhs"), F.lit(rhs).alias("rhs"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
-        F.try_divide(F.sum(F.when(F.col("one"), F.col("n")).otherwise(0)).cast("double"), F.sum("n")).alias("confidence"),
-    )
+    """One row of ``fd_confidences``."""
+    return fd_confidences(df, lhs, [rhs])
 
 
 def discover_fds(df: DataFrame, columns: list[str], size: int = 2, support: float = 0.0, confidence: float = 0.95) -> DataFrame:
     """(lhs, rhs, n, confidence): dependencies whose lhs, of up to ``size`` columns, reaches ``support``.
 
-    A level takes one aggregate for the supports; an lhs that has a dependency is not extended
-    for the same rhs.
+    A level takes one aggregate for the supports and one job for all confidences; an lhs that
+    has a dependency is not extended for the same rhs.
     """
     found, parts = set(), []
     for k in range(1, size + 1):
         sets = list(combinations(columns, k))
         if not sets:
             break
-        able = {tuple(r["columns"].split(",")) for r in itemset_support(df, sets).where(F.col("support") >= support).collect()}
-        level = [
-            (s, c) for s in sets if s in able for c in columns
-            if c not in s and not any((t, c) in found for j in range(1, k) for t in combinations(s, j))
-        ]
-        for s, c in level:
-            row = fd_confidence(df, list(s), c).first()
-            if row["confidence"] is not None and row["confidence"] >= confidence:
-                found.add((s, c))
-                parts.append((row["lhs"], c, row["n"], row["confidence"]))
+        able = set(sets)
+        if support > 0:
+            able = {tuple(r["columns"].split(",")) for r in itemset_support(df, sets).where(F.col("support") >= support).collect()}
+        asked = []
+        for s in sets:
+            rhs = [c for c in columns if c not in s and not any((t, c) in found for j in range(1, k) for t in combinations(s, j))]
+            if s in able and rhs:
+                asked.append(fd_confidences(df, list(s), rhs))
+        rows = reduce(DataFrame.union, asked).where(F.col("confidence") >= confidence).collect() if asked else []  # a row a dependency
+        found |= {(tuple(r["lhs"].split(",")), r["rhs"]) for r in rows}
+        parts += [tuple(r) for r in rows]
     return df.sparkSession.createDataFrame(parts, "lhs string, rhs string, n long, confidence double")
 
 

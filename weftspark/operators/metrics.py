@@ -33,28 +33,53 @@ def two_sample(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     )
 
 
+def poisson_cdf(k: Column, mean: Column) -> Column:
+    """P(X <= k) for whole k, term by term."""
+    def step(acc: Column, i: Column) -> Column:
+        term = acc["p"] * mean / i
+        return F.struct(term.alias("p"), (acc["s"] + term).alias("s"))
+
+    first = F.exp(-mean)
+    terms = F.sequence(F.lit(1).cast("long"), F.greatest(k.cast("long"), F.lit(1)))
+    upto = F.aggregate(terms, F.struct(first.alias("p"), first.alias("s")), step, lambda acc: acc["s"])
+    return F.when(k < 0, 0.0).when(k < 1, first).otherwise(F.least(upto, F.lit(1.0)))
+
+
 def ks_fitted(df: DataFrame, column: str, family: str) -> DataFrame:
-    """One row: KS distance of a column to the uniform, normal or lognormal fitted to it."""
+    """One row: KS distance of a column to a family with the parameters fitted to it.
+
+    Families: uniform, normal, lognormal; exponential and pareto from 0; poisson of whole numbers.
+    """
     x = F.col(column).cast("double")
     values = df.where(x.isNotNull() & ~F.isnan(x)).select((F.log(x) if family == "lognormal" else x).alias("x")).where("x is not null")
     counts = values.groupBy("x").agg(F.count("*").alias("c"))
     fit = values.agg(
-        F.count("*").alias("_n"), F.min("x").alias("_lo"), F.max("x").alias("_hi"), F.avg("x").alias("_m"), F.stddev_pop("x").alias("_s")
+        F.count("*").alias("_n"), F.min("x").alias("_lo"), F.max("x").alias("_hi"), F.avg("x").alias("_m"), F.stddev_pop("x").alias("_s"),
+        F.avg(F.when(F.col("x") > 0, F.log("x"))).alias("_lm"),
     )
     run = running(counts, "x", ["c"]).join(F.broadcast(fit))
     if family == "uniform":
         cdf = F.try_divide(F.col("x") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
     elif family in ("normal", "lognormal"):
         cdf = normal_cdf(F.try_divide(F.col("x") - F.col("_m"), F.col("_s")))
+    elif family == "exponential":
+        cdf = F.when(F.col("x") < 0, 0.0).otherwise(1 - F.exp(-F.try_divide(F.col("x"), F.col("_m"))))
+    elif family == "pareto":
+        alpha = F.try_divide(F.lit(1.0), F.col("_lm") - F.log("_lo"))
+        cdf = F.when(F.col("_lo") > 0, 1 - F.pow(F.col("_lo") / F.col("x"), alpha))
+    elif family == "poisson":
+        cdf = poisson_cdf(F.floor("x"), F.col("_m"))
     else:
         raise ValueError(f"no such family: {family}")
+    # A whole-number family jumps where the sample does: just below a value its CDF is that of the one before.
+    lower = poisson_cdf(F.ceil("x") - 1, F.col("_m")) if family == "poisson" else cdf
     above = F.abs(F.col("run_c") / F.col("_n") - cdf)
-    below = F.abs((F.col("run_c") - F.col("c")) / F.col("_n") - cdf)
+    below = F.abs((F.col("run_c") - F.col("c")) / F.col("_n") - lower)
     return run.agg(F.max(F.greatest(above, below)).alias("ks"), F.max("_n").alias("n"))
 
 
 def rank_frequency_fit(df: DataFrame, column: str) -> DataFrame:
-    """One row: R^2 and exponent of ln(count) over ln(rank); (0, 0) below two distinct values.. Equal counts rank in order of value."""
+    """One row: R^2 and exponent of ln(count) over ln(rank); (0, 0) below two distinct values. Equal counts rank in order of value."""
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("c"))
     ranked, _ = numbered(counts.select((-F.col("c")).alias("_neg"), "v", "c"), ["_neg", "v"])
     ranked = ranked.withColumn("rank", F.col("number") + 1)
@@ -187,6 +212,17 @@ def cosine(a: Column, b: Column) -> Column:
     return F.least(F.greatest(F.coalesce(F.try_divide(total(products), norm(a) * norm(b)), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
 
 
+def moment_similarity(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
+    """One row: 0.4 of the ranges' similarity and 0.3 each of how near means and deviations are.
+
+    Nearness of two figures is 1 - min(1, |x - y| / max(|x|, |y|)), and 1 where both are 0.
+    """
+    side = lambda df, n: df.agg(F.avg(F.col(column).cast("double")).alias(f"m_{n}"), F.coalesce(F.stddev_samp(F.col(column).cast("double")), F.lit(0.0)).alias(f"s_{n}"))
+    t = side(a, "a").join(F.broadcast(side(b, "b"))).join(F.broadcast(range_similarity(a, b, column)))
+    near = lambda x, y: 1 - F.least(F.lit(1.0), F.coalesce(F.try_divide(F.abs(F.col(x) - F.col(y)), F.greatest(F.abs(x), F.abs(y))), F.lit(0.0)))
+    return t.select((0.4 * F.col("similarity") + 0.3 * near("m_a", "m_b") + 0.3 * near("s_a", "s_b")).alias("similarity"))
+
+
 def word_jaccard(a: Column, b: Column) -> Column:
     """Jaccard similarity of the sets of lower-cased words of two texts."""
     words = lambda t: F.array_remove(F.array_distinct(F.split(F.lower(t), r"\s+")), "")

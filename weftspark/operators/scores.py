@@ -13,17 +13,32 @@ WEIGHTS = {"schema": 0.4, "structure_intra": 0.2, "structure_inter": 0.2, "utili
 
 
 def column_score(real: DataFrame, made: DataFrame, column: str) -> float:
-    """Numeric: mean of the KS p-value and 1 - min(1, W1 / 10). Others: chi-squared p-value."""
-    if isinstance(real.schema[column].dataType, T.NumericType):
+    """Numeric: mean of the KS p-value and 1 - min(1, W1 / 10). Others: chi-squared p-value.
+
+    Times count as numbers of days. Two columns without values are alike (1.0); one without is
+    unlike any other (0.0).
+    """
+    kind = real.schema[column].dataType
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        days = lambda df: df.select((F.col(column).cast("timestamp").cast("double") / 86_400).alias(column))
+        return column_score(days(real), days(made), column)
+    if isinstance(kind, T.NumericType):
         row = metrics.two_sample(real, made, column).first()
+        if not row["n_a"] or not row["n_b"]:
+            return float(bool(row["n_a"]) == bool(row["n_b"]))
         n = row["n_a"] * row["n_b"] / (row["n_a"] + row["n_b"])
         return (kolmogorov_tail(row["ks"], n) + 1 - min(1.0, row["wasserstein"] / 10)) / 2
     row = metrics.categorical_two_sample(real, made, column).first()
+    if row["chi2"] is None:  # without values on one side at least
+        return float(not row["k"])
     return chi_square_tail(row["chi2"], row["k"] - 1)
 
 
-def schema_score(real: dict[str, DataFrame], made: dict[str, DataFrame]) -> float:
-    """Mean column score of common tables, times the shares of tables and of columns covered."""
+def schema_score(real: dict[str, DataFrame], made: dict[str, DataFrame], keys: dict[str, list[str]] | None = None) -> float:
+    """Mean column score of common tables, times the shares of tables and of columns covered.
+
+    ``keys`` by table: columns that only name rows; they count as covered, their values do not.
+    """
     common = [t for t in real if t in made]
     if not common:
         return 0.0
@@ -31,7 +46,7 @@ def schema_score(real: dict[str, DataFrame], made: dict[str, DataFrame]) -> floa
     for t in common:
         columns = [c for c in real[t].columns if c in made[t].columns]
         shares.append(len(columns) / len(real[t].columns))
-        scores += [column_score(real[t], made[t], c) for c in columns]
+        scores += [column_score(real[t], made[t], c) for c in columns if c not in (keys or {}).get(t, ())]
     return sum(scores) / max(len(scores), 1) * len(common) / len(real) * sum(shares) / len(shares)
 
 

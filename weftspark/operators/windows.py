@@ -7,12 +7,14 @@ of the current row, as SQL does; ``peers="physical"`` leaves out the peers that
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UNITS = {"d": 86400, "day": 86400, "h": 3600, "hour": 3600, "m": 60, "min": 60, "minute": 60, "s": 1, "sec": 1, "second": 1}
+#: Length of a slab in frames: an eighth of the rows, at even times, stands in two slabs.
+SLAB_SPANS = 8
 AGGREGATES = {"mean": "avg", "avg": "avg", "sum": "sum", "count": "count", "std": "stddev_samp"}
 
 
@@ -86,11 +88,32 @@ def window_column(spec: WindowSpec) -> Column:
     return F.expr(f"{call} over ({by} {order} {frame})")
 
 
+def _in_slabs(df: DataFrame, name: str, spec: WindowSpec) -> DataFrame:
+    """A RANGE window over all rows: these are cut into slabs of time, SLAB_SPANS frames long.
+
+    A row is copied into the slabs that its own frame's length reaches, so every row finds its
+    whole frame in its slab. Rows without a time are peers of each other alone.
+    """
+    reach = [0 if size in (0, "0") else round(span_seconds(size) * 1_000_000) for size in (spec.frame.following, spec.frame.preceding)]
+    width = max(SLAB_SPANS * sum(reach), 1)
+    t = F.unix_micros(F.col(spec.order_by).cast("timestamp"))
+    slab = lambda at: F.floor(at / F.lit(width))
+    spread = F.sequence(slab(t - reach[0]), slab(t + reach[1]))
+    dealt = df.withColumns({"_home": slab(t), "_slab": F.explode(F.coalesce(spread, F.array(F.lit(None).cast("long"))))})
+    made = dealt.withColumn(name, window_column(replace(spec, partition_by=("_slab",))))
+    return made.where(F.col("_home").eqNullSafe(F.col("_slab"))).drop("_home", "_slab")
+
+
 def add_windows(df: DataFrame, specs: dict[str, WindowSpec]) -> DataFrame:
     """Window columns in the given order; later ones may read earlier ones.
 
-    Specs with one partitioning and order share an exchange and a sort.
+    Specs with one partitioning and order share an exchange and a sort. RANGE windows without a
+    partitioning run slab by slab; ROWS windows, lag and lead without one take a single task.
     """
     for name, spec in specs.items():
-        df = df.withColumn(name, window_column(spec))
+        shifted = re.match(r"\s*(lag|lead)\s*\(", spec.expression)
+        if spec.partition_by or shifted or spec.frame.kind.upper() == "ROWS":
+            df = df.withColumn(name, window_column(spec))
+        else:
+            df = _in_slabs(df, name, spec)
     return df

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from weftspark.plans import q_metrics, q_profile, q_projection, q_relational, q_synth
+from weftspark.plans import q_metrics, q_profile, q_projection, q_relational, q_schema, q_sources, q_synth
 from weftspark.plans.registry import Query
 
-MODULES = (q_projection, q_relational, q_profile, q_metrics, q_synth)
+MODULES = (q_projection, q_relational, q_profile, q_metrics, q_schema, q_sources, q_synth)
 
 
 def queries() -> dict[str, Query]:

@@ -61,14 +61,6 @@ def ks_uniform_stat(spark, sf_dir):
     return _rounded(metrics.ks_fitted(table(spark, sf_dir, "orders"), "o_totalprice", "uniform"), 9)
 
 
-@query()
-def ks_normal_stat(spark, sf_dir):
-    """KS distance to fitted normal and lognormal; DuckDB has no normal CDF."""
-    orders = table(spark, sf_dir, "orders")
-    one = metrics.ks_fitted(orders, "o_totalprice", "normal").withColumn("family", F.lit("normal"))
-    return one.unionByName(metrics.ks_fitted(orders, "o_totalprice", "lognormal").withColumn("family", F.lit("lognormal")))
-
-
 @query("""with x as (select distinct o_totalprice as x from orders), a as (select o_totalprice as v from orders where o_orderkey % 3 = 0), b as (select o_totalprice as v from orders where o_orderkey % 3 <> 0),
  c as (select o_totalprice as x, count(*) filter (o_orderkey % 3 = 0) as a, count(*) filter (o_orderkey % 3 <> 0) as b from orders group by 1),
  r as (select x, sum(a) over w / sum(a) over ()::double as fa, sum(b) over w / sum(b) over ()::double as fb, lead(x) over w - x as step from c window w as (order by x))
