@@ -142,7 +142,7 @@ def test_generate_reruns_agree_and_evaluate(spark):
     a, b = generate(spark, SHOP), generate(spark, SHOP)
     assert checksum(a["orders_x"]).collect() == checksum(b["orders_x"]).collect()
     other = generate(spark, SHOP, seed=8)
-    a, other = ({name: df.cache() for name, df in side.items()} for side in (a, other))
+    a, other = ({name: spark.createDataFrame(df.toPandas()) for name, df in side.items()} for side in (a, other))
     assert checksum(a["orders_x"]).collect() != checksum(other["orders_x"]).collect()
     assert scores.inter_score((a["shops"], a["orders_x"]), (other["shops"], other["orders_x"]), "shop_id", "shop_id") > 0.9
     assert scores.intra_score(a["orders_x"], other["orders_x"], ["amount", "gross"]) > 0.9
@@ -195,7 +195,7 @@ def test_providers(spark):
 
 
 def test_spec_from_data(spark):
-    a = {name: df.cache() for name, df in generate(spark, SHOP).items()}
+    a = {name: spark.createDataFrame(df.toPandas()) for name, df in generate(spark, SHOP).items()}
     spec = spec_from_data(a, {"orders_x": [ForeignKey("shop_id", "shops", "shop_id")]}, {"orders_x": ["order_id"], "shops": ["shop_id"]})
     assert not [i for i in check(spec) if i.severe] and spec.rule("orders_x", "channel").distribution["kind"] == "categorical"
     assert spec.rule("orders_x", "amount").distribution["kind"] == "lognormal"
