@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from weftspark.llm import jaccard_join, line_dedup, media_store, mixing, page_text, quality, secret_scan, token_counts, vector_search
+from weftspark.llm import fill_middle, jaccard_join, line_dedup, media_store, mixing, page_text, quality, secret_scan, token_counts, vector_search
 from weftspark.llm.digests import piece_digests, vocabulary
 from weftspark.llm.sql import ORACLE
 
@@ -69,6 +69,15 @@ def op10_media_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_store.store_and_describe(_table(spark, sf_dir, "documents"))
 
 
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_middle.fill_in_middle(_table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id", "n", "form", F.char_length("prefix").cast("long").alias("prefix_chars"),
+        F.char_length("middle").cast("long").alias("middle_chars"), F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fill_middle.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_page_text": op1_page_text,
@@ -81,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sentence_pieces": op8_sentence_pieces,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_media_store": op10_media_store,
+        "op13_fill_middle": op13_fill_middle,
         "pipeline": corpus_pipeline.run,
     }
 

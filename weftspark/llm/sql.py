@@ -67,5 +67,26 @@ select doc_id, size, s as source_size, target,
        case when size > 0 and n > 0 then round(
          case when slope = 0 then done else (sqrt((1 - slope) * (1 - slope) + 4 * slope * done) - (1 - slope)) / (2 * slope) end * total, 3) end as position
 from o
+""",
+    "op13_fill_middle": r"""
+with d as (
+  select doc_id, coalesce(text, '') as text, sha256('7:' || cast(doc_id as varchar)) as h,
+         regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') as u
+  from documents),
+c as (
+  select *, cast(len(u) as bigint) as n, cast('0x' || h[1:8] as bigint) % (len(u) + 1) as c1, cast('0x' || h[9:16] as bigint) % (len(u) + 1) as c2,
+         case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') then 'plain'
+              when cast('0x' || h[25:32] as bigint) % 100 < 50 then 'spm' else 'psm' end as form
+  from d),
+p as (
+  select *, coalesce(array_to_string(u[1:least(c1, c2)], ''), '') as pre, coalesce(array_to_string(u[least(c1, c2) + 1:greatest(c1, c2)], ''), '') as mid,
+         coalesce(array_to_string(u[greatest(c1, c2) + 1:], ''), '') as suf
+  from c)
+select doc_id, n, form, case when form <> 'plain' then cast(length(pre) as bigint) end as prefix_chars,
+       case when form <> 'plain' then cast(length(mid) as bigint) end as middle_chars,
+       sha256(case form when 'plain' then text when 'spm' then '<S>' || suf || '<P>' || pre || '<M>' || mid
+                   else '<P>' || pre || '<S>' || suf || '<M>' || mid end) as output_sha256,
+       sha256(text) as restored_sha256
+from p
 """,
 }
