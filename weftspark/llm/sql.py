@@ -88,5 +88,37 @@ select doc_id, n, form, case when form <> 'plain' then cast(length(pre) as bigin
                    else '<P>' || pre || '<S>' || suf || '<M>' || mid end) as output_sha256,
        sha256(text) as restored_sha256
 from p
+""",
+    # CRC-32 of a string's UTF-8 bytes by its table of 256 steps, made from the polynomial.
+    "op12_importance": r"""
+with recursive step(b, c, k) as (
+  select b, b, 0 from range(256) r(b)
+  union all select b, case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, k + 1 from step where k < 8),
+crc as (select list(c order by b) as steps from step where k = 8),
+texts as (select true as corpus, doc_id, text from documents union all select false, null, text from benchmark),
+t as (
+  select row_number() over () as row, corpus, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from texts),
+w as (select row, corpus, unnest(w) as w, unnest(range(len(w))) as pos from t),
+r as (select row, corpus, w, lead(w) over a as w2, lead(w, 2) over a as w3 from w window a as (partition by row order by pos)),
+f as (select row, corpus, unnest([w, w || ' ' || w2, w || ' ' || w2 || ' ' || w3]) as f from r),
+n as (select row, corpus, f, count(*) as n from f where f is not null group by all),
+h as (
+  select f, xor(list_reduce(list_transform(range(0, 2 * octet_length(encode(f)), 2), lambda i: cast('0x' || substr(hex(encode(f)), i + 1, 2) as bigint)),
+                            lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 10000 as bucket
+  from (select distinct f from n), crc),
+c as (select row, corpus, bucket, sum(n)::bigint as n from n join h using (f) group by all),
+s as (select bucket, coalesce(sum(n) filter (corpus), 0)::bigint as s, coalesce(sum(n) filter (not corpus), 0)::bigint as t from c group by bucket),
+g as (
+  select bucket, floor(1000 * ln((t + 1)::double * ((select sum(s) from s) + 10000)::double / ((s + 1)::double * ((select sum(t) from s) + 10000)::double)))::bigint as gain
+  from s),
+x as (select row, sum(n * gain)::bigint as weight from c join g using (bucket) where corpus group by row),
+d as (
+  select row, doc_id, len(w) as n_words, (len(w) + greatest(len(w) - 1, 0) + greatest(len(w) - 2, 0))::bigint as n_features, coalesce(weight, 0)::bigint as weight,
+         coalesce(weight, 0)::bigint + floor(-1000 * ln(-ln((cast('0x' || sha256('42:' || cast(doc_id as varchar))[1:8] as bigint) + 0.5::double) / 4294967296)))::bigint as score
+  from t left join x using (row) where corpus),
+o as (select row, row_number() over (order by score desc, doc_id) as rank from d where n_words >= 20)
+select doc_id, n_features, weight, score, case when rank <= 5 * (select count(*) from o) // 100 then rank end as rank from d left join o using (row)
 """,
 }
