@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from weftspark.llm import fill_middle, importance, jaccard_join, line_dedup, media_store, mixing, page_text, quality, secret_scan, token_counts, vector_search
+from weftspark.llm import fill_middle, importance, jaccard_join, line_dedup, media_store, mixing, page_text, quality, secret_scan, simhash, token_counts, vector_search
 from weftspark.llm.digests import piece_digests, vocabulary
 from weftspark.llm.sql import ORACLE
 
@@ -69,6 +69,11 @@ def op10_media_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_store.store_and_describe(_table(spark, sf_dir, "documents"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.simhash_components(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -94,6 +99,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sentence_pieces": op8_sentence_pieces,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_media_store": op10_media_store,
+        "op11_simhash": op11_simhash,
         "op12_importance": op12_importance,
         "op13_fill_middle": op13_fill_middle,
         "pipeline": corpus_pipeline.run,
