@@ -20,11 +20,13 @@ REPORT = "tab string, col string, metric string, value double, passed boolean"
 
 
 def evaluate_column(df: DataFrame, column: str, distribution: dict) -> tuple[str, float, bool] | None:
-    """(metric, value, passed) of one column; None for kinds without a test."""
+    """(metric, value, passed) of one column; None for kinds without a test and for columns without values."""
     kind = distribution["kind"]
     if kind in FITTED:
         row = metrics.ks_fitted(df, column, kind).first()
-        p = kolmogorov_tail(row["ks"], row["n"]) if row["n"] else 1.0
+        if not row["n"]:
+            return None
+        p = kolmogorov_tail(row["ks"], row["n"])
         return "ks_p", p, p >= LEAST_P
     if kind == "zipf":
         r2 = metrics.rank_frequency_fit(df, column).first()["r2"]
@@ -33,7 +35,9 @@ def evaluate_column(df: DataFrame, column: str, distribution: dict) -> tuple[str
         values, shares = [str(v) for v in distribution["values"]], distribution.get("probs")
         total = sum(shares) if shares else len(values)
         row = metrics.chi_square(df, column, {v: s / total for v, s in zip(values, shares or [1.0] * len(values), strict=True)}).first()
-        p = chi_square_tail(row["statistic"] or 0.0, row["freedom"])
+        if row["statistic"] is None:
+            return None
+        p = chi_square_tail(row["statistic"], row["freedom"])
         return "chi2_p", p, p >= LEAST_P
     return None
 

@@ -21,14 +21,18 @@ def _counts(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
 
 
 def two_sample(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
-    """One row: ks, wasserstein, ks_complement, n_a, n_b of two samples of a numeric column."""
+    """One row: ks, wasserstein, ks_complement, n_a, n_b of two samples of a numeric column.
+
+    The first three are null where a sample has no value.
+    """
     counts = _counts(a, b, column)
     total = counts.agg(F.sum("a").alias("_na"), F.sum("b").alias("_nb"))
     run = running(counts, "x", ["a", "b"], nexts=True).join(F.broadcast(total))
-    gap = F.abs(F.col("run_a") / F.col("_na") - F.col("run_b") / F.col("_nb"))
+    gap = F.abs(F.try_divide("run_a", "_na") - F.try_divide("run_b", "_nb"))
+    both = (F.max("_na") > 0) & (F.max("_nb") > 0)
     out = run.select(gap.alias("gap"), (F.col("next_x") - F.col("x")).alias("step"), "_na", "_nb")
     return out.agg(
-        F.max("gap").alias("ks"), F.coalesce(F.sum(F.col("gap") * F.col("step")), F.lit(0.0)).alias("wasserstein"),
+        F.max("gap").alias("ks"), F.when(both, F.coalesce(F.sum(F.col("gap") * F.col("step")), F.lit(0.0))).alias("wasserstein"),
         (1 - F.max("gap")).alias("ks_complement"), F.max("_na").alias("n_a"), F.max("_nb").alias("n_b"),
     )
 
@@ -108,7 +112,10 @@ def top_k_share(df: DataFrame, column: str, k: int) -> DataFrame:
 
 
 def chi_square(df: DataFrame, column: str, expected: dict[str, float] | None = None) -> DataFrame:
-    """One row: statistic and degrees of freedom against shares (uniform over the values, if none)."""
+    """One row: statistic and degrees of freedom against shares (uniform over the values, if none).
+
+    Without values the statistic is null and the freedom 0.
+    """
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("v")).agg(F.count("*").alias("o"))
     if expected is None:
         total = counts.agg(F.sum("o").alias("_n"), F.count("*").alias("_k"))
@@ -120,17 +127,17 @@ def chi_square(df: DataFrame, column: str, expected: dict[str, float] | None = N
         cells = cells.select(F.coalesce("o", F.lit(0)).alias("o"), (F.coalesce("p", F.lit(0.0)) * F.col("_n")).alias("e"))
     cells = cells.where((F.col("o") > 0) | (F.col("e") > 0))
     term = F.when(F.col("e") > 0, F.pow(F.col("o") - F.col("e"), F.lit(2.0)) / F.col("e")).otherwise(F.lit(float("inf")))
-    return cells.agg(F.sum(term).alias("statistic"), (F.count("*") - 1).alias("freedom"))
+    return cells.agg(F.sum(term).alias("statistic"), F.greatest(F.count("*") - 1, F.lit(0)).alias("freedom"))
 
 
 def categorical_two_sample(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
-    """One row: chi-squared of b against a's shares, total variation and its complement."""
+    """One row: chi-squared of b against a's shares, total variation and its complement; null where a side has no value."""
     side = lambda df, n: df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("v")).agg(F.count("*").alias(n))
     x, y = side(a, "a"), side(b, "b")
     both = x.join(y, "v", "full").select(F.coalesce("a", F.lit(0)).alias("a"), F.coalesce("b", F.lit(0)).alias("b"))
     total = x.agg(F.sum("a").alias("_na")).join(F.broadcast(y.agg(F.sum("b").alias("_nb"))))
     both = both.join(F.broadcast(total)).withColumn("e", F.col("a") / F.col("_na") * F.col("_nb"))
-    chi = F.when(F.col("e") > 0, F.pow(F.col("b") - F.col("e"), F.lit(2.0)) / F.col("e")).when(F.col("b") > 0, F.lit(float("inf"))).otherwise(0.0)
+    chi = F.when(F.col("e") > 0, F.pow(F.col("b") - F.col("e"), F.lit(2.0)) / F.col("e")).when(F.col("e").isNotNull(), F.when(F.col("b") > 0, F.lit(float("inf"))).otherwise(0.0))
     gap = F.abs(F.col("a") / F.col("_na") - F.col("b") / F.col("_nb"))
     return both.agg(F.sum(chi).alias("chi2"), (F.sum(gap) / 2).alias("tv"), (1 - F.sum(gap) / 2).alias("tv_complement"), F.count("*").alias("k"))
 
@@ -166,14 +173,14 @@ def mutual_information(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def contingency_similarity(a: DataFrame, b: DataFrame, columns: tuple[str, str]) -> DataFrame:
-    """One row: 1 minus half the L1 distance of two contingency tables of shares."""
+    """One row: 1 minus half the L1 distance of two contingency tables of shares; 0 against an empty side, null if both are."""
     key = F.struct(*[F.col(c).cast("string").alias(f"k{i}") for i, c in enumerate(columns)])
     side = lambda df, n: df.groupBy(key.alias("k")).agg(F.count("*").alias(n))
     x, y = side(a, "a"), side(b, "b")
     total = x.agg(F.sum("a").alias("_na")).join(F.broadcast(y.agg(F.sum("b").alias("_nb"))))
     both = x.join(y, "k", "full").join(F.broadcast(total))
     gap = F.abs(F.coalesce("a", F.lit(0)) / F.col("_na") - F.coalesce("b", F.lit(0)) / F.col("_nb"))
-    return both.agg((1 - F.sum(gap) / 2).alias("similarity"))
+    return both.agg(F.when(F.count("*") > 0, F.coalesce(1 - F.sum(gap) / 2, F.lit(0.0))).alias("similarity"))
 
 
 def correlation_similarity(a: DataFrame, b: DataFrame, columns: tuple[str, str]) -> DataFrame:
@@ -184,23 +191,27 @@ def correlation_similarity(a: DataFrame, b: DataFrame, columns: tuple[str, str])
 
 
 def range_similarity(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
-    """One row: length of the common range by the length of the whole one."""
+    """One row: length of the common range by the length of the whole one; 0 against a side without values, null if both have none."""
     ends = lambda df, n: df.agg(F.min(column).cast("double").alias(f"lo_{n}"), F.max(column).cast("double").alias(f"hi_{n}"))
     t = ends(a, "a").join(F.broadcast(ends(b, "b")))
     common = F.greatest(F.least("hi_a", "hi_b") - F.greatest("lo_a", "lo_b"), F.lit(0.0))
     whole = F.greatest("hi_a", "hi_b") - F.least("lo_a", "lo_b")
-    return t.select(F.when(whole == 0, 1.0).otherwise(common / whole).alias("similarity"))
+    lacks = (F.col("lo_a").isNull().cast("int") + F.col("lo_b").isNull().cast("int"))
+    found = F.when(lacks == 1, 0.0).when(lacks == 0, F.when(whole == 0, 1.0).otherwise(F.try_divide(common, whole)))
+    return t.select(found.alias("similarity"))
 
 
 def domain_similarity(a: DataFrame, b: DataFrame, column: str, weight: float = 0.5) -> DataFrame:
-    """One row: weight * Jaccard of the values + (1 - weight) * common mass of the shares."""
+    """One row: weight * Jaccard of the values + (1 - weight) * common mass of the shares; 0 against a
+    side without values, null if both have none."""
     side = lambda df, n: df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("v")).agg(F.count("*").alias(n))
     x, y = side(a, "a"), side(b, "b")
     total = x.agg(F.sum("a").alias("_na")).join(F.broadcast(y.agg(F.sum("b").alias("_nb"))))
     both = x.join(y, "v", "full").join(F.broadcast(total))
-    common = F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()) / F.count("*")
-    mass = F.sum(F.least(F.coalesce("a", F.lit(0)) / F.col("_na"), F.coalesce("b", F.lit(0)) / F.col("_nb")))
-    return both.agg((weight * common + (1 - weight) * mass).alias("similarity"))
+    common = F.try_divide(F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()), F.count("*"))
+    part = lambda n: F.coalesce(F.col(n) / F.col(f"_n{n}"), F.lit(0.0))
+    mass = F.sum(F.least(part("a"), part("b")))
+    return both.agg(F.when(F.count("*") > 0, weight * common + (1 - weight) * mass).alias("similarity"))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -215,12 +226,15 @@ def cosine(a: Column, b: Column) -> Column:
 def moment_similarity(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     """One row: 0.4 of the ranges' similarity and 0.3 each of how near means and deviations are.
 
-    Nearness of two figures is 1 - min(1, |x - y| / max(|x|, |y|)), and 1 where both are 0.
+    Nearness of two figures is 1 - min(1, |x - y| / max(|x|, |y|)), and 1 where both are 0. It is 0
+    against a side without values, null if both have none.
     """
     side = lambda df, n: df.agg(F.avg(F.col(column).cast("double")).alias(f"m_{n}"), F.coalesce(F.stddev_samp(F.col(column).cast("double")), F.lit(0.0)).alias(f"s_{n}"))
     t = side(a, "a").join(F.broadcast(side(b, "b"))).join(F.broadcast(range_similarity(a, b, column)))
     near = lambda x, y: 1 - F.least(F.lit(1.0), F.coalesce(F.try_divide(F.abs(F.col(x) - F.col(y)), F.greatest(F.abs(x), F.abs(y))), F.lit(0.0)))
-    return t.select((0.4 * F.col("similarity") + 0.3 * near("m_a", "m_b") + 0.3 * near("s_a", "s_b")).alias("similarity"))
+    whole = 0.4 * F.col("similarity") + 0.3 * near("m_a", "m_b") + 0.3 * near("s_a", "s_b")
+    lacks = F.col("m_a").isNull() != F.col("m_b").isNull()
+    return t.select(F.when(lacks, 0.0).when(F.col("m_a").isNotNull(), whole).alias("similarity"))
 
 
 def word_jaccard(a: Column, b: Column) -> Column:

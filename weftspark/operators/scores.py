@@ -64,7 +64,10 @@ def inter_score(real: tuple[DataFrame, DataFrame], made: tuple[DataFrame, DataFr
     """0.4 of the coverage, 0.3 of 1 / (1 + W1 of the degrees), 0.3 of their mean with the cardinality ratio."""
     coverage = relational.fk_coverage(made[1], fk, made[0], pk).first()["coverage"]
     degrees = [relational.degrees(p, pk, c, fk).select(F.col("degree").cast("double").alias("x")) for p, c in (real, made)]
-    w1 = metrics.two_sample(*degrees, "x").first()["wasserstein"]
+    found = metrics.two_sample(*degrees, "x").first()
+    w1 = found["wasserstein"]
+    if w1 is None:  # without parents on one side, or on both
+        w1 = float("inf") if found["n_a"] or found["n_b"] else 0.0
     ratio = [c.count() / max(p.count(), 1) for p, c in (real, made)]
     cardinality = min(ratio) / max(ratio) if max(ratio) else 1.0
     return 0.4 * coverage + 0.3 / (1 + w1) + 0.3 * (coverage + cardinality) / 2

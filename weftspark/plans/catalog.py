@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from weftspark.plans import q_metrics, q_profile, q_projection, q_relational, q_schema, q_sources, q_synth
+from weftspark.plans import q_matching, q_metrics, q_profile, q_projection, q_relational, q_schema, q_sources, q_synth, q_text
 from weftspark.plans.registry import Query
 
-MODULES = (q_projection, q_relational, q_profile, q_metrics, q_schema, q_sources, q_synth)
+MODULES = (q_projection, q_relational, q_profile, q_metrics, q_schema, q_matching, q_sources, q_synth, q_text)
 
 
 def queries() -> dict[str, Query]:
