@@ -41,16 +41,15 @@ features as (select row, n_words, unnest([w, w || ' ' || w2, w || ' ' || w2 || '
 counted as (
   select row, n_words, cast(crc32(feature) % $buckets as integer) as bucket, count(*) as n
   from features where feature is not null group by all)
-select row, n_words, list(bucket order by bucket) as bucket, list(n order by bucket) as n from counted group by row, n_words order by row
+select row, n_words, list(bucket) as bucket, list(n) as n from counted group by row, n_words order by row
 """
 
 
 def _crc32(features: pa.Array) -> pa.Array:
     """Unsigned CRC-32 of every string's UTF-8 bytes."""
     features = features.combine_chunks() if isinstance(features, pa.ChunkedArray) else features
-    ends = np.frombuffer(features.buffers()[1], np.int32, len(features) + 1, features.offset * 4).tolist()
-    data = memoryview(features.buffers()[2] or b"")
-    return pa.array([zlib.crc32(data[a:b]) for a, b in zip(ends, ends[1:], strict=False)], pa.uint32())
+    found = map(zlib.crc32, features.cast(pa.binary()).to_numpy(zero_copy_only=False))
+    return pa.array(np.fromiter(found, np.uint32, len(features)))
 
 
 class _Counter:
@@ -99,7 +98,7 @@ def cut(text: str, words: int) -> list[str]:
 
 def bucket_counts(docs: DataFrame, buckets: int, slice_bytes: int = SLICE_BYTES, piece_words: int = PIECE_WORDS) -> DataFrame:
     """(sums, doc_id, n_words, bucket, n): of every row (doc_id, text) its buckets and their counts,
-    ascending, and of every task one row (``sums``) with those of all its rows."""
+    and of every task one row (``sums``) with those of all its rows."""
 
     def batch(sums: bool, ids: pa.Array, words, length, bucket, n) -> pa.RecordBatch:
         ends = pa.array(np.r_[0, np.cumsum(length)], pa.int32())
