@@ -51,3 +51,17 @@ def test_inter_score_without_parents(sides):
     some, none, _ = sides
     assert scores.inter_score((some, some), (some, some), "x", "x") == pytest.approx(1.0)
     assert scores.inter_score((some, some), (none, none), "x", "x") == pytest.approx(0.55)
+
+
+def test_families_in_one_pass_are_those_one_by_one(spark):
+    names = ["uniform", "normal", "lognormal", "exponential", "pareto", "poisson"]
+    df = spark.range(1, 400).selectExpr("cast(pow(id % 37 + 1, 1.5) as double) as x", "cast(id % 7 as double) as k", "cast(null as double) as none")
+    for column in ("x", "k"):
+        got = {r["family"]: r for r in metrics.ks_of_families(df, column, names).collect()}
+        for f in names:
+            alone = metrics.ks_fitted(df, column, f).first()
+            if column == "k" and f in ("lognormal", "pareto"):
+                assert got[f]["ks"] is None
+            else:
+                assert got[f]["ks"] == pytest.approx(alone["ks"]) and got[f]["n"] == alone["n"], (column, f)
+    assert {r["ks"] for r in metrics.ks_of_families(df, "none", names).collect()} == {None}

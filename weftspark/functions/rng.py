@@ -7,11 +7,14 @@ split, on every rerun, and two streams are independent of each other.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TWO_53 = float(2**53)
+#: Draws of (seed, stream, key columns).
+Draw = Callable[..., Column]
 
 
 def uniform01(seed: int, stream: str, *key: Column) -> Column:
@@ -20,10 +23,16 @@ def uniform01(seed: int, stream: str, *key: Column) -> Column:
     return F.shiftrightunsigned(bits, 11).cast("double") / TWO_53
 
 
-def normal01(seed: int, stream: str, *key: Column) -> Column:
+def digest01(seed: int, stream: str, *key: Column) -> Column:
+    """A double in [0, 1) from MD5 of ``seed/stream/key``: 52 bits, the same in any engine."""
+    digest = F.md5(F.concat_ws("/", F.lit(str(seed)), F.lit(stream), *[k.cast("string") for k in key]))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+
+def normal01(seed: int, stream: str, *key: Column, draw: Draw = uniform01) -> Column:
     """Box-Muller on two independent streams."""
-    radius = F.sqrt(-2.0 * F.log(1.0 - uniform01(seed, f"{stream}/r", *key)))
-    return radius * F.cos(2.0 * math.pi * uniform01(seed, f"{stream}/a", *key))
+    radius = F.sqrt(-2.0 * F.log(1.0 - draw(seed, f"{stream}/r", *key)))
+    return radius * F.cos(2.0 * math.pi * draw(seed, f"{stream}/a", *key))
 
 
 def pick(u: Column, values: list, weights: list[float] | None = None) -> Column:

@@ -8,16 +8,18 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftspark.session import scratch_path
+
 
 def itemset_support(df: DataFrame, sets: list[tuple[str, ...]]) -> DataFrame:
-    """(columns, n, n_distinct, support): distinct combinations by rows, one aggregate for all sets.
+    """(columns, n, n_distinct, support): distinct combinations by rows; a grouping a set, so that tasks
+    hand on each combination once and no row is copied for a set.
 
     Rows with a NULL in a set do not count for it.
     """
-    whole = lambda s: F.when(F.greatest(*[F.col(c).isNull() for c in s], F.lit(False)) == F.lit(False), F.struct(*s))
-    row = df.agg(F.count("*").alias("n"), *[F.count_distinct(whole(s)).alias(f"d{i}") for i, s in enumerate(sets)])
-    stacked = ", ".join(f"'{','.join(s)}', d{i}" for i, s in enumerate(sets))
-    out = row.selectExpr("n", f"stack({len(sets)}, {stacked}) as (columns, n_distinct)")
+    n = df.agg(F.count("*").alias("n"))
+    each = [df.na.drop(subset=list(s)).groupBy(*s).agg(F.lit(1).alias("_g")).agg(F.lit(",".join(s)).alias("columns"), F.count("*").alias("n_distinct")) for s in sets]
+    out = reduce(DataFrame.union, each).join(F.broadcast(n))  # one row
     return out.select("columns", "n", "n_distinct", F.try_divide(F.col("n_distinct").cast("double"), F.col("n")).alias("support"))
 
 
@@ -43,28 +45,94 @@ def fd_confidence(df: DataFrame, lhs: list[str], rhs: str) -> DataFrame:
     return fd_confidences(df, lhs, [rhs])
 
 
-def discover_fds(df: DataFrame, columns: list[str], size: int = 2, support: float = 0.0, confidence: float = 0.95) -> DataFrame:
+def null_patterns(df: DataFrame, columns: list[str]) -> dict[frozenset[str], int]:
+    """Numbers of rows by which of the columns are null; patterns are few, however many rows there are."""
+    absent = [F.col(f"`{c}`").isNull() for c in columns]
+    mask = sum((F.shiftleft(a.cast("long"), i) for i, a in enumerate(absent)), F.lit(0).cast("long"))
+    rows = df.groupBy(mask.alias("m")).agg(F.count("*").alias("n")).collect()
+    return {frozenset(c for i, c in enumerate(columns) if r["m"] >> i & 1): r["n"] for r in rows}
+
+
+def _level(sources: dict[tuple[str, ...], DataFrame], asked: dict[tuple[str, ...], list[str]]) -> list[dict]:
+    """Per left side of ``asked``, over the rows of its source: groups, rows, rows in groups of more
+    than one (``stripped``), and per right side rows with a value and those of groups with one value.
+
+    One grouping a left side, all in one job; a row a left side comes back.
+    """
+    parts = []
+    for lhs, rhs in asked.items():
+        rows = sources[lhs].na.drop(subset=list(lhs))
+        figures = [(F.count(F.col(f"`{c}`")).alias(f"n{i}"), (F.min(f"`{c}`") == F.max(f"`{c}`")).alias(f"one{i}")) for i, c in enumerate(rhs)]
+        groups = rows.groupBy(*lhs).agg(F.count("*").alias("_c"), *[x for pair in figures for x in pair])
+        zero = F.lit(0).cast("long")
+        per_rhs = [F.coalesce(F.sum(f"n{i}"), zero) for i in range(len(rhs))], [F.coalesce(F.sum(F.when(F.col(f"one{i}"), F.col(f"n{i}"))), zero) for i in range(len(rhs))]
+        parts.append(groups.agg(
+            F.lit(",".join(lhs)).alias("lhs"), F.count("*").alias("groups"), F.coalesce(F.sum("_c"), zero).alias("rows"),
+            F.coalesce(F.sum(F.when(F.col("_c") > 1, F.col("_c"))), zero).alias("stripped"),
+            F.array(*per_rhs[0]).cast("array<bigint>").alias("n"), F.array(*per_rhs[1]).cast("array<bigint>").alias("held"),
+        ))
+    return [r.asDict() for r in reduce(DataFrame.union, parts).collect()] if parts else []
+
+
+def _stripped(sources: dict[tuple[str, ...], DataFrame], sets: list[tuple[str, ...]], columns: list[str]) -> dict[tuple[str, ...], DataFrame]:
+    """Per set its stripped partition: the rows that share their values in it with another row, written.
+
+    All sets go to one table, a folder a set.
+    """
+    if not sets:
+        return {}
+    spark, parts = sources[sets[0]].sparkSession, []
+    for i, s in enumerate(sets):
+        rows = sources[s].na.drop(subset=list(s))
+        shared = rows.groupBy(*s).agg(F.count("*").alias("_c")).where("_c > 1").select(*s)
+        parts.append(rows.join(shared, list(s), "left_semi").select(*columns, F.lit(i).alias("_set")))
+    path = scratch_path(spark, "stripped")
+    reduce(DataFrame.union, parts).write.partitionBy("_set").parquet(path)
+    whole = spark.read.schema(parts[0].schema).parquet(path)
+    return {s: whole.where(F.col("_set") == i).select(*columns) for i, s in enumerate(sets)}
+
+
+def discover_fds(df: DataFrame, columns: list[str], size: int = 3, support: float = 0.0, confidence: float = 0.95, pays: float = 0.5) -> DataFrame:
     """(lhs, rhs, n, confidence): dependencies whose lhs, of up to ``size`` columns, reaches ``support``.
 
-    A level takes one aggregate for the supports and one job for all confidences; an lhs that
-    has a dependency is not extended for the same rhs.
+    ``n``: rows with values in all columns; confidence: the share of these whose lhs group has one rhs
+    value; support: distinct lhs combinations by all rows. An lhs that has a dependency is not
+    extended for the same rhs. A level is one job. Its groupings run over stripped partitions of
+    the level before: a row that is alone in its group is alone in every finer one, where it breaks
+    no dependency, so it is counted and left out from then on. A set's partition is written if it
+    leaves at most the share ``pays`` of the rows it came from, and nothing is extended that is a key.
     """
+    nulls = null_patterns(df, columns)
+    valued = lambda s: sum(n for absent, n in nulls.items() if not absent & set(s))
+    total, base = sum(nulls.values()), df.select(*columns)
     found, parts = set(), []
+    stripped: dict[tuple[str, ...], tuple[int, DataFrame]] = {}
     for k in range(1, size + 1):
-        sets = list(combinations(columns, k))
-        if not sets:
-            break
-        able = set(sets)
-        if support > 0:
-            able = {tuple(r["columns"].split(",")) for r in itemset_support(df, sets).where(F.col("support") >= support).collect()}
-        asked = []
-        for s in sets:
+        asked = {}
+        for s in combinations(columns, k):
             rhs = [c for c in columns if c not in s and not any((t, c) in found for j in range(1, k) for t in combinations(s, j))]
-            if s in able and rhs:
-                asked.append(fd_confidences(df, list(s), rhs))
-        rows = reduce(DataFrame.union, asked).where(F.col("confidence") >= confidence).collect() if asked else []  # a row a dependency
-        found |= {(tuple(r["lhs"].split(",")), r["rhs"]) for r in rows}
-        parts += [tuple(r) for r in rows]
+            if rhs:
+                asked[s] = rhs
+        parents = {s: min((stripped[t] for t in combinations(s, k - 1) if t in stripped), key=lambda x: x[0], default=(total, base)) for s in asked}
+        live = {s: rhs for s, rhs in asked.items() if parents[s][0]}  # without rows left, a parent is a key
+        sources = {s: parents[s][1] for s in live}
+        rows = {tuple(r["lhs"].split(",")): r for r in _level(sources, live)}
+        sizes = {}
+        for s, rhs in asked.items():
+            r = rows.get(s) or {"groups": 0, "rows": 0, "stripped": 0, "n": [0] * len(rhs), "held": [0] * len(rhs)}
+            sizes[s] = r["stripped"]
+            if total and (r["groups"] + valued(s) - r["rows"]) / total < support:
+                continue
+            for c, n_in, held in zip(rhs, r["n"], r["held"], strict=True):
+                n = valued((*s, c))
+                share = (held + n - n_in) / n if n else None
+                if share is not None and share >= confidence:
+                    found.add((s, c))
+                    parts.append((",".join(s), c, n, share))
+        if k < size:
+            worth = [s for s in live if 0 < sizes[s] <= pays * parents[s][0]]
+            made = _stripped(sources, worth, columns)
+            stripped = {s: (sizes[s], made[s]) if s in made else parents[s] if sizes[s] else (0, base) for s in asked}
     return df.sparkSession.createDataFrame(parts, "lhs string, rhs string, n long, confidence double")
 
 

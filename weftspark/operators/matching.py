@@ -67,6 +67,35 @@ def trigram_similarity(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
 
 
+def common_substring(a: Column, b: Column) -> Column:
+    """Length of the longest common substring, letters of either case alike.
+
+    One step a character of ``a``: how long a common substring ends there and at each character of ``b``.
+    """
+    chars = lambda t: F.filter(F.split(F.lower(t), ""), lambda c: c != "")
+    x, y = chars(a), chars(b)
+    none = F.transform(y, lambda _: F.lit(0))
+
+    def step(acc: Column, c: Column) -> Column:
+        before = F.concat(F.array(F.lit(0)), acc["ends"])
+        ends = F.zip_with(y, before, lambda d, n: F.when(c == d, n + 1).otherwise(0))
+        ends = F.slice(ends, F.lit(1), F.size(y))  # ``before`` is longer by one
+        return F.struct(ends.alias("ends"), F.greatest(acc["best"], F.coalesce(F.array_max(ends), F.lit(0))).alias("best"))
+
+    return F.aggregate(x, F.struct(none.alias("ends"), F.lit(0).alias("best")), step, lambda acc: acc["best"])
+
+
+def common_ratio(a: Column, b: Column) -> Column:
+    """Longest common substring by the length of the longer name; 0 for two empty ones."""
+    return F.coalesce(F.try_divide(common_substring(a, b).cast("double"), F.greatest(F.char_length(a), F.char_length(b))), F.lit(0.0))
+
+
+def name_compatible(a: Column, b: Column, least: float = 0.75) -> Column:
+    """Equal but for case, marks and a plural s, or a common substring of ``least`` of the longer name."""
+    plain = lambda t: F.regexp_replace(F.regexp_replace(F.lower(t), "[^a-z0-9]", ""), "s+$", "")
+    return (plain(a) == plain(b)) | (common_ratio(a, b) >= least)
+
+
 def column_similarities(real: DataFrame, made: DataFrame, weights: tuple[float, float, float] = (0.4, 0.4, 0.2)) -> DataFrame:
     """(real table and column, made table and column, score): names, types and roles, for pairs of fitting types.
 
@@ -129,6 +158,53 @@ def assign(score: list[list[float]]) -> list[tuple[int, int]]:
     return sorted(pairs)
 
 
+def compatible_columns(real: DataFrame, made: DataFrame, least: float = 0.75) -> DataFrame:
+    """(r_tab, r_col, m_tab, m_col): columns of fitting types and compatible names; joined on the type's family."""
+    family = F.when(F.col("sql_type").isin(*NUMERIC), "number").when(F.col("sql_type").isin(*TIMES), "time").otherwise(F.col("sql_type"))
+    a = real.select(F.col("tab").alias("r_tab"), F.col("col").alias("r_col"), family.alias("family"))
+    b = made.select(F.col("tab").alias("m_tab"), F.col("col").alias("m_col"), family.alias("family"))
+    return a.join(b, "family").where(name_compatible(F.col("r_col"), F.col("m_col"), least)).drop("family")
+
+
+def most_pairs(options: dict[str, list[str]]) -> dict[str, str]:
+    """One to one, as many keys as can be, each with one of its options.
+
+    Keys of fewest options choose first. One that finds all its options taken asks their owners to
+    move on to another one, and these ask in turn (augmenting paths).
+    """
+    owner: dict[str, str] = {}
+
+    def settle(key: str, tried: set[str]) -> bool:
+        for option in options[key]:
+            if option not in tried:
+                tried.add(option)
+                if option not in owner or settle(owner[option], tried):
+                    owner[option] = key
+                    return True
+        return False
+
+    for key in sorted(options, key=lambda k: (len(options[k]), k)):
+        settle(key, set())
+    return {key: option for option, key in sorted(owner.items(), key=lambda x: x[1])}
+
+
+def match_by_options(real: DataFrame, made: DataFrame, least: float = 0.75) -> DataFrame:
+    """(r_tab, m_tab, n_pairs, f1, mapping) of every pair of tables with compatible columns.
+
+    The mapping has as many column pairs as can be; F1 is of these among both tables' columns. A
+    pair of tables is a small problem on the driver.
+    """
+    wide = {(p, r["tab"]): r["n"] for p, df in (("r", real), ("m", made)) for r in df.groupBy("tab").agg(F.count("*").alias("n")).collect()}
+    options: dict[tuple[str, str], dict[str, list[str]]] = {}
+    for r in compatible_columns(real, made, least).orderBy("r_col", "m_col").collect():  # a row a pair of columns
+        options.setdefault((r["r_tab"], r["m_tab"]), {}).setdefault(r["r_col"], []).append(r["m_col"])
+    rows = []
+    for (a, b), found in sorted(options.items()):
+        pairs = most_pairs(found)
+        rows.append((a, b, len(pairs), 2 * len(pairs) / (wide["r", a] + wide["m", b]), pairs))
+    return real.sparkSession.createDataFrame(rows, "r_tab string, m_tab string, n_pairs int, f1 double, mapping map<string,string>")
+
+
 def match_schemas(real: DataFrame, made: DataFrame, least: float = 0.3) -> list[tuple[str, str, float, list[tuple[str, str, float]]]]:
     """(real table, made table, score, column pairs), tables and columns assigned one to one."""
     rows = [r for r in column_similarities(real, made).collect() if r["score"] >= least]  # bounded by the schemas' columns

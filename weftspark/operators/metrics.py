@@ -82,6 +82,40 @@ def ks_fitted(df: DataFrame, column: str, family: str) -> DataFrame:
     return run.agg(F.max(F.greatest(above, below)).alias("ks"), F.max("_n").alias("n"))
 
 
+def ks_of_families(df: DataFrame, column: str, families: list[str]) -> DataFrame:
+    """(family, ks, n): KS distance of a column to each family fitted to it, in one pass for all.
+
+    The values are counted and summed up once; every family's gap is taken at the same places.
+    Lognormal and pareto need positive values: else, and without values, ks is null.
+    """
+    x = F.col(column).cast("double")
+    values = df.where(x.isNotNull() & ~F.isnan(x)).select(x.alias("x"))
+    ln = F.when(F.col("x") > 0, F.log("x"))
+    fit = values.agg(
+        F.count("*").alias("_n"), F.min("x").alias("_lo"), F.max("x").alias("_hi"), F.avg("x").alias("_m"), F.stddev_pop("x").alias("_s"),
+        F.avg(ln).alias("_lm"), F.stddev_pop(ln).alias("_ls"),
+    )
+    run = running(values.groupBy("x").agg(F.count("*").alias("c")), "x", ["c"]).join(F.broadcast(fit))  # one row
+    v, lo, m = F.col("x"), F.col("_lo"), F.col("_m")
+    positive = lambda cdf: F.when(lo > 0, cdf)
+    cdfs = {
+        "uniform": lambda: F.try_divide(v - lo, F.col("_hi") - lo),
+        "normal": lambda: normal_cdf(F.try_divide(v - m, F.col("_s"))),
+        "lognormal": lambda: positive(normal_cdf(F.try_divide(F.log(v) - F.col("_lm"), F.col("_ls")))),
+        "exponential": lambda: F.when(v < 0, 0.0).otherwise(1 - F.exp(-F.try_divide(v, m))),
+        "pareto": lambda: positive(1 - F.pow(lo / v, F.try_divide(F.lit(1.0), F.col("_lm") - F.log(lo)))),
+        "poisson": lambda: poisson_cdf(F.floor(v), m),
+    }
+    gaps = []
+    for f in families:
+        cdf = cdfs[f]()
+        lower = poisson_cdf(F.ceil(v) - 1, m) if f == "poisson" else cdf
+        above, below = F.abs(F.col("run_c") / F.col("_n") - cdf), F.abs((F.col("run_c") - F.col("c")) / F.col("_n") - lower)
+        gaps.append(F.max(F.greatest(above, below)).alias(f))
+    row = run.agg(F.max("_n").alias("n"), *gaps)
+    return row.selectExpr("n", f"stack({len(families)}, " + ", ".join(f"'{f}', {f}" for f in families) + ") as (family, ks)").select("family", "ks", "n")
+
+
 def rank_frequency_fit(df: DataFrame, column: str) -> DataFrame:
     """One row: R^2 and exponent of ln(count) over ln(rank); (0, 0) below two distinct values. Equal counts rank in order of value."""
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("c"))

@@ -8,6 +8,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftspark.operators.quantiles import counted, exact_quantiles, stacked_values
 
 COMPARE = {
     "eq": lambda c, v: c == v, "ne": lambda c, v: c != v, "lt": lambda c, v: c < v, "le": lambda c, v: c <= v,
@@ -75,9 +76,10 @@ def active(start: str | int | None, end: str | int | None, time_col: str | None,
 def iqr_outliers(df: DataFrame, column: str, width: float = 1.5) -> DataFrame:
     """Rows outside [Q1 - width IQR, Q3 + width IQR], exact quartiles; NULLs are no outliers.
 
-    The fences are one row, which joins the rows without a shuffle.
+    The fences are one row, which joins the rows without a shuffle. Without values there is no fence
+    and no outlier.
     """
-    q = df.agg(F.percentile(F.col(column).cast("double"), F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+    q = exact_quantiles(counted(stacked_values(df, [column])), (0.25, 0.75))
     fence = q.select(
         (F.col("q")[0] - width * (F.col("q")[1] - F.col("q")[0])).alias("_low"),
         (F.col("q")[1] + width * (F.col("q")[1] - F.col("q")[0])).alias("_high"),

@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftspark.operators.quantiles import counted, exact_quantiles, kept, stacked_values
+
 QUANTILES = (0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
 MONTHS = "January February March April May June July August September October November December".split()
 
@@ -21,21 +23,23 @@ def _moments(c: Column) -> tuple[Column, Column]:
 def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row per column: counts, mean, deviation, range, quantiles, moments and type hints.
 
-    All columns share one scan: values are stacked to (column, value) and grouped once.
+    Values are stacked to (column, value). What is summed needs no shuffle of them; distinct values
+    and quantiles are those of the values counted once, see ``quantiles``.
     """
-    pairs = ", ".join(f"'{c}', cast(`{c}` as double)" for c in columns)
-    x = F.nanvl(F.col("value"), F.lit(None).cast("double"))
-    tall = df.selectExpr(f"stack({len(columns)}, {pairs}) as (column, value)").withColumn("value", x)
+    tall = stacked_values(df, columns)
     v = F.col("value")
     skew, kurt = _moments(v)
-    out = tall.groupBy("column").agg(
-        F.count("*").alias("n"), F.count_if(v.isNull()).alias("n_null"), F.count_distinct(v).alias("n_distinct"),
+    sums = tall.groupBy("column").agg(
+        F.count("*").alias("n"), F.count_if(v.isNull()).alias("n_null"),
         F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
-        F.percentile(v, F.array(*map(F.lit, QUANTILES))).alias("q"),
         skew.alias("skewness"), kurt.alias("kurtosis"),
         F.bool_and(v % 1 == 0).alias("is_discrete"), F.bool_and(v > 0).alias("is_positive"),
         F.bool_and((v >= 0) & (v <= 1)).alias("is_bounded"),
     )
+    counts = counted(tall)
+    distinct = counts.groupBy("column").agg(F.count("*").alias("n_distinct"))
+    out = sums.join(distinct, "column", "left").join(F.broadcast(exact_quantiles(counts, QUANTILES)), "column", "left")  # a row a column
+    out = out.withColumn("n_distinct", F.coalesce("n_distinct", F.lit(0)))
     names = [f"p{round(q * 100)}" for q in QUANTILES]
     rest = [c for c in out.columns if c != "q"]
     out = out.select(*rest, *[F.col("q")[i].alias(n) for i, n in enumerate(names)])
@@ -57,11 +61,11 @@ def categorical_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     pairs = ", ".join(f"'{c}', cast(`{c}` as string)" for c in columns)
     tall = df.selectExpr(f"stack({len(columns)}, {pairs}) as (column, value)").where("value is not null")
     counts = tall.groupBy("column", "value").agg(F.count("*").alias("c"))
-    # The five greatest counts by partial aggregation: no window over all values of a column.
     out = counts.groupBy("column").agg(
         F.sum("c").alias("n"), F.count("*").alias("n_distinct"), F.max("c").alias("top1"),
         F.sum(F.col("c") * F.log(F.col("c").cast("double"))).alias("clogc"),
     )
+    # A window that is cut at a rank: tasks hand on their five greatest counts of a column.
     rank = F.row_number().over(W.partitionBy("column").orderBy(F.desc("c"), "value"))
     top = counts.withColumn("rank", rank).where("rank <= 5").groupBy("column").agg(F.sum("c").alias("top5"))
     out = out.join(top, "column")
@@ -98,7 +102,8 @@ def time_profile(df: DataFrame, column: str, order: list[str]) -> DataFrame:
     gaps = gaps.join(F.broadcast(across), "year").select("t", "n", F.coalesce("gap", "jump").alias("gap"))
     same = gaps.where("n > 1").select(F.lit(0).cast("long").alias("gap"), (F.col("n") - 1).alias("w"))
     steps = gaps.where("gap is not null").select("gap", F.lit(1).cast("long").alias("w")).union(same)
-    median = steps.agg((F.percentile("gap", F.lit(0.5), F.col("w")) / 86_400_000_000).alias("median_gap_days"))
+    gaps = steps.groupBy(F.lit("gap").alias("column"), F.col("gap").cast("double").alias("value")).agg(F.sum("w").alias("n"))
+    median = exact_quantiles(kept(gaps), (0.5,)).agg((F.max(F.col("q")[0]) / 86_400_000_000).alias("median_gap_days"))  # null without gaps
     span = df.agg(F.min(column).alias("first"), F.max(column).alias("last"), F.count(column).alias("n"))
     g = F.col("median_gap_days")
     label = F.when(g < 1 / 24, "minute").when(g < 1, "hour").when(g < 7, "day").when(g < 28, "week").when(g < 365, "month").otherwise("year")

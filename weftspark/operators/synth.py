@@ -18,29 +18,38 @@ def key_range(spark: SparkSession, n: int, name: str = "id") -> DataFrame:
     return spark.range(1, n + 1).withColumnRenamed("id", name)
 
 
+def walk_step(m: int, seed: int) -> int:
+    """The step of a walk that meets each of m places once: coprime to m, near its golden section."""
+    return next(a for a in range(max(int(m * 0.6180339887) + seed % 97, 1), 2 * m + 2) if math.gcd(a, m) == 1)
+
+
 def shuffled_keys(spark: SparkSession, n: int, low: int, high: int, name: str = "id", seed: int = 7) -> DataFrame:
     """n different keys in [low, high]: an affine walk through the range, coprime to its length."""
     m = high - low + 1
     if m < n:
         raise ValueError(f"only {m} keys for {n} rows")
-    step = next(a for a in range(max(int(m * 0.6180339887) + seed % 97, 1), 2 * m + 2) if math.gcd(a, m) == 1)
+    step = walk_step(m, seed)
     at = F.pmod(F.col("id") * F.lit(step).cast("decimal(38,0)") + F.lit(seed).cast("decimal(38,0)"), F.lit(m).cast("decimal(38,0)"))
     return spark.range(n).select((at + low).cast("long").alias(name))
 
 
-def poisson(u: Column, lam: float) -> Column:
-    """Inverse CDF; beyond a mean of 200 by the normal approximation, rounded."""
-    if lam > 200:
-        raise ValueError("use poisson_large")
-    upto, p, out, k = math.exp(-lam), math.exp(-lam), None, 0
+def poisson_marks(lam: float) -> list[float]:
+    """P(X <= k) for k = 0, 1, ... as far as doubles tell it from 1."""
+    upto, p, k = math.exp(-lam), math.exp(-lam), 0
     marks = []
     while upto < 1 - 1e-15 and k < lam + 40 + 12 * math.sqrt(lam):
         marks.append(upto)
         k += 1
         p *= lam / k
         upto += p
-    out = F.size(F.filter(F.array(*map(F.lit, marks)), lambda x: x <= u))
-    return out.cast("long")
+    return marks
+
+
+def poisson(u: Column, lam: float) -> Column:
+    """Inverse CDF, for means of up to 200."""
+    if lam > 200:
+        raise ValueError("beyond a mean of 200 take the normal approximation")
+    return F.size(F.filter(F.array(*map(F.lit, poisson_marks(lam))), lambda x: x <= u)).cast("long")
 
 
 def zipf_shares(n: int, s: float) -> list[float]:
@@ -70,9 +79,9 @@ def zipf_rank(u: Column, n: int, s: float) -> Column:
     return F.least(F.greatest(F.round(x), F.lit(1)), F.lit(n)).cast("long")
 
 
-def seasonal(seed: int, stream: str, key: Column, kind: str, weights: dict, years: tuple[int, int] = (2020, 2023)) -> Column:
+def seasonal(seed: int, stream: str, key: Column, kind: str, weights: dict, years: tuple[int, int] = (2020, 2023), draw: rng.Draw = rng.uniform01) -> Column:
     """A time by weighted month, ISO-like week (1-53) or hour range ("07:00-09:00", end hour included)."""
-    u = lambda part: rng.uniform01(seed, f"{stream}/{part}", key)
+    u = lambda part: draw(seed, f"{stream}/{part}", key)
     year = F.lit(years[0]) + F.floor(u("year") * (years[1] - years[0] + 1)).cast("int")
     names, shares = list(weights), [float(v) for v in weights.values()]
     if kind == "month":
@@ -95,10 +104,14 @@ def seasonal(seed: int, stream: str, key: Column, kind: str, weights: dict, year
     raise ValueError(f"seasonal by month, week or hour, not {kind!r}")
 
 
-def sampler(spec: dict, seed: int, stream: str, key: Column) -> Column:
-    """The Column of a distribution spec ({"kind": ..., parameters}) over row key ``key``."""
-    kind, u = spec["kind"], rng.uniform01(seed, stream, key)
-    z = lambda: rng.normal01(seed, stream, key)
+def sampler(spec: dict, seed: int, stream: str, key: Column, draw: rng.Draw = rng.uniform01) -> Column:
+    """The Column of a distribution spec ({"kind": ..., parameters}) over row key ``key``.
+
+    ``draw`` makes the uniform numbers: ``rng.uniform01``, or ``rng.digest01`` for values that other
+    engines can draw too.
+    """
+    kind, u = spec["kind"], draw(seed, stream, key)
+    z = lambda: rng.normal01(seed, stream, key, draw=draw)
     if kind == "uniform":
         return spec.get("low", 0.0) + (spec.get("high", 1.0) - spec.get("low", 0.0)) * u
     if kind == "normal":
@@ -120,11 +133,11 @@ def sampler(spec: dict, seed: int, stream: str, key: Column) -> Column:
         values = [str(v) for v in spec["values"]]
         return rng.pick(u, values, spec.get("probs"))
     if kind == "seasonal":
-        return seasonal(seed, stream, key, spec["by"], spec["weights"], tuple(spec.get("years", (2020, 2023))))
+        return seasonal(seed, stream, key, spec["by"], spec["weights"], tuple(spec.get("years", (2020, 2023))), draw)
     if kind == "mixture":
         from weftspark.operators.predicates import condition
 
-        parts = [sampler(c["dist"], seed, f"{stream}/{i}", key) for i, c in enumerate(spec["components"])]
+        parts = [sampler(c["dist"], seed, f"{stream}/{i}", key, draw) for i, c in enumerate(spec["components"])]
         shares = [float(c.get("weight", 1.0)) for c in spec["components"]]
         upto, out = 0.0, None
         for part, share in zip(parts[:-1], shares[:-1], strict=True):
@@ -196,9 +209,10 @@ def make_unique(df: DataFrame, column: str, order: list[str]) -> DataFrame:
     return dedup_first(df, [column], order)
 
 
-def hash_sample(df: DataFrame, n: int, key: list[str], seed: int = 42) -> DataFrame:
-    """n rows without replacement: those of least seeded hash."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(n)
+def hash_sample(df: DataFrame, n: int, key: list[str], seed: int = 42, draw: rng.Draw | None = None) -> DataFrame:
+    """n rows without replacement: those of least seeded hash of the key, or of least ``draw``."""
+    by = draw(seed, "sample", *map(F.col, key)) if draw else F.xxhash64(F.lit(seed), *key)
+    return df.orderBy(by, *key).limit(n)
 
 
 def weighted_sample(spark: SparkSession, n: int, values: list, weights: list[float], seed: int = 7) -> DataFrame:

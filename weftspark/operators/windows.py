@@ -12,9 +12,13 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftspark.operators.ordered import with_numbers
+
 UNITS = {"d": 86400, "day": 86400, "h": 3600, "hour": 3600, "m": 60, "min": 60, "minute": 60, "s": 1, "sec": 1, "second": 1}
 #: Length of a slab in frames: an eighth of the rows, at even times, stands in two slabs.
 SLAB_SPANS = 8
+#: Rows of a slab of numbers at least.
+SLAB_ROWS = 100_000
 AGGREGATES = {"mean": "avg", "avg": "avg", "sum": "sum", "count": "count", "std": "stddev_samp"}
 
 
@@ -104,16 +108,48 @@ def _in_slabs(df: DataFrame, name: str, spec: WindowSpec) -> DataFrame:
     return made.where(F.col("_home").eqNullSafe(F.col("_slab"))).drop("_home", "_slab")
 
 
+def _reach(spec: WindowSpec) -> tuple[int, int]:
+    """How many rows before and behind a row its ROWS frame, lag or lead looks at."""
+    shifted = re.match(r"\s*(lag|lead)\s*\([^,]*(?:,\s*(\d+))?", spec.expression)
+    if shifted:
+        n = int(shifted[2] or 1)
+        return (n, 0) if shifted[1] == "lag" else (0, n)
+    return max(int(spec.frame.preceding) - 1, 0), int(spec.frame.following)
+
+
+def _in_numbered_slabs(df: DataFrame, name: str, spec: WindowSpec) -> DataFrame:
+    """A ROWS window, lag or lead over all rows, whose place in the order is ``_number``.
+
+    Slabs have a fixed number of rows. A slab's last rows are carried into the next one, and its
+    first ones into the one before, as far as frames reach, so every row finds its frame in its slab.
+    """
+    before, behind = _reach(spec)
+    size = max(SLAB_SPANS * (before + behind), SLAB_ROWS)
+    slab = lambda at: F.floor(at / F.lit(size))
+    n = F.col("_number")
+    dealt = df.withColumns({"_home": slab(n), "_slab": F.explode(F.sequence(slab(n - behind), slab(n + before)))})
+    made = dealt.withColumn(name, window_column(replace(spec, partition_by=("_slab",), order_by="_number", tiebreak=())))
+    return made.where(F.col("_home") == F.col("_slab")).drop("_home", "_slab")
+
+
 def add_windows(df: DataFrame, specs: dict[str, WindowSpec]) -> DataFrame:
     """Window columns in the given order; later ones may read earlier ones.
 
-    Specs with one partitioning and order share an exchange and a sort. RANGE windows without a
-    partitioning run slab by slab; ROWS windows, lag and lead without one take a single task.
+    Specs with one partitioning and order share an exchange and a sort. Without a partitioning,
+    RANGE windows run in slabs of time; for ROWS windows, lag and lead the rows are numbered, once
+    for specs of one order that follow each other, and windows run in slabs of numbers. Rows that
+    are equal in the order and its tie-break have no order among each other, as in SQL.
     """
+    numbers: tuple[str, ...] | None = None
     for name, spec in specs.items():
-        shifted = re.match(r"\s*(lag|lead)\s*\(", spec.expression)
-        if spec.partition_by or shifted or spec.frame.kind.upper() == "ROWS":
+        by_rows = re.match(r"\s*(lag|lead)\s*\(", spec.expression) or spec.frame.kind.upper() == "ROWS"
+        if spec.partition_by:
             df = df.withColumn(name, window_column(spec))
+        elif by_rows:
+            order = (spec.order_by, *spec.tiebreak)
+            if numbers != order:
+                df, numbers = with_numbers(df.drop("_number"), list(order), "_number"), order
+            df = _in_numbered_slabs(df, name, spec)
         else:
             df = _in_slabs(df, name, spec)
-    return df
+    return df.drop("_number")

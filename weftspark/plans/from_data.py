@@ -31,10 +31,9 @@ def column_type(kind: T.DataType) -> str:
 def numeric_rule(df: DataFrame, column: str) -> dict:
     """The family of greatest KS p-value, among equals of greatest likelihood; uniform where none fits."""
     rows = profile.fit_distributions(df, column).collect()
-    fits = {}
-    for r in rows:
-        found = metrics.ks_fitted(df, column, r["family"]).first()
-        fits[r["family"]] = (round(kolmogorov_tail(found["ks"], found["n"]), 12) if found["ks"] is not None else 0.0, r["loglik"])
+    found = {r["family"]: r for r in metrics.ks_of_families(df, column, [r["family"] for r in rows]).collect()} if rows else {}
+    p = lambda f: round(kolmogorov_tail(found[f]["ks"], found[f]["n"]), 12) if found[f]["ks"] is not None else 0.0
+    fits = {r["family"]: (p(r["family"]), r["loglik"]) for r in rows}
     best = max(rows, key=lambda r: fits[r["family"]], default=None)
     if best is None:
         return {"kind": "uniform", "low": 0.0, "high": 1.0}

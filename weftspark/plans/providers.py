@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftspark.functions import rng
+from weftspark.operators import lookups
 
 FIRST = "Ada Ben Cleo Dan Eva Finn Gita Hugo Ines Jan Kim Lena Max Nora Otto Pia Quinn Ravi Sara Tom".split()
 LAST = "Adler Brandt Castro Dubois Evans Fischer Garcia Hansen Ito Jones Keller Lopez Meyer Novak Olsen Petrov Rossi Silva Tanaka Weber".split()
@@ -84,6 +85,39 @@ for _n, _m in {
 }.items():
     register(_n, _m)
 
+LOOKUP = "lookup."
+
+
+def lookup_source(name: str) -> tuple[str, str] | None:
+    """(table, column) of a provider ``lookup.<table>.<column>``; None for others."""
+    parts = name.removeprefix(LOOKUP).split(".") if name.startswith(LOOKUP) and name not in _MAKERS else []
+    return (parts[0], parts[1]) if len(parts) == 2 else None
+
+
+def lookup_columns(rows: DataFrame, key: str, asked: dict[str, dict], tables: dict[str, DataFrame], seed: int = 7, stream: str = "") -> DataFrame:
+    """``rows`` with a column for each ``lookup.<table>.<column>`` provider, drawn from ``tables``.
+
+    Configuration: ``weight``, a column of the table; ``order``, columns that tell its rows apart
+    (all of them, if none); ``fallback``, the name of another provider. That one gives the values
+    where the table or the column is not there; without it this is an error.
+    """
+    for column, ref in asked.items():
+        name, source = lookup_source(ref["name"])
+        config, place = ref.get("config", {}), f"{stream}.{column}" if stream else column
+        if name not in tables or source not in tables[name].columns:
+            if "fallback" not in config:
+                raise ValueError(f"{place}: no {name}.{source} to look up")
+            rows = rows.withColumn(column, provide({"name": config["fallback"], "config": config}, seed, place, F.col(key)))
+            continue
+        table = tables[name]
+        held = table.select(*[F.col(c).alias(f"_t_{c}") for c in table.columns]).withColumn(column, F.col(f"_t_{source}"))
+        order = [f"_t_{c}" for c in config.get("order", table.columns)]
+        weight = f"_t_{config['weight']}" if config.get("weight") else None
+        names = rows.columns if column in rows.columns else [*rows.columns, column]
+        rows = lookups.draw_from(rows, key, held, [column], order, weight, seed, place).select(*names)
+    return rows
+
+
 # What a column's name says of its provider, first match first.
 BY_NAME = (
     ("email", "internet.email"), ("phone", "phone.number"), ("first_name", "person.first_name"), ("last_name", "person.last_name"),

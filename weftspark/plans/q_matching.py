@@ -6,7 +6,7 @@ from itertools import permutations
 
 from pyspark.sql import functions as F
 
-from weftspark.operators import data_match, dependencies, matching
+from weftspark.operators import data_match, dependencies, matching, structure, trends
 from weftspark.plans.from_data import column_type
 from weftspark.plans.registry import Catalog
 from weftspark.session import table
@@ -101,3 +101,83 @@ def match_table_scores(spark, sf_dir):
     """Name, aligned columns, cardinality and dependency signature of a pair of tables."""
     given = _inputs(spark, sf_dir)
     return _rounded(data_match.table_scores(data_match.column_scores(*given), *given))
+
+
+_NAMES = "('customer', 'supplier', 'nation')"
+
+
+@query(f"""with c as (select table_name as t, column_name as c from information_schema.columns where table_name in {_NAMES}),
+  p as (select a.c as a, b.c as b from c a join c b on a.t < b.t),
+  l as (select a, b, (select max(len(s)) from (select unnest(flatten([[a[i:j] for j in range(i, len(a) + 1)] for i in range(1, len(a) + 1)])) as s) where contains(b, s)) as n from p),
+  n as (select *, regexp_replace(regexp_replace(a, '[^a-z0-9]', '', 'g'), 's+$', '') as pa, regexp_replace(regexp_replace(b, '[^a-z0-9]', '', 'g'), 's+$', '') as pb from l)
+  select a, b, coalesce(n, 0)::integer as common, round(coalesce(n, 0) / greatest(len(a), len(b))::double, 9) as ratio,
+         pa = pb or coalesce(n, 0) / greatest(len(a), len(b))::double >= 0.6 as compatible from n""")
+def common_substrings(spark, sf_dir):
+    """Longest common substring and compatibility of every pair of column names of three tables."""
+    rows = [(t, f.name) for t in ("customer", "supplier", "nation") for f in table(spark, sf_dir, t).schema]
+    c = spark.createDataFrame(rows, "t string, c string")
+    pairs = c.select(F.col("t").alias("ta"), F.col("c").alias("a")).join(c.select(F.col("t").alias("tb"), F.col("c").alias("b")), F.col("ta") < F.col("tb"))
+    a, b = F.col("a"), F.col("b")
+    return pairs.select("a", "b", matching.common_substring(a, b).alias("common"), F.round(matching.common_ratio(a, b), 9).alias("ratio"), matching.name_compatible(a, b, 0.6).alias("compatible"))
+
+
+#: What is matched, and the dependencies of the second table in the first one's names.
+_MATCHED = {"c_custkey": "s_suppkey", "c_name": "s_name", "c_nationkey": "s_nationkey", "c_acctbal": "s_acctbal"}
+_RENAMED = "case {c} " + " ".join(f"when '{m}' then '{r}'" for r, m in _MATCHED.items()) + " end"
+
+
+@query(f"""with recursive fds as ({_FDS}), g as (select lhs, rhs from fds where tab = 'customer'),
+  m as (select {_RENAMED.format(c='lhs')} as lhs, {_RENAMED.format(c='rhs')} as rhs from fds where tab = 'supplier'),
+  rg as (select lhs, rhs from g union select rg.lhs, g.rhs from rg join g on g.lhs = rg.rhs), rm as (select lhs, rhs from m union select rm.lhs, m.rhs from rm join m on m.lhs = rm.rhs),
+  k as (select 'primary_key' as kind, 2 as n_gold, 2 as n_made, 1 as n_common, 1 as hm, 1 as hg union all select 'foreign_key', 1, 1, 1, 1, 1
+        union all select 'dependency', (select count(*) from g), (select count(*) from m), c, c, c from (select count(*) as c from g join m using (lhs, rhs))
+        union all select 'implied', (select count(*) from g), (select count(*) from m), least(x, y), x, y
+        from (select (select count(*) from m where (lhs, rhs) in (select lhs, rhs from rg) or lhs = rhs) as x, (select count(*) from g where (lhs, rhs) in (select lhs, rhs from rm)) as y)),
+  s as (select *, coalesce(hm / nullif(n_made, 0)::double, 0) as p, coalesce(hg / nullif(n_gold, 0)::double, 0) as r from k)
+  select kind, n_gold, n_made, n_common, round(p, 9) as precision, round(r, 9) as recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 9) as f1 from s""")
+def structure_scores(spark, sf_dir):
+    """F1 of keys, foreign keys and dependencies of two tables, compared as sets and by closure."""
+    _, _, real, made, real_fds, made_fds = _inputs(spark, sf_dir)
+    keyed = lambda df, c: df.withColumn("ref", F.when(F.col("col") == c, f"nation.{c}"))
+    nation = spark.createDataFrame([("nation", c, "INT", "attribute", None) for c in ("c_nationkey", "s_nationkey")], matching.SCHEMA)
+    real, made = keyed(real, "c_nationkey").union(nation.where("col = 'c_nationkey'")), keyed(made, "s_nationkey").union(nation.where("col = 's_nationkey'"))
+    match = structure.match_frame(spark, [("customer", "supplier", 1.0, [(r, m, 1.0) for r, m in _MATCHED.items()])]).union(
+        structure.match_frame(spark, [("nation", "nation", 1.0, [("c_nationkey", "s_nationkey", 1.0)])]))
+    return _rounded(structure.structure_scores(real, made, match, real_fds, made_fds))
+
+
+_LIKE = "{a} as (select column_name as c, case when data_type in ('BIGINT', 'INTEGER', 'DOUBLE') then 'n' else data_type end as k from information_schema.columns where table_name = '{t}')"
+
+
+@query(f"""with recursive {_LIKE.format(a='r', t='customer')}, {_LIKE.format(a='m', t='supplier')},
+  p as (select r.c as a, m.c as b from r join m on r.k = m.k and r.c in {_SIDES['customer']} and m.c in {_SIDES['supplier']}),
+  e as (select a, b from (select a, b, (select max(len(s)) from (select unnest(flatten([[a[i:j] for j in range(i, len(a) + 1)] for i in range(1, len(a) + 1)])) as s) where contains(b, s)) as n from p)
+        where n / greatest(len(a), len(b))::double >= 0.3),
+  o as (select a, row_number() over (order by a) as i from (select distinct a from e)),
+  t(i, used) as (select 0::bigint, []::varchar[] union all
+    select t.i + 1, u.used from t join o on o.i = t.i + 1, lateral (select t.used union all select list_append(t.used, e.b) from e where e.a = o.a and not list_contains(t.used, e.b)) u(used))
+  select 'customer' as r_tab, 'supplier' as m_tab, max(len(used))::integer as n_pairs, round(2 * max(len(used)) / 9::double, 9) as f1 from t""")
+def match_by_options(spark, sf_dir):
+    """The most pairs of compatible columns of two tables, one to one, and their F1."""
+    _, _, real, made, _, _ = _inputs(spark, sf_dir)
+    return _rounded(matching.match_by_options(real, made, 0.3).drop("mapping"))
+
+
+_JOINED = "select c_acctbal as x, c_mktsegment as g, o_totalprice as y, o_orderpriority as p, o_orderstatus as s from customer join orders on c_custkey = o_custkey where o_orderstatus in ('F', 'O')"
+_BIN = "greatest(least(floor(({x} - {lo}) / (({hi} - {lo}) / 10)), 9), 0)"
+_BX = _BIN.format(x="x", lo="(select min(c_acctbal) from customer)", hi="(select max(c_acctbal) from customer)")
+_BY = _BIN.format(x="y", lo="(select min(o_totalprice) from orders where o_orderstatus = 'F')", hi="(select max(o_totalprice) from orders where o_orderstatus = 'F')")
+_SHARES = """select '{p}' as parent_col, '{c}' as child_col, 'contingency' as metric, round(1 - sum(abs(f - o)) / 2, 9) as similarity from (
+  select a, b, count(*) filter (s = 'F') / (select count(*) from j where s = 'F')::double as f, count(*) filter (s = 'O') / (select count(*) from j where s = 'O')::double as o
+  from (select {a} as a, {b} as b, s from j) group by all)"""
+
+
+@query(f"with j as ({_JOINED}) select 'c_acctbal' as parent_col, 'o_totalprice' as child_col, 'correlation' as metric, "
+       "round(1 - abs((select corr(x, y) from j where s = 'F') - (select corr(x, y) from j where s = 'O')) / 2, 9) as similarity union all "
+       + " union all ".join(_SHARES.format(p=p, c=c, a=a, b=b) for p, c, a, b in (
+           ("c_acctbal", "o_orderpriority", _BX, "p"), ("c_mktsegment", "o_totalprice", "g", _BY), ("c_mktsegment", "o_orderpriority", "g", "p"))))
+def intertable_trends(spark, sf_dir):
+    """How customers' and orders' columns go together, for orders of two states."""
+    customer, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    sides = [(customer, orders.where(F.col("o_orderstatus") == s)) for s in ("F", "O")]
+    return _rounded(trends.intertable_trends(*sides, "c_custkey", "o_custkey", ["c_acctbal", "c_mktsegment"], ["o_totalprice", "o_orderpriority"]))

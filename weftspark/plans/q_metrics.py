@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftspark.operators import metrics
+from weftspark.operators import metrics, scores
 from weftspark.plans.registry import Catalog
 from weftspark.session import table
 
@@ -157,3 +157,29 @@ def table_fidelity(spark, sf_dir):
     t = m.join(F.broadcast(c)).join(F.broadcast(p))
     marginal, pairwise = (F.col("m") + F.col("c")) / 2, F.col("similarity")
     return _rounded(t.select(marginal.alias("marginal"), pairwise.alias("pairwise"), (0.7 * marginal + 0.3 * pairwise).alias("fidelity")))
+
+
+_INTRA = ("l_quantity", "l_extendedprice", "l_discount")
+_R = "(select corr({a}, {b}) from lineitem where l_returnflag = '{f}')"
+
+
+@query("select round(1 - (" + " + ".join(f"abs({_R.format(a=a, b=b, f='A')} - {_R.format(a=a, b=b, f='N')})" for i, a in enumerate(_INTRA) for b in _INTRA[i + 1 :]) + ") / 6, 9) as score")
+def score_intra(spark, sf_dir):
+    """How alike the correlations of lines of two states are."""
+    lines = table(spark, sf_dir, "lineitem")
+    found = scores.intra_score(lines.where("l_returnflag = 'A'"), lines.where("l_returnflag = 'N'"), list(_INTRA))
+    return spark.createDataFrame([(round(found, 9),)], "score double")
+
+
+_DEGREE = """(select n, row_number() over (order by n) as k from (select count(o_custkey)::double as n from customer left join orders on o_custkey = c_custkey and o_orderstatus = '{s}' group by c_custkey))"""
+
+
+@query(f"""with c as (select count(*) filter (o_orderstatus = 'O' and o_custkey in (select c_custkey from customer)) / count(*) filter (o_orderstatus = 'O')::double as coverage,
+  least(count(*) filter (o_orderstatus = 'F'), count(*) filter (o_orderstatus = 'O')) / greatest(count(*) filter (o_orderstatus = 'F'), count(*) filter (o_orderstatus = 'O'))::double as ratio from orders),
+  w as (select avg(abs(a.n - b.n)) as w1 from {_DEGREE.format(s='F')} a join {_DEGREE.format(s='O')} b using (k))
+  select round(0.4 * coverage + 0.3 / (1 + w1) + 0.3 * (coverage + ratio) / 2, 9) as score from c, w""")
+def score_inter(spark, sf_dir):
+    """How alike orders of two states hang on customers: coverage, degrees and cardinality."""
+    customer, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    sides = [(customer, orders.where(F.col("o_orderstatus") == s)) for s in ("F", "O")]
+    return spark.createDataFrame([(round(scores.inter_score(*sides, "c_custkey", "o_custkey"), 9),)], "score double")

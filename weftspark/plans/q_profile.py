@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from weftspark.operators import dependencies, profile
@@ -18,7 +20,7 @@ def _rounded(df, digits=6):
 
 _NUMERIC = ("l_quantity", "l_extendedprice", "l_discount", "l_linenumber")
 _ONE = """select '{c}' as column, count(*) as n, count(*) filter ({c} is null) as n_null, count(distinct {c}) as n_distinct,
- round(avg({c}), 6) as mean, round(stddev_samp({c}), 6) as std, min({c})::double as min, max({c})::double as max,
+ round(avg({c}), {digits}) as mean, round(stddev_samp({c}), 6) as std, min({c})::double as min, max({c})::double as max,
  round((avg(pow({c}, 3)) - 3 * avg({c}) * avg(pow({c}, 2)) + 2 * pow(avg({c}), 3)) / pow(stddev_pop({c}), 3), 3) as skewness,
  round(kurtosis_pop({c}), 3) as kurtosis, bool_and({c}::double % 1 = 0) as is_discrete, bool_and({c} > 0) as is_positive,
  bool_and({c} >= 0 and {c} <= 1) as is_bounded,
@@ -28,10 +30,16 @@ _ONE = """select '{c}' as column, count(*) as n, count(*) filter ({c} is null) a
  0.0::double as null_share from lineitem"""
 
 
-@query(" union all ".join(_ONE.format(c=c) for c in _NUMERIC))
+#: Digits of a mean: of hundredths by a round number of rows the sixth one can be a tie.
+_MEAN_DIGITS = {"l_discount": 8}
+
+
+@query(" union all ".join(_ONE.format(c=c, digits=_MEAN_DIGITS.get(c, 6)) for c in _NUMERIC))
 def profile_numeric(spark, sf_dir):
     out = profile.numeric_profile(table(spark, sf_dir, "lineitem"), list(_NUMERIC))
-    return _rounded(out.withColumns({c: F.round(c, 3) for c in ("skewness", "kurtosis")}))
+    out = out.withColumns({c: F.round(c, 3) for c in ("skewness", "kurtosis")})
+    mean = F.when(F.col("column").isin(*_MEAN_DIGITS), F.round("mean", 8)).otherwise(F.round("mean", 6))
+    return out.select(*[mean.alias(c) if c == "mean" else F.round(c, 6).alias(c) if t == "double" else c for c, t in out.dtypes])
 
 
 _CATEGORICAL = """with v as (select {c} as v, count(*) as c from {t} group by 1), r as (select *, row_number() over (order by c desc, v) as k from v)
@@ -115,11 +123,13 @@ def fit_distributions(spark, sf_dir):
     return out.select("family", F.round("a", 3).alias("a"), F.round("b", 3).alias("b"), F.round("loglik", 6).alias("loglik"))
 
 
-@query("""select 'n_nationkey' as columns, count(*) as n, count(distinct n_nationkey) as n_distinct, count(distinct n_nationkey) / count(*)::double as support from nation
-          union all select 'n_regionkey', count(*), count(distinct n_regionkey), round(count(distinct n_regionkey) / count(*)::double, 9) from nation
-          union all select 'n_name,n_regionkey', count(*), count(distinct (n_name, n_regionkey)), count(distinct (n_name, n_regionkey)) / count(*)::double from nation""")
+_SETS = (("l_orderkey",), ("l_orderkey", "l_linenumber"), ("l_partkey", "l_suppkey", "l_returnflag"))
+
+
+@query(" union all ".join(f"select '{','.join(x)}' as columns, count(*) as n, count(distinct ({', '.join(x)})) as n_distinct, "
+                          f"round(count(distinct ({', '.join(x)})) / count(*)::double, 9) as support from lineitem" for x in _SETS))
 def itemset_support(spark, sf_dir):
-    return _rounded(dependencies.itemset_support(table(spark, sf_dir, "nation"), [("n_nationkey",), ("n_regionkey",), ("n_name", "n_regionkey")]), 9)
+    return _rounded(dependencies.itemset_support(table(spark, sf_dir, "lineitem"), list(_SETS)), 9)
 
 
 @query("""with g as (select c_nationkey, count(*) as n, count(distinct c_mktsegment) = 1 as one from customer group by 1)
@@ -130,10 +140,22 @@ def fd_confidence(spark, sf_dir):
     return dependencies.fd_confidence(c, ["c_nationkey"], "c_mktsegment").union(dependencies.fd_confidence(c, ["c_custkey"], "c_mktsegment"))
 
 
-@query("""select unnest(['n_name', 'n_name', 'n_nationkey', 'n_nationkey']) as lhs, unnest(['n_nationkey', 'n_regionkey', 'n_name', 'n_regionkey']) as rhs,
-          25::bigint as n, 1.0::double as confidence""")
+_FD_SIDES = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")
+_FD_SETS = [(s, c) for k in (1, 2, 3) for s in combinations(_FD_SIDES, k) for c in _FD_SIDES if c not in s]
+
+
+def _fd_sql(lhs, rhs):
+    columns = ", ".join(lhs)
+    return f"""select [{", ".join(f"'{c}'" for c in lhs)}] as l, '{rhs}' as rhs, sum(n)::bigint as n, coalesce(sum(n) filter (one), 0) / sum(n)::double as confidence
+               from (select count({rhs}) as n, count(distinct {rhs}) = 1 as one from lineitem group by {columns})"""
+
+
+@query("with f as (" + " union all ".join(_fd_sql(*x) for x in _FD_SETS) + """), h as (select * from f where confidence >= 0.95)
+  select array_to_string(l, ',') as lhs, rhs, n, round(confidence, 9) as confidence from h
+  where not exists (select 1 from h t where t.rhs = h.rhs and len(t.l) < len(h.l) and len(list_intersect(t.l, h.l)) = len(t.l))""")
 def discover_fds(spark, sf_dir):
-    return dependencies.discover_fds(table(spark, sf_dir, "nation"), ["n_nationkey", "n_name", "n_regionkey"])
+    """Minimal dependencies with up to three columns on the left, over stripped partitions."""
+    return _rounded(dependencies.discover_fds(table(spark, sf_dir, "lineitem"), list(_FD_SIDES), 3), 9)
 
 
 @query("""select 'c_custkey' as column, count(*) as n, count(distinct c_custkey) as n_distinct, count(*) = count(distinct c_custkey) as is_unique from customer

@@ -77,8 +77,7 @@ def source_union_files(spark, sf_dir):
     for name, df in (("regions", regions), ("nations", nations)):
         readers.write_csv(df, f"{folder}/{name}.csv", single=True)
     both = readers.union_files(spark, [f"{folder}/regions.csv", f"{folder}/nations.csv"])
-    origin = F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv/", 1)
-    return both.select("name", "code", "region", origin.alias("origin"))
+    return both.select("name", "code", "region", F.col("indicator_code").alias("origin"))
 
 
 @query("select o_orderkey, case when o_orderstatus = 'F' then null else o_orderstatus end as status, nullif(case when o_orderkey % 3 = 0 then '' else o_orderpriority end, '') as priority from orders")
@@ -129,3 +128,42 @@ def stream_sliding(spark, sf_dir):
     """Windows of twelve hours, one every six."""
     rows = _stream(spark, sf_dir, lambda s: rolling.windowed(s, "ts", [], {"n": ("count", "value"), "mean": ("mean", "value")}, "12 hours", "6 hours"), "complete")
     return rows.select(F.date_format("window_start", "yyyy-MM-dd HH").alias("start"), "n", F.round("mean", 6).alias("mean"))
+
+
+def _arrivals(spark, sf_dir, make):
+    """What a stream in append mode writes over the events, which arrive decade by decade of the month,
+    each twice; at last the first decade's arrive once more, when the watermark has long passed them.
+    """
+    folder, out = scratch_path(spark, "arrivals"), scratch_path(spark, "stream")
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value")
+    decade = F.least(F.floor((F.dayofmonth("ts") - 1) / 10), F.lit(2))
+    for part in (0, 1, 2, 0):
+        rows = events.where(decade == part)
+        rows.union(rows).write.mode("append").parquet(folder)
+        stream = make(spark.readStream.schema(events.schema).parquet(folder))
+        run = stream.writeStream.outputMode("append").trigger(availableNow=True).format("parquet")
+        run.option("path", out).option("checkpointLocation", f"{out}-state").start().awaitTermination()
+    return spark.read.parquet(out)
+
+
+@query("""with g as (select user_id, ts, case when ts - lag(ts) over w < interval '2 hours' then 0 else 1 end as new from events window w as (partition by user_id order by ts)),
+  s as (select *, sum(new) over (partition by user_id order by ts) as s from g)
+  select user_id, min(ts) as session_start, max(ts) + interval '2 hours' as session_end, 2 * count(*) as n from s group by user_id, s
+  having max(ts) + interval '2 hours' <= (select max(ts) from events) - interval '10 minutes'""")
+def stream_sessions(spark, sf_dir):
+    """Sessions that the watermark has closed; rows that come after it change none."""
+    rows = _arrivals(spark, sf_dir, lambda s: rolling.sessions(s, "ts", ["user_id"], "2 hours"))
+    return rows.select("user_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("session_start", "session_end")], "n")
+
+
+@query("select event_id, user_id, value from events")
+def stream_first_seen(spark, sf_dir):
+    """Each event once, though all come twice and some once more too late."""
+    return _arrivals(spark, sf_dir, lambda s: rolling.first_seen(s, "ts", ["event_id"])).select("event_id", "user_id", "value")
+
+
+@query("select time_bucket(interval '1 day', ts) as day, 2 * count(*) as n from events group by 1 having time_bucket(interval '1 day', ts) + interval '1 day' <= (select max(ts) from events) - interval '10 minutes'")
+def stream_closed_days(spark, sf_dir):
+    """Days that the watermark has closed, each written once."""
+    rows = _arrivals(spark, sf_dir, lambda s: rolling.windowed(s, "ts", [], {"n": ("count", "event_id")}, "1 day"))
+    return rows.select(F.col("window_start").cast("timestamp_ntz").alias("day"), "n")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftspark.operators import text_diversity
+from weftspark.plans import nuances
+from weftspark.plans.examples import SHOP
 from weftspark.plans.registry import Catalog
 from weftspark.session import table
 
@@ -51,3 +53,14 @@ def text_diversity_check(spark, sf_dir):
     texts = table(spark, sf_dir, "benchmark")
     n = text_diversity.term_counts(texts, "item_id", "text").agg(F.count_distinct("doc").alias("texts"))
     return text_diversity.similar_texts(texts, "item_id").agg((F.count("*") == 0).alias("diverse"), F.count("*").alias("pairs")).join(n)
+
+
+_COVERED = nuances.constructs(SHOP)
+_FAMILY = "select '{f}' as family, count(*) filter ({found}) as n, {covered} as covered from (select lower(text) as t from documents)"
+
+
+@query(" union all ".join(_FAMILY.format(f=f, found=" or ".join(f"contains(t, '{k}')" for k in keywords), covered="true" if needs & _COVERED else "false")
+                          for f, (keywords, needs) in nuances.FAMILIES.items()))
+def keyword_families(spark, sf_dir):
+    """How many texts mention each family of keywords, and whether a spec has what it asks for."""
+    return nuances.family_counts(table(spark, sf_dir, "documents"), "doc_id", "text", SHOP)
