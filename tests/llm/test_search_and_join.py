@@ -59,6 +59,15 @@ def test_vector_overlong_and_uneven(spark):
     big = spark.createDataFrame([(0, [1e30, 1.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<double>")
     with pytest.raises(ValueError, match="64 bits"):
         vector_search.top_k(big)
+    rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [1e12, 0.0])]  # scores of 524288 and 1.05e18
+    assert sorted(tuple(r) for r in vector_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()) == brute_top(rows)
+    rng = np.random.default_rng(9)
+    mixed = [(i, [float(x) for x in rng.normal(size=3) * (1e9 if i % 3 == 0 else 1.0)]) for i in range(1, 400)] + [(400, [1e-3, -1e-3, 2e-3])]
+    few = [(i, v) for i, v in mixed if i % 100 or i == 400]
+    assert sorted(tuple(r) for r in vector_search.top_k(spark.createDataFrame(few, "vec_id long, embedding array<double>")).collect()) == brute_top(few)
+    over = spark.createDataFrame([(0, [1e14, 0.0]), (1, [1e14, 0.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="OVERFLOW|overflow|out of range"):
+        vector_search.top_k(over).collect()
     uneven = spark.createDataFrame([(0, [1.0, 1.0]), (1, [1.0])], "vec_id long, embedding array<double>")
     with pytest.raises(Exception, match="numbers of components"):
         vector_search.top_k(uneven)
@@ -212,6 +221,16 @@ def test_page_structure():
     ('<article><h2 id="search-methods">H</h2><p class="notice">N</p><section id="related-work"><p>R</p></section><p class="ad">x<div class="share">y</div></article>', ["H", "N", "R"]),
     ('<article><p>A</article><section class="related"><article><p>teaser</article></section><div class="post-comments"><p>c</div>', ["A"]),
     ('<main><p>A<div id="comments"><p>c</div></main><div class="sidebar-content"><p>s</div>', ["A"]),
+    ('<html><head><title>t</title><meta charset=utf-8><body><p>A', ["A"]),
+    ('<head><title>t</title><style>s</style><p>A<script>x</script>', ["A"]),
+    ('<head><title>t</title>A', ["A"]),
+    ('<article><p title="A hidden gem">A</p><p hidden>h<p data-x=hidden>B<p title=\'class="ad"\'>C</article>', ["A", "B", "C"]),
+    ('<article><p class="ad">x<div>A</div><p class="ad">y<ul><li>B</ul></article>', ["A", "B"]),
+    ('<table><tr><td class=sidebar>x<td>A<tr><td>B<tr class=ad><td>y</table><p>C', ["A", "B", "C"]),
+    ('<dl><dt>A<dd class="ad">x<dt>B<dd><p>C<dd>D</dl>', ["A", "B", "C", "D"]),
+    ('<ul><li class=ad><div>x<li>A<ul><li>B</ul><li>C</ul>', ["A", "B", "C"]),
+    ('<article><p>A</p><div class="related-posts"><a>x</a></div><ul class="shareButtons"><li>y</ul><p class="related-work">B<div class="content-list">C</div></article>', ["A", "B", "C"]),
+    ('<table><tr><td><table class=ad><tr><td>x</table>A<td>B</table>', ["A", "B"]),
 ])
 def test_page_words_of_class_and_id(page, want):
     gone = (page_text.DROP,)

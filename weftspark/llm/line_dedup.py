@@ -35,6 +35,7 @@ def dedup_lines(
     * A null or empty text is one empty line and stays as "".
     * A null id counts as one more document, after all others.
     * Rows that repeat an id count as one document; each row keeps its own lines.
+    * Keys are equal where two 64-bit hashes of them are: exact but for collisions of both.
     * Very long texts are handled whole: lines are rows, and a text's dropped ones a byte each.
     * Names that clash with the helper columns are no problem: these begin with ``_ld_``.
     * An empty table gives an empty table.

@@ -61,6 +61,21 @@ LAYOUT = frozenset("no has with without not".split())
 #: Elements that hold text of their own, and those of them that can belong to an article they stand beside.
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote".split())
 TEXT = PROSE | frozenset("li dt dd td th caption figcaption".split())
+# What an end tag may be left out for. A start tag ends the open elements of its row, up to
+# the first element that holds them; what may stand in a head; what a token inside an article consists of
+# that tells of links, such as related-posts.
+HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title head".split())
+ENDS_P = frozenset(
+    "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form "
+    "h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul li dt dd".split()
+)
+ENDED = {
+    **dict.fromkeys(("li",), frozenset(["li"])), **dict.fromkeys(("dt", "dd"), frozenset(["dt", "dd"])), **dict.fromkeys(("option", "optgroup"), frozenset(["option"])),
+    **dict.fromkeys(("td", "th"), frozenset(["td", "th"])), "tr": frozenset(["tr", "td", "th"]),
+    **dict.fromkeys(("tbody", "thead", "tfoot"), frozenset(["tbody", "thead", "tfoot", "tr", "td", "th", "caption"])),
+}
+HOLDS = {"p": BLOCKS, "li": BLOCKS - {"address", "div", "p"}, "dt": BLOCKS - {"address", "div", "p"}, "option": BLOCKS, "td": frozenset(["table"])}
+LINK_WORDS = frozenset("posts articles stories links items pages box block list buttons button bar container wrapper form signup feed".split())
 #: What structure says of a line. Differencing decides on OPEN (no container on the page), INSIDE
 #: (in a container, but in no element for text) and BESIDE (prose of a page with a container).
 KEEP, DROP, OPEN, INSIDE, BESIDE = 1, 0, 2, 3, 4
@@ -74,7 +89,7 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)|([^<]+)|(<)", re.S
 )
-_ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I | re.S)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.S)
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -82,18 +97,23 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 def _by_words(name: str, tokens: list[tuple[str, str]], inside: bool) -> int | None:
     """What (attribute, token) pairs of class, id and role say: SOFT, KEEP, or nothing (None).
 
-    Whole tokens have more weight than parts, and inside an article nothing else counts. Ids of
+    Whole tokens have more weight than parts, and inside an article nothing else counts, but for
+    tokens of blocks that name links alone. A paragraph marked as a notice inside an article is read
+    as part of it; a block so marked goes. Ids of
     headings, paragraphs and inline elements are anchors, as are those of sections: they say
     nothing, but for a section outside an article by its whole id.
     """
     small = name in PROSE or name not in BLOCKS
     whole: set[str] = set()
     parts: set[int] = set()
+    listed = False
     for key, token in tokens:
         if key == "id" and (small or (name == "section" and inside)):
             continue
         whole.add(token.lower())
         words = [w.lower() for w in _WORD.findall(token)]
+        # A block of links: related-posts, share-buttons.
+        listed = listed or (inside and not small and key != "id" and len(words) > 1 and words[0] in ASIDE_WORDS and all(w in LINK_WORDS | ASIDE_WORDS for w in words))
         if inside or not words or words[0] in LAYOUT or (key == "id" and name == "section"):
             continue
         aside, main = [w in ASIDE_WORDS for w in words], any(w in MAIN_WORDS for w in words)
@@ -101,7 +121,7 @@ def _by_words(name: str, tokens: list[tuple[str, str]], inside: bool) -> int | N
             parts.add(SOFT)
         elif main and not any(aside):
             parts.add(KEEP)
-    if whole & (AD_WORDS if inside and small else ASIDE_WORDS):
+    if listed or whole & (AD_WORDS if inside and small else ASIDE_WORDS):
         return SOFT
     if whole & MAIN_WORDS:
         return KEEP
@@ -147,6 +167,24 @@ def _settled(lines: list[tuple[str, int, str, int]], holders: set[int]) -> list[
     return out
 
 
+def _ended(stack: list[tuple], name: str) -> int | None:
+    """Where the stack ends as a start tag comes whose predecessors need no end tag: the outermost
+    element it ends, or None."""
+    found = None
+    kinds = [("p", frozenset(["p"]))] if name in ENDS_P else []
+    if name in ENDED:
+        kinds.append(("td" if name in ("td", "th", "tr", "tbody", "thead", "tfoot") else "dt" if name == "dd" else "option" if name == "optgroup" else name, ENDED[name]))
+    for kind, ends in kinds:
+        for i in range(len(stack) - 1, -1, -1):
+            if stack[i][0] in ends:
+                found = i if found is None else min(i, found)
+            elif stack[i][0] in HOLDS[kind]:
+                break
+    if name not in HEAD:
+        found = next((i for i, e in enumerate(stack) if e[0] == "head"), found)
+    return found
+
+
 def page_lines(page: str) -> list[tuple[str, int]]:
     """The lines of a page in order, each with what structure says of it."""
     lines: list[tuple[str, int, str, int]] = []  # text, state, block element, number of the SOFT element
@@ -168,6 +206,9 @@ def page_lines(page: str) -> list[tuple[str, int]]:
         at = token.end()
         closing, name, attributes, text, lone = token.groups()
         if text is not None or lone is not None:
+            if stack and stack[-1][0] == "head" and (text is None or text.strip()):  # text ends a head
+                stack.pop()
+                state, hidden = (stack[-1][1], stack[-1][2]) if stack else (OPEN, False)
             if not hidden:
                 held.append(entities.unescape(text if text is not None else lone))
             continue
@@ -187,14 +228,10 @@ def page_lines(page: str) -> list[tuple[str, int]]:
             continue
         if name in VOID:
             continue
-        if name == "p" or name == "li":  # the next one ends an open one, if no container is between
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    state, hidden = (stack[-1][1], stack[-1][2]) if stack else (OPEN, False)
-                    break
-                if stack[i][0] in BLOCKS:
-                    break
+        ended = _ended(stack, name)
+        if ended is not None:
+            del stack[ended:]
+            state, hidden = (stack[-1][1], stack[-1][2]) if stack else (OPEN, False)
         inside = state in (KEEP, SOFT_MAIN, MAIN_ELEMENT)
         role = _role(name, attributes, inside)
         if role == DROP and inside and name == "header":

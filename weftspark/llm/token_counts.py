@@ -165,6 +165,8 @@ def count_tokens(docs: DataFrame, ranks_path: str, end_id: int, id_col: str = "d
     """(doc_id, n_tokens, file, ordinal): writes ``docs`` as token files and counts by scanning them.
 
     * A null or empty text has 0 tokens. Ids may be null or repeated: every row is a document.
+    * Very long texts are encoded whole, and their tokens may span blocks. Other columns, whatever
+      their names, are not looked at.
     * An empty table writes no file and gives an empty table.
     """
     spark = docs.sparkSession

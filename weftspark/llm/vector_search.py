@@ -30,18 +30,21 @@ BLOCK, CHUNK, FILE_BLOCKS = 512, 4096, 16
 CELLS = 256
 #: Candidates read at first, in units of k.
 READ = 2
+#: Scaled components from here on are not counted with.
+LARGEST = 2**62
 #: Candidates a task holds before it looks again which ones its bounds still allow.
 HELD = 1_000_000
 
 
 def scaled(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
-    """(vec_id, x): components as floor(scale * x); rows that take no part are gone."""
+    """(vec_id, x): components as floor(scale * x), held within LARGEST; rows that take no part are gone."""
+    held = lambda x: F.greatest(F.least(x, F.lit(float(LARGEST))), F.lit(-float(LARGEST)))
     parts = F.transform(F.col(vec_col), lambda x: x.cast("double"))
     sound = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
     usable = F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & (F.size(vec_col) > 0)
     return (
         vectors.where(usable & F.forall(parts, sound))
-        .select(F.col(id_col).cast("long").alias("vec_id"), F.transform(parts, lambda x: F.floor(x * scale)).alias("x"))
+        .select(F.col(id_col).cast("long").alias("vec_id"), F.transform(parts, lambda x: F.floor(held(x * scale))).alias("x"))
     )
 
 
@@ -56,7 +59,7 @@ def approximate(low: np.ndarray, width: np.ndarray, x: np.ndarray) -> np.ndarray
 
 
 def _ranges(ints: DataFrame) -> list:
-    """Rows (place, low, high) of the components, in order; ValueError where scores could overflow."""
+    """Rows (place, low, high) of the components, in order; ValueError where one is LARGEST or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low = high = None
@@ -77,9 +80,8 @@ def _ranges(ints: DataFrame) -> list:
     rows = found.groupBy("place").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("d").alias("d"), F.max("d").alias("most")).orderBy("place").collect()
     if any(r["d"] != r["most"] for r in rows) or (rows and len(rows) != rows[0]["d"]):
         raise ValueError("vectors of different numbers of components")
-    most = max((max(abs(r["low"]), abs(r["high"])) for r in rows), default=0)
-    if most * most * len(rows) >= 2**63:
-        raise ValueError(f"components of up to {most} after scaling: their inner products do not fit into 64 bits")
+    if any(max(abs(r["low"]), abs(r["high"])) >= LARGEST for r in rows):
+        raise ValueError(f"components of {LARGEST} or more after scaling do not fit into 64 bits with their differences")
     return rows
 
 
@@ -108,15 +110,19 @@ def _packed(rows: DataFrame, size: int, code) -> DataFrame:
     return rows.mapInArrow(run, "ids binary, data binary")
 
 
-def _scan(low: np.ndarray, width: np.ndarray, k: int):
+def _scan(low: np.ndarray, high: np.ndarray, width: np.ndarray, k: int):
     """A function over Arrow batches of pairs (chunk of cells, block of queries): candidates with bounds."""
     d, top = len(low), (width - 1).astype(np.float64)
+    most = np.maximum(np.abs(low), np.abs(high)).astype(np.float64) + width
+    # Of rounding: in d products and sums, of doubles that stand for whole numbers.
+    rounding = (d + 16) * 2.0**-51
 
     class Block:
         def __init__(self, ids: bytes, data: bytes) -> None:
             self.rows, self.ids = np.frombuffer(ids, np.int64).reshape(-1, 2).T
             self.q = np.frombuffer(data, np.int64).reshape(-1, d).astype(np.float64)
             self.over, self.under = np.maximum(self.q, 0) @ top, np.minimum(self.q, 0) @ top
+            self.slack = rounding * (np.abs(self.q) @ most)[:, None] + 1e-6
             self.best = np.full((len(self.ids), k), -np.inf)
             self.found: list[tuple] = []
             self.n = 0
@@ -124,9 +130,8 @@ def _scan(low: np.ndarray, width: np.ndarray, k: int):
         def take(self, vec: np.ndarray, floor_of: np.ndarray) -> None:
             base = self.q @ floor_of.T
             upper, lower = base + self.over[:, None], base + self.under[:, None]
-            slack = 1e-9 * np.maximum(np.abs(upper), np.abs(lower)) + 1e-6  # of rounding in the sums
-            upper += slack
-            lower -= slack
+            upper += self.slack
+            lower -= self.slack
             own = self.ids[:, None] == vec[None, :]
             upper[own] = lower[own] = -np.inf
             both = np.concatenate([self.best, lower], axis=1)
@@ -163,9 +168,10 @@ def _scan(low: np.ndarray, width: np.ndarray, k: int):
     return run
 
 
-def _exact(pairs: DataFrame, ints: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, vec_id, score) of pairs (q_row, query_id, vec_id), from the exact vectors."""
-    dot = F.aggregate(F.zip_with("x", "q", lambda a, b: a * b), F.lit(0).cast("long"), lambda acc, v: acc + v)
+def _exact(pairs: DataFrame, ints: DataFrame, queries: DataFrame, kind: str) -> DataFrame:
+    """(query_id, vec_id, score) of pairs (q_row, query_id, vec_id), from the exact vectors, in numbers of ``kind``."""
+    wide = lambda c: c if kind == "long" else c.cast("decimal(19,0)")
+    dot = F.aggregate(F.zip_with("x", "q", lambda a, b: (wide(a) * wide(b)).cast(kind)), F.lit(0).cast(kind), lambda acc, v: (acc + v).cast(kind))
     met = pairs.select("q_row", "query_id", "vec_id").join(ints, "vec_id").join(queries.select("q_row", F.col("x").alias("q")), "q_row")
     return met.select("query_id", "vec_id", dot.alias("score"))
 
@@ -184,8 +190,10 @@ def top_k(
     with another id. Ties go to the smaller id.
 
     * Null vectors, vectors with a null, NaN or infinite component, empty ones and null ids take
-      no part. Vectors of different lengths cannot be compared, and components so large that
-      a score might not fit into 64 bits are not counted with: an error says so.
+      no part. Vectors of different lengths cannot be compared, and components of LARGEST or more
+      after scaling are not counted with: an error says so. Where products of the components might
+      not fit into 64 bits, scores are summed as decimals, and only a score among the k highest
+      that does not fit is an error.
     * A row that repeats an id is one more candidate and is listed again. Queries that repeat
       an id share one result: the k best rows of both.
     * Fewer than k candidates give as many rows; an empty table gives none. Other columns are
@@ -198,6 +206,8 @@ def top_k(
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     low, high = np.array([r["low"] for r in ranges], np.int64), np.array([r["high"] for r in ranges], np.int64)
     width = (high - low) // CELLS + 1
+    most = max(max(abs(r["low"]), abs(r["high"])) for r in ranges)
+    kind = "long" if most * most * len(ranges) < 2**63 else "decimal(38,0)"
 
     queries = ints.where(F.col("vec_id") % query_every == 0).withColumn("q_row", F.monotonically_increasing_id())
     queries = written(queries, "va-queries")
@@ -207,16 +217,16 @@ def top_k(
     # The stated queries against all rows, in blocks: a row for each block and chunk.
     paired = cells.crossJoin(blocks.withColumnsRenamed({"ids": "q_ids", "data": "q_data"}))
     bounds = "q_row long, query_id long, vec_id long, upper double, lower double"
-    found = written(paired.mapInArrow(_scan(low, width, k), bounds), "va-bounds")
+    found = written(paired.mapInArrow(_scan(low, high, width, k), bounds), "va-bounds")
 
     by_query = lambda *order: F.row_number().over(W.partitionBy("query_id").orderBy(*order))
     least = found.withColumn("r", by_query(F.desc("lower"))).where(F.col("r") == k).select("query_id", F.col("lower").alias("bound"))
     near = found.join(least, "query_id", "left").where("bound is null or upper >= bound")
     near = near.groupBy("q_row", "query_id", "vec_id").agg(F.max("upper").alias("upper"))
     near = written(near.withColumn("place", by_query(F.desc("upper"), "vec_id", "q_row")), "va-near")
-    first = written(_exact(near.where(F.col("place") <= READ * k), ints, queries), "va-first")
-    kth = first.withColumn("r", by_query(F.desc("score"))).where(F.col("r") == k).select("query_id", F.col("score").alias("kth"))
-    rest = near.where(F.col("place") > READ * k).join(kth, "query_id", "left").where("kth is null or upper >= kth")
-    all_found = first.union(_exact(rest, ints, queries))
+    first = written(_exact(near.where(F.col("place") <= READ * k), ints, queries, kind), "va-first")
+    kth = first.withColumn("r", by_query(F.desc("score"))).where(F.col("r") == k).select("query_id", F.col("score").cast("double").alias("kth"))
+    rest = near.where(F.col("place") > READ * k).join(kth, "query_id", "left").where("kth is null or upper >= kth * (1 - sign(kth) * 1e-15D)")  # a double near the score
+    all_found = first.union(_exact(rest, ints, queries, kind))
     ranked = all_found.withColumn("rank", by_query(F.desc("score"), "vec_id")).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.col("score").cast("long").alias("score"))
