@@ -74,26 +74,36 @@ class _Counter:
         words[row], length[row] = found.column("n_words").to_numpy(), pc.list_value_length(lists).to_numpy()
         return words, length, lists.flatten().to_numpy(), found.column("n").combine_chunks().flatten().to_numpy()
 
-    def long(self, text: str, words: int) -> tuple[np.ndarray, ...]:
-        """The same of one text, whose pieces of so many words are counted one by one."""
+    def long(self, text: str, words: int, chars: int) -> tuple[np.ndarray, ...]:
+        """The same of one text, whose pieces are counted one by one."""
         held, n_words = np.zeros(self.buckets, np.int64), 0
-        for piece in cut(text, words):
-            found = self._counts([0], words, pa.array([piece]))
+        for piece, own in cut(text, words, chars):
+            found = self._counts([0], own, pa.array([piece]))
             held[found.column("bucket").combine_chunks().flatten().to_numpy()] += found.column("n").combine_chunks().flatten().to_numpy()
             n_words += found.column("n_words")[0].as_py()
         at = np.flatnonzero(held)
         return np.array([n_words]), np.array([len(at)]), at, held[at]
 
 
-def cut(text: str, words: int) -> list[str]:
-    """A long text as pieces of so many words, each followed by the two words that come next."""
-    starts, ends = [], []
-    for i, m in enumerate(_RAW_WORD.finditer(text)):
-        if i % words == 0:
-            starts.append(m.start())
-        elif i % words == 1 and i > 1:
-            ends.append(m.end())
-    return [text[a : ends[j] if j < len(ends) else len(text)] for j, a in enumerate(starts)]
+def cut(text: str, words: int, chars: int) -> list[tuple[str, int]]:
+    """A long text as (piece, own): ``own`` words, so many or as many as reach ``chars``, and the two that come next."""
+    out: list[tuple[str, int]] = []
+    ended: list[list[int]] = []  # start, own, words that still belong to it
+    start, own = None, 0
+    for m in _RAW_WORD.finditer(text):
+        for piece in ended:
+            piece[2] -= 1
+            if not piece[2]:
+                out.append((text[piece[0] : m.end()], piece[1]))
+        ended = [p for p in ended if p[2]]
+        if start is None:
+            start, own = m.start(), 0
+        own += 1
+        if own == words or m.end() - start >= chars:
+            ended.append([start, own, 2])
+            start = None
+    out += [(text[p[0] :], p[1]) for p in ended]
+    return out if start is None else [*out, (text[start:], own)]
 
 
 def bucket_counts(docs: DataFrame, buckets: int, slice_bytes: int = SLICE_BYTES, piece_words: int = PIECE_WORDS) -> DataFrame:
@@ -114,7 +124,7 @@ def bucket_counts(docs: DataFrame, buckets: int, slice_bytes: int = SLICE_BYTES,
             while start < len(texts):
                 stop = max(start + 1, int(np.searchsorted(ends, ends[start] + slice_bytes, "right")) - 1)
                 if ends[stop] - ends[start] > slice_bytes:
-                    found = count.long(texts[start].as_py(), piece_words)
+                    found = count.long(texts[start].as_py(), piece_words, slice_bytes)
                 else:
                     found = count.rows(texts.slice(start, stop - start))
                 np.add.at(total, found[2], found[3])
@@ -182,8 +192,9 @@ def resample(
     * Ties of score go to the smaller id, nulls last, then to fewer features and lower weight;
       rows equal in all of these take the next ranks in any order.
     * Rows that repeat an id have the same noise. A null id is drawn as the empty string.
-    * Texts over ``slice_bytes`` go through SQL in pieces of ``piece_words`` words and the two that
-      follow, and their counts are added: whole texts count, in bounded memory.
+    * Texts over ``slice_bytes`` go through SQL in pieces of ``piece_words`` words, or of fewer that
+      reach ``slice_bytes`` characters, and the two words that follow. Their counts are added: whole
+      texts count, in memory that a piece bounds.
     * Other columns, whatever their names, are not looked at. Without ``docs`` the result is empty;
       without ``target`` its shares are even ones.
     """

@@ -23,6 +23,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +34,8 @@ from weftspark.llm.shared import LOWER, UPPER, Scratch
 BITS, RADIUS, BANDS, SEED = 64, 2, 4, 42
 #: Fingerprints of a block that tables compare. Larger blocks go by cells.
 MOST = 4096
+#: Bytes of texts whose shingles are hashed at once; a longer text alone.
+SLICE_BYTES = 1 << 19
 #: Planes that are added between two looks at what can be abandoned, and pairs (fingerprint, word)
 #: compared at once.
 STEP, AT_ONCE = 8, 1 << 15
@@ -83,12 +86,15 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
-            for start in range(0, batch.num_rows, 200):
-                found = [hashes(t, words) for t in texts.slice(start, 200).to_pylist()]
+            texts, start = batch.column(1).cast(pa.binary()), 0
+            ends = np.r_[0, np.cumsum(pc.binary_length(texts).to_numpy())]
+            while start < len(texts):
+                stop = max(start + 1, int(np.searchsorted(ends, ends[start] + SLICE_BYTES, "right")) - 1)
+                found = [hashes(t, words) for t in texts.slice(start, stop - start).to_pylist()]
                 flat = np.fromiter((h for f in found for h in f), np.uint64)
                 fp = majority(flat, np.array([len(f) for f in found], np.int64)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, 200), pa.array(fp)], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), pa.array(fp)], names=["doc_id", "fp"])
+                start = stop
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return texts.mapInArrow(run, "doc_id long, fp long")
