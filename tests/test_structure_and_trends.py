@@ -150,3 +150,19 @@ def test_global_rows_windows_in_slabs(spark, rows, monkeypatch):
     want = want.selectExpr("*", f"sum(a) {over} rows between 1 preceding and current row) as c", "lag(id) over (order by id) as other")
     assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert add_windows(df.limit(0), specs).count() == 0
+
+
+def test_structure_of_specs_alone():
+    from weftspark.plans.spec import Column, Dataset, ForeignKey, Table
+
+    fd = lambda *lhs: {"lhs": list(lhs), "rhs": ["y"]}
+    table = lambda name, pk, fds=(), fks=0: Table(name, [Column(c) for c in ("id", "x", "y", "z")], primary_key=pk, fds=list(fds), foreign_keys=[ForeignKey("x", "u", "id")] * fks)
+    real = Dataset({"a": table("a", ["id"], [fd("x"), fd("z")], 1), "b": table("b", ["id"]), "c": table("c", ["id"]), "d": table("d", ["id"])})
+    made = Dataset({"A": table("A", ["id"], [fd("x", "z")], 0), "B": table("B", ["x"]), "C": table("C", ["id"], [fd("x")])})
+    two = [("id", "id", 1.0), ("x", "x", 1.0)]
+    matched = [("a", "A", 1.0, two), ("b", "B", 1.0, two), ("c", "C", 1.0, [*two, ("y", "y", 1.0), ("z", "z", 1.0)]), ("d", "B", 1.0, two[:1])]
+    got = structure.intra_structures(real, made, matched)
+    assert [r[:2] for r in got] == [("a", "A"), ("b", "B"), ("c", "C")]
+    assert got[0][2:] == pytest.approx((0.625, 1.0, 0.5, 0.7)) and got[1][2:] == pytest.approx((1.0, 0.5, 1.0, 0.85)) and got[2][2:] == pytest.approx((0.0, 1.0, 1.0, 0.6))
+    assert structure.intra_structure_score(real, made, matched) == pytest.approx((0.7 + 0.85 + 0.6) / 3 * 1.0 * (0.5 + 0.5 + 1.0 + 0.25) / 4)
+    assert structure.intra_structure_score(real, made, []) == 0.0

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftspark.operators.dependencies import closure
+from weftspark.plans.spec import Dataset
 
 Dependency = tuple[set[str], set[str]]
 
@@ -127,3 +128,38 @@ def structure_scores(real: DataFrame, made: DataFrame, match: DataFrame, real_de
     out = out.withColumns({"precision": share("hit_made", "n_made"), "recall": share("hit_gold", "n_gold")})
     f1 = F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0))
     return out.select("kind", "n_gold", "n_made", "n_common", "precision", "recall", f1.alias("f1"))
+
+
+def intra_structures(real: Dataset, made: Dataset, matched: list) -> list[tuple[str, str, float, float, float, float]]:
+    """(real table, made table, dependencies, primary key, foreign keys, score) of matched tables with two matched columns at least.
+
+    Of two specs alone: dependencies by their number and the mean lengths of their sides (1 if
+    neither table has any, 0 if one has), primary keys 1 if they are named alike, else 0.5, foreign
+    keys by their number. Two numbers are as near as 1 / (1 + their difference). The score takes
+    0.4, 0.3 and 0.3 of these.
+    """
+    near = lambda x, y: 1 / (1 + abs(x - y))
+    mean = lambda fds, side: sum(len(f[side]) for f in fds) / len(fds)
+    out = []
+    for a, b, _, pairs in matched:
+        if a not in real.tables or b not in made.tables or len(pairs) < 2:
+            continue
+        x, y = real.tables[a], made.tables[b]
+        if x.fds and y.fds:
+            lengths = (near(mean(x.fds, "lhs"), mean(y.fds, "lhs")) + near(mean(x.fds, "rhs"), mean(y.fds, "rhs"))) / 2
+            fds = (near(len(x.fds), len(y.fds)) + lengths) / 2
+        else:
+            fds = float(not x.fds and not y.fds)
+        key, foreign = 1.0 if x.primary_key == y.primary_key else 0.5, near(len(x.foreign_keys), len(y.foreign_keys))
+        out.append((a, b, fds, key, foreign, 0.4 * fds + 0.3 * key + 0.3 * foreign))
+    return out
+
+
+def intra_structure_score(real: Dataset, made: Dataset, matched: list) -> float:
+    """Mean of ``intra_structures`` times the share of tables that are matched and the mean share of their columns; 0 without any."""
+    scores = [r[-1] for r in intra_structures(real, made, matched)]
+    known = [(a, pairs) for a, _, _, pairs in matched if a in real.tables]
+    if not scores:
+        return 0.0
+    columns = sum(len(pairs) / len(real.tables[a].columns) for a, pairs in known) / len(known)
+    return sum(scores) / len(scores) * len(known) / len(real.tables) * columns
