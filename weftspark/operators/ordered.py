@@ -38,8 +38,15 @@ def bucketed(df: DataFrame, order: str | list[str], buckets: int = BUCKETS) -> D
     marks = splitters(df, order, buckets)
     if not marks:
         return df.withColumn("_bucket", F.lit(0))
-    upto = F.array(*[_key(df, order, m) for m in marks])
-    at = F.size(F.filter(upto, lambda m: m <= F.col("_key")))
+
+    def place(low: int, high: int) -> Column:
+        """How many of the marks are not above the key, if it is ``low`` to ``high``: a binary search."""
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(F.col("_key") < _key(df, order, marks[middle]), place(low, middle)).otherwise(place(middle + 1, high))
+
+    at = place(0, len(marks))
     return df.withColumn("_key", _key(df, order)).withColumn("_bucket", at).drop("_key")
 
 
