@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftspark.operators import lookups, predicates, profile, quantiles
+from weftspark.operators import lookups, predicates, profile, quantiles, synth
 from weftspark.operators.ordered import bucketed, numbered, range_lookup, running
 from weftspark.plans.generate import generate
 from weftspark.plans.providers import lookup_columns, lookup_source
@@ -110,3 +110,28 @@ def test_profiles_and_fences_without_values(spark):
     assert (row["n"], row["n_null"], row["n_distinct"], row["p50"]) == (1, 1, 0, None)
     assert predicates.iqr_outliers(df, "x").count() == 0
     assert profile.time_profile(df, "t", ["t"]).first()["median_gap_days"] is None
+
+
+def test_fewer_rows_than_keys(spark):
+    keys = spark.range(40).toDF("k")
+    with pytest.raises(ValueError):
+        synth.fk_counts(keys, "k", 25)
+    got = {r["key"]: r["children"] for r in synth.fk_counts(keys, "k", 25, lacking=True).collect()}
+    w = [round((i + 1) ** -1.2, 12) for i in range(40)]
+    x = [a / sum(w) * (25 - 40) for a in w]
+    whole = [int(np.floor(a)) for a in x]
+    rest = sorted(range(40), key=lambda i: (-round(x[i] - whole[i], 9), i))[: -15 - sum(whole)]
+    assert got == {i: 1 + whole[i] + (i in rest) for i in range(40)}
+    assert sum(got.values()) == 25 and min(got.values()) < 0 and 0 in got.values()
+    rows = synth.expand_counts(synth.fk_counts(keys, "k", 25, lacking=True)).collect()
+    held = Counter(r["key"] for r in rows if r["lack"] is None)
+    lacks = {r["key"]: r["lack"] for r in rows if r["lack"] is not None}
+    assert dict(held) == {k: n for k, n in got.items() if n > 0} and lacks == {k: n for k, n in got.items() if n < 1}
+
+
+def test_queries_of_allocation_with_more_keys_than_rows(spark, tmp_path):
+    from weftspark.plans import q_synth
+
+    spark.range(20_040).toDF("c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    counts = [r["children"] for r in q_synth.gen_fk_coverage(spark, str(tmp_path)).collect()]
+    assert len(counts) == 20_040 and sum(counts) == q_synth.N

@@ -167,13 +167,16 @@ def fallback(sql_type: str, name: str, seed: int, key: Column) -> Column:
     return F.concat(F.lit(f"{name}_"), key.cast("string"))
 
 
-def fk_counts(parent: DataFrame, pk: str, n: int, s: float = 1.2) -> DataFrame:
+def fk_counts(parent: DataFrame, pk: str, n: int, s: float = 1.2, lacking: bool = False) -> DataFrame:
     """(key, children): every key once, and the rest by Zipf shares of the keys' order, largest remainder.
 
-    The keys are numbered without a global window; the remainders' order is a second numbering.
+    Fewer rows than keys are an error. If ``lacking`` is set, the rows that are missing are taken off by
+    the same shares instead, so that counts always sum to ``n``: a key's may be 0 or less then, which
+    says how many rows short it is. The keys are numbered without a global window; the remainders'
+    order is a second numbering.
     """
     keys, k = numbered(parent.select(F.col(pk).alias("key")).distinct(), ["key"])
-    if n < k:
+    if n < k and not lacking:
         raise ValueError(f"{n} rows can't cover {k} keys")
     weight = F.pow((F.col("number") + 1).cast("double"), F.lit(-float(s)))
     shares = keys.withColumn("_w", F.round(weight, 12))
@@ -187,10 +190,18 @@ def fk_counts(parent: DataFrame, pk: str, n: int, s: float = 1.2) -> DataFrame:
     return out.select("key", (1 + F.col("_whole") + (F.col("number") < F.col("_left")).cast("long")).alias("children"))
 
 
+def expand_counts(counts: DataFrame) -> DataFrame:
+    """(key, lack): a row for each child of ``counts``; a key without one has one row that says in ``lack`` what its count is.
+
+    The explosion is lazy, so nothing large is held.
+    """
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.greatest(F.col("children"), F.lit(1).cast("long"))))
+    return counts.select("key", F.when(F.col("children") < 1, F.col("children")).alias("lack"), copies.alias("copy")).drop("copy")
+
+
 def allocate_fk(parent: DataFrame, pk: str, n: int, s: float = 1.2) -> DataFrame:
-    """n rows (key), each key as often as ``fk_counts`` says. The explosion is lazy, so nothing large is held."""
-    counts = fk_counts(parent, pk, n, s)
-    return counts.select("key", F.explode(F.sequence(F.lit(1).cast("long"), F.col("children"))).alias("copy")).select("key")
+    """n rows (key), each key as often as ``fk_counts`` says."""
+    return expand_counts(fk_counts(parent, pk, n, s)).select("key")
 
 
 def apply_effect(df: DataFrame, column: str, effect: str, value, when: Column, probability: float = 1.0, seed: int = 7, key: str | None = None) -> DataFrame:

@@ -61,8 +61,8 @@ select key, 1 + whole + (k < lft)::bigint as children from r
 
 @query(FK_SQL)
 def gen_fk_coverage(spark, sf_dir):
-    """Children per key by largest remainder: every key at least once, Zipf beyond."""
-    return synth.fk_counts(table(spark, sf_dir, "customer"), "c_custkey", N)
+    """Children per key by largest remainder: every key at least once, Zipf beyond; more than N keys lack rows by the same shares."""
+    return synth.fk_counts(table(spark, sf_dir, "customer"), "c_custkey", N, lacking=True)
 
 
 @query(f"select children as degree, count(*) as n_keys from ({FK_SQL}) group by 1")
