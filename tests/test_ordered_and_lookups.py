@@ -135,3 +135,4 @@ def test_queries_of_allocation_with_more_keys_than_rows(spark, tmp_path):
     spark.range(20_040).toDF("c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
     counts = [r["children"] for r in q_synth.gen_fk_coverage(spark, str(tmp_path)).collect()]
     assert len(counts) == 20_040 and sum(counts) == q_synth.N
+    assert {r["degree"]: r["n_keys"] for r in q_synth.gen_zipf_counts(spark, str(tmp_path)).collect()} == dict(Counter(counts))

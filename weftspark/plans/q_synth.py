@@ -67,9 +67,10 @@ def gen_fk_coverage(spark, sf_dir):
 
 @query(f"select children as degree, count(*) as n_keys from ({FK_SQL}) group by 1")
 def gen_zipf_counts(spark, sf_dir):
-    """The rows of the allocation, counted back per key."""
-    rows = synth.allocate_fk(table(spark, sf_dir, "customer"), "c_custkey", N)
-    return rows.groupBy("key").agg(F.count("*").alias("degree")).groupBy("degree").agg(F.count("*").alias("n_keys"))
+    """The rows of the allocation, counted back per key; a key without rows counts with what it lacks."""
+    rows = synth.expand_counts(synth.fk_counts(table(spark, sf_dir, "customer"), "c_custkey", N, lacking=True))
+    degrees = rows.groupBy("key").agg(F.coalesce(F.min("lack"), F.count("*")).alias("degree"))
+    return degrees.groupBy("degree").agg(F.count("*").alias("n_keys"))
 
 
 SPECS = {
