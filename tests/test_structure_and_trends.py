@@ -1,5 +1,6 @@
 """Dependencies, keys, names, options and trends against plain Python."""
 
+import datetime as dt
 import random
 from itertools import combinations, permutations
 
@@ -166,3 +167,34 @@ def test_structure_of_specs_alone():
     assert got[0][2:] == pytest.approx((0.625, 1.0, 0.5, 0.7)) and got[1][2:] == pytest.approx((1.0, 0.5, 1.0, 0.85)) and got[2][2:] == pytest.approx((0.0, 1.0, 1.0, 0.6))
     assert structure.intra_structure_score(real, made, matched) == pytest.approx((0.7 + 0.85 + 0.6) / 3 * 1.0 * (0.5 + 0.5 + 1.0 + 0.25) / 4)
     assert structure.intra_structure_score(real, made, []) == 0.0
+
+
+TIMED = [(i, i % 2, None if i % 23 == 0 else dt.datetime(2024, 1, 1) + dt.timedelta(minutes=(i * i) % 900, microseconds=i % 3), None if i % 5 == 0 else float((i * 7) % 31)) for i in range(400)]
+
+
+def plain_frame(row, before, behind, by_part):
+    _, part, t, _ = row
+    same = [r for r in TIMED if not by_part or r[1] == part]
+    return [r[3] for r in same if (r[2] is None if t is None else r[2] is not None and t - before <= r[2] <= t + behind)]
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+@pytest.mark.parametrize("by_part", [False, True])
+def test_range_windows_in_blocks(spark, kind, by_part):
+    df = spark.createDataFrame(TIMED, "i long, part long, t timestamp_ntz, v double").withColumn("t", F.col("t").cast(kind))
+    part = ("part",) if by_part else ()
+    for before, behind in ((45, 15), (120, 0), (0, 7), (0, 0)):
+        frame = Frame("RANGE", f"{before}min" if before else 0, f"{behind}min" if behind else 0)
+        specs = {k: WindowSpec(e, "t", part, frame) for k, e in {"s": "sum(v)", "m": "v", "d": "std(v)", "n": "count(v)", "all": "count(*)", "u": "sum(i)", "w": "sum(n)"}.items()}
+        made = add_windows(df, specs)
+        assert made.columns == [*df.columns, *specs] and made.schema["u"].dataType.simpleString() == "bigint"
+        got = {r["i"]: r for r in made.collect()}
+        assert len(got) == len(TIMED)
+        for row in TIMED:
+            values = plain_frame(row, dt.timedelta(minutes=before), dt.timedelta(minutes=behind), by_part)
+            held = [v for v in values if v is not None]
+            r = got[row[0]]
+            assert (r["n"], r["all"]) == (len(held), len(values)) and r["s"] == (sum(held) if held else None)
+            assert r["m"] == (pytest.approx(sum(held) / len(held)) if held else None)
+            assert r["d"] == (pytest.approx(np.std(held, ddof=1), abs=1e-9) if len(held) > 1 else None)
+    assert add_windows(df.limit(0), specs).count() == 0

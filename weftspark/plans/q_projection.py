@@ -46,10 +46,10 @@ def flagship_star_rolling(spark, sf_dir):
         F.sum("net").alias("net"), F.max("weekend").cast("long").alias("is_weekend"),
         F.round(F.avg("delay_days"), 4).alias("avg_delay"), F.count("*").alias("n_lines"),
     )
-    month = Frame("RANGE", "30d")
+    month = {"frame": Frame("RANGE", "30d"), "sparse": True}  # a row a day, so 31 rows at most
     out = add_windows(daily, {
-        "net_30d": WindowSpec("sum(net)", "order_day", ("c_custkey",), month),
-        "days_30d": WindowSpec("count(*)", "order_day", ("c_custkey",), month),
+        "net_30d": WindowSpec("sum(net)", "order_day", ("c_custkey",), **month),
+        "days_30d": WindowSpec("count(*)", "order_day", ("c_custkey",), **month),
         "prev_net": WindowSpec("lag(net, 1)", "order_day", ("c_custkey",)),
     })
     return out.withColumns({c: F.col(c).cast("double") for c in ("net", "net_30d", "prev_net")})
