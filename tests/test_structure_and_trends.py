@@ -198,3 +198,14 @@ def test_range_windows_in_blocks(spark, kind, by_part):
             assert r["m"] == (pytest.approx(sum(held) / len(held)) if held else None)
             assert r["d"] == (pytest.approx(np.std(held, ddof=1), abs=1e-9) if len(held) > 1 else None)
     assert add_windows(df.limit(0), specs).count() == 0
+
+
+def test_range_windows_take_no_sliding_frame(spark):
+    """A frame that slides is summed anew for each row, so its cost grows with the square of how dense time is."""
+    df = spark.createDataFrame(TIMED, "i long, part long, t timestamp_ntz, v double")
+    for part in ((), ("part",)):
+        for peers in ("sql", "physical"):
+            made = add_windows(df, {"s": WindowSpec("sum(i)", "t", part, Frame("RANGE", "2h", "1h"), ("i",), peers)})
+            plan = made._jdf.queryExecution().optimizedPlan().toString()
+            frames = [x.split(")")[0] for x in plan.split("specifiedwindowframe(")[1:]]
+            assert frames and all("unboundedpreceding" in f for f in frames)
