@@ -330,6 +330,28 @@ def test_other_ids_than_the_library_are_an_error(monkeypatch):
         model.encode(["hello there"])
 
 
+def test_memory_of_units_keeps_those_met_again(monkeypatch):
+    model = sentence_pieces.Merger(vocabulary("piece_bpe_32k.model"))
+    monkeypatch.setattr(sentence_pieces, "UNITS", 4)
+    monkeypatch.setattr(sentence_pieces, "TOGETHER", 2)
+    learned, learn = [], model.learn
+    monkeypatch.setattr(model, "learn", lambda units: (learned.extend(units), learn(units)))
+    for i in range(6):
+        texts = [f"often word{i} other{i} last{i}", "often " + "é" * 60]
+        assert [x.tolist() for x in model.encode(texts)] == model.library.encode(texts, add_eos=True)
+    assert learned.count("▁often") == 1 and len(model.known) < 12 and len(model.older) < 12
+
+
+def test_pairs_are_looked_up_once_and_where_a_symbol_merged(monkeypatch):
+    model = sentence_pieces.merger(vocabulary("piece_bpe_32k.model"))
+    asked = []
+    searched = np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda keys, values: (asked.append(len(values)), searched(keys, values))[1])
+    made = model.merge_many(["▁transformation" * 3] * 50)
+    merges = 50 * 45 - sum(len(x) // 4 for x in made)
+    assert sum(asked) <= 50 * 45 + 2 * merges
+
+
 def test_pieces_clashing_columns_and_empty_table(spark):
     df = docs(spark, ["a b", None], [None, 3]).selectExpr("*", "1 as ids", "2 as decoded", "4 as _sp_x")
     got = sentence_pieces.encode_texts(df, vocabulary("piece_bpe_32k.model"))

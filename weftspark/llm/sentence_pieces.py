@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MARK = "▁"
-#: Units remembered by a worker; beyond that the memory starts anew. Results do not depend on it.
-UNITS = 400_000
+#: Units that a worker learns before it forgets those not met meanwhile; results do not depend on it.
+UNITS = 300_000
+#: Units merged at once.
+TOGETHER = 16_000
 #: Characters of text handled at once.
 SLICE_CHARS = 2_000_000
 #: Longer units are merged one by one: rounds over many units would wait for them.
@@ -56,6 +58,7 @@ class Merger:
         if not self.apart:
             raise ValueError(f"{path}: pieces join words, so units can't be merged apart")
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         if any("\n" in p for p in self.ids) or not self.bytes_:
             raise ValueError(f"{path}: a line feed must be a byte token")
         self.cut = re.compile(rf"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n").findall
@@ -75,7 +78,7 @@ class Merger:
         keys = np.array([a * size + b for a, b in pairs], np.int64)
         order = np.argsort(keys)
         self.pair_keys, self.pair_made = keys[order], np.array(list(pairs.values()), np.int64)[order]
-        self.score_of = np.array([sp.get_score(i) for i in range(size)])
+        self.score_or_none = np.array([*(sp.get_score(i) for i in range(size)), -np.inf])  # the last is that of no piece
 
     def merge(self, unit: str) -> list[str]:
         """The unit's symbols after all merges."""
@@ -120,36 +123,46 @@ class Merger:
                 out.append(self.unknown)
         return out
 
+    def _pairs(self, symbols: np.ndarray, owner: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """What the symbols at these places and the next ones make; -1 where that is no piece or the next one is of another unit."""
+        nxt = np.minimum(at + 1, len(symbols) - 1)
+        key = symbols[at] * self.size + symbols[nxt]
+        slot = np.searchsorted(self.pair_keys, key)
+        slot[slot == len(self.pair_keys)] = 0
+        fits = (self.pair_keys[slot] == key) & (owner[at] == owner[nxt]) & (nxt > at)
+        return np.where(fits, self.pair_made[slot], -1)
+
     def merge_many(self, units: list[str]) -> list[bytes]:
         """Ids of short units of known characters, as int32 bytes.
 
         All units' agendas are one array of pair scores: in every round the best pair of each
-        unit merges (the first of equals), until no unit has a pair left.
+        unit merges (the first of equals), until no unit has a pair left. Pairs are looked up once,
+        and then those that a merged symbol makes with its neighbours.
         """
         lens = np.fromiter(map(len, units), np.int64, len(units))
         symbols = self.of_char[np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)]
         owner = np.repeat(np.arange(len(units)), lens)
+        made = self._pairs(symbols, owner, np.arange(len(symbols)))
+        score = self.score_or_none[made]
         done_symbols, done_owner = [], []
         while len(symbols):
-            made = np.full(len(symbols), -1, np.int64)  # what a symbol and the next one make
-            key = symbols[:-1] * self.size + symbols[1:]
-            slot = np.searchsorted(self.pair_keys, key)
-            slot[slot == len(self.pair_keys)] = 0
-            fits = (self.pair_keys[slot] == key) & (owner[:-1] == owner[1:])
-            made[:-1][fits] = self.pair_made[slot[fits]]
-            score = np.where(made >= 0, self.score_of[made], -np.inf)
             starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
             best = np.repeat(np.maximum.reduceat(score, starts), np.diff(np.r_[starts, len(owner)]))
             over = best == -np.inf
+            stay = ~over
             if over.any():
                 done_symbols.append(symbols[over])
                 done_owner.append(owner[over])
-            hits = np.flatnonzero((score == best) & ~over)
-            hits = hits[np.r_[True, owner[hits[1:]] != owner[hits[:-1]]]] if len(hits) else hits
+            hits = np.flatnonzero((score == best) & stay)
+            if not len(hits):
+                break
+            hits = hits[np.r_[True, owner[hits[1:]] != owner[hits[:-1]]]]
             symbols[hits] = made[hits]
-            stay = ~over
             stay[hits + 1] = False
-            symbols, owner = symbols[stay], owner[stay]
+            symbols, owner, made, score, at = symbols[stay], owner[stay], made[stay], score[stay], np.cumsum(stay)[hits] - 1
+            changed = np.concatenate([at, at[at > 0] - 1])
+            made[changed] = self._pairs(symbols, owner, changed)
+            score[changed] = self.score_or_none[made[changed]]
         symbols, owner = np.concatenate(done_symbols), np.concatenate(done_owner)
         order = np.argsort(owner, kind="stable")
         raw = symbols[order].astype(np.int32).tobytes()
@@ -159,8 +172,11 @@ class Merger:
     def learn(self, units: list[str]) -> None:
         """Merges units not seen before and checks them against the library."""
         plain = [u for u in units if len(u) <= SHORT and self.usual(u)]
-        others = set(units).difference(plain)
-        new = dict(zip(plain, self.merge_many(plain), strict=True)) if plain else {}
+        others = set(units).difference(plain) if len(plain) < len(units) else ()
+        new: dict[str, bytes] = {}
+        for i in range(0, len(plain), TOGETHER):
+            part = plain[i : i + TOGETHER]
+            new.update(zip(part, self.merge_many(part), strict=True))
         new |= {u: np.array(self.encode_unit(u), np.int32).tobytes() for u in others}
         # Line feeds are tokens of their own, so one text with a unit in each line checks all.
         lines = [u for u in new if u != "\n"]
@@ -178,16 +194,16 @@ class Merger:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """For each text its ids with the end id."""
         if len(self.known) > UNITS:
-            self.known.clear()
+            self.known, self.older = {}, self.known
         parts = [self.cut(self.library.normalize(t)) if t else [] for t in texts]
         new = set().union(*parts).difference(self.known)
+        met = new.intersection(self.older)
+        self.known.update((u, self.older[u]) for u in met)
+        new -= met
         if new:
             self.learn(sorted(new))
-        out = []
-        for units in parts:
-            ids = np.frombuffer(b"".join(map(self.known.__getitem__, units)), np.int32)
-            out.append(np.append(ids, np.int32(self.end)))
-        return out
+        end, ids_of = np.int32(self.end).tobytes(), self.known.__getitem__
+        return [np.frombuffer(b"".join([*map(ids_of, units), end]), np.int32) for units in parts]
 
 
 @lru_cache(maxsize=4)
