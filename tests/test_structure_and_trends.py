@@ -70,6 +70,30 @@ def test_dependencies_of_up_to_three_columns(spark, seed, confidence, support, p
     assert deps.discover_fds(df.limit(0), names, 2).count() == 0
 
 
+@pytest.mark.parametrize(("frequent", "sets"), [(250_000, 200), (12, 200), (12, 3), (0, 200)])
+def test_dependencies_with_frequent_values_and_odd_ones(spark, monkeypatch, frequent, sets):
+    """Frequent values go to groupings and the rest to tasks; zeros and NaNs are one value each, in either."""
+    monkeypatch.setattr(deps, "FREQUENT", frequent)
+    monkeypatch.setattr(deps, "TASK_ROWS", 40)
+    monkeypatch.setattr(deps, "SETS", sets)
+    grouped, level = [], deps._level
+    monkeypatch.setattr(deps, "_level", lambda sources, asked, **how: (grouped.extend(asked), level(sources, asked, **how))[1])
+    rng = random.Random(9)
+    zeros, texts = [0.0, -0.0, float("nan"), float("-nan"), 2.5, None], ["é", "e", "", None, "long text"]
+    rows = []
+    for i in range(300):
+        key = i if i % 3 else 7
+        rows.append((key, rng.choice(zeros), rng.choice(texts), dt.datetime(2024, 1, 1 + key % 5), f"t{key}" if rng.random() < 0.97 else None))
+    df = spark.createDataFrame(rows, "a long, `b` double, c string, d timestamp_ntz, e string")
+    flat = [tuple("nan" if x != x else x for x in r) for r in rows]
+    got = {(r["lhs"], r["rhs"]): (r["n"], r["confidence"]) for r in deps.discover_fds(df, list("abcde"), 3, 0.0, 0.6).collect()}
+    want = plain_fds(flat, list("abcde"), 3, 0.6, 0.0)
+    assert want and got.keys() == want.keys() and all(got[k] == (want[k][0], pytest.approx(want[k][1])) for k in want)
+    assert bool(grouped) == (frequent < 250_000)  # without frequent values nothing is shuffled but rows, once for a leading column
+    nested = df.withColumn("f", F.array("c", "e"))  # no values that Arrow numbers
+    assert ("f", "c") in {(r["lhs"], r["rhs"]) for r in deps.discover_fds(nested, ["f", "a", "c"], 2, 0.0, 1.0).collect()}
+
+
 def test_support_of_sets(spark):
     df = spark.createDataFrame([(1, "x"), (1, "y"), (2, None), (1, "x")], "a int, b string")
     got = {r["columns"]: (r["n"], r["n_distinct"]) for r in deps.itemset_support(df, [("a",), ("a", "b")]).collect()}
