@@ -342,6 +342,20 @@ def test_memory_of_units_keeps_those_met_again(monkeypatch):
     assert learned.count("▁often") == 1 and len(model.known) < 12 and len(model.older) < 12
 
 
+def test_memory_of_units_is_that_of_those_met_again(monkeypatch):
+    """Units met once are forgotten, and the library checks a few at a time."""
+    model = sentence_pieces.Merger(vocabulary("piece_bpe_32k.model"))
+    monkeypatch.setattr(sentence_pieces, "UNITS", 30)
+    monkeypatch.setattr(sentence_pieces, "TOGETHER", 8)
+    asked, learn = [], model.learn
+    monkeypatch.setattr(model, "learn", lambda units: (asked.append(len(units)), learn(units)))
+    for i in range(20):
+        texts = [" ".join(["often", *(f"word{i}x{j}" for j in range(10))]), "often again"]
+        assert [x.tolist() for x in model.encode(texts)] == model.library.encode(texts, add_eos=True)
+    assert max(asked) <= 8 and sum(asked) == 20 * 10 + 2
+    assert set(model.older) == {"▁often", "▁again"} and len(model.known) <= 30 + 12
+
+
 def test_pairs_are_looked_up_once_and_where_a_symbol_merged(monkeypatch):
     model = sentence_pieces.merger(vocabulary("piece_bpe_32k.model"))
     asked = []

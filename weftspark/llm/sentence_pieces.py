@@ -15,22 +15,25 @@ from __future__ import annotations
 
 import heapq
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MARK = "▁"
-#: Units that a worker learns before it forgets those not met meanwhile; results do not depend on it.
+#: Units that a worker learns before it forgets those met once alone; results do not depend on it.
 UNITS = 300_000
-#: Units merged at once.
+#: Units merged and checked at once.
 TOGETHER = 16_000
 #: Characters of text handled at once.
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 1_000_000
 #: Longer units are merged one by one: rounds over many units would wait for them.
 SHORT = 48
 
@@ -58,6 +61,7 @@ class Merger:
         if not self.apart:
             raise ValueError(f"{path}: pieces join words, so units can't be merged apart")
         self.known: dict[str, bytes] = {}
+        self.again: set[str] = set()  # of the known ones, those met twice or more
         self.older: dict[str, bytes] = {}
         if any("\n" in p for p in self.ids) or not self.bytes_:
             raise ValueError(f"{path}: a line feed must be a byte token")
@@ -173,10 +177,7 @@ class Merger:
         """Merges units not seen before and checks them against the library."""
         plain = [u for u in units if len(u) <= SHORT and self.usual(u)]
         others = set(units).difference(plain) if len(plain) < len(units) else ()
-        new: dict[str, bytes] = {}
-        for i in range(0, len(plain), TOGETHER):
-            part = plain[i : i + TOGETHER]
-            new.update(zip(part, self.merge_many(part), strict=True))
+        new = dict(zip(plain, self.merge_many(plain), strict=True)) if plain else {}
         new |= {u: np.array(self.encode_unit(u), np.int32).tobytes() for u in others}
         # Line feeds are tokens of their own, so one text with a unit in each line checks all.
         lines = [u for u in new if u != "\n"]
@@ -192,16 +193,23 @@ class Merger:
         self.known |= new
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """For each text its ids with the end id."""
+        """For each text its ids with the end id.
+
+        Most units of a corpus are met once, so only those met again outlast the learning of UNITS.
+        """
         if len(self.known) > UNITS:
-            self.known, self.older = {}, self.known
+            self.older = {u: self.known[u] for u in self.again}
+            self.known, self.again = {}, set()
         parts = [self.cut(self.library.normalize(t)) if t else [] for t in texts]
-        new = set().union(*parts).difference(self.known)
+        counts = Counter(chain.from_iterable(parts))
+        new = set(counts).difference(self.known)
         met = new.intersection(self.older)
         self.known.update((u, self.older[u]) for u in met)
+        self.again.update(u for u, n in counts.items() if n > 1 or u in self.known)
         new -= met
-        if new:
-            self.learn(sorted(new))
+        new = sorted(new)
+        for i in range(0, len(new), TOGETHER):  # the library takes a hundred bytes and more for a character that it checks
+            self.learn(new[i : i + TOGETHER])
         end, ids_of = np.int32(self.end).tobytes(), self.known.__getitem__
         return [np.frombuffer(b"".join([*map(ids_of, units), end]), np.int32) for units in parts]
 
@@ -235,13 +243,14 @@ def encode_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = merger(model_path)
         for batch in batches:
-            start, texts = 0, batch.column(len(names)).to_pylist()
-            while start < len(texts):
+            start, texts = 0, batch.column(len(names))
+            sizes = pc.utf8_length(texts).to_pylist()
+            while start < len(sizes):
                 end, chars = start, 0
-                while end < len(texts) and (end == start or chars + len(texts[end]) <= SLICE_CHARS):
-                    chars += len(texts[end])
+                while end < len(sizes) and (end == start or chars + sizes[end] <= SLICE_CHARS):
+                    chars += sizes[end]
                     end += 1
-                ids = model.encode(texts[start:end])
+                ids = model.encode(texts.slice(start, end - start).to_pylist())
                 at = np.zeros(len(ids) + 1, np.int32)
                 np.cumsum([len(x) for x in ids], out=at[1:])
                 columns = [batch.column(i).slice(start, end - start) for i in range(len(names))]
