@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 from itertools import combinations, permutations
 
 import numpy as np
@@ -233,3 +234,22 @@ def test_range_windows_take_no_sliding_frame(spark):
             plan = made._jdf.queryExecution().optimizedPlan().toString()
             frames = [x.split(")")[0] for x in plan.split("specifiedwindowframe(")[1:]]
             assert frames and all("unboundedpreceding" in f for f in frames)
+
+
+@pytest.mark.parametrize("rows", [3, 7, 1000])
+def test_rows_windows_of_wide_partitions_in_slabs(spark, rows, monkeypatch):
+    monkeypatch.setattr(windows, "SLAB_ROWS", rows)
+    monkeypatch.setattr(windows, "SLAB_SPANS", 1)
+    df = spark.range(200).selectExpr("id as i", "case when id % 11 = 0 then null when id < 150 then 'a' else concat('b', id % 9) end as p", "case when id % 13 > 0 then hash(id) % 20 end as t", "case when id % 7 > 0 then id end as v")
+    key = {"order_by": "t", "partition_by": ("p",), "tiebreak": ("i",)}
+    asked = {"s": ("sum(v)", Frame("ROWS", 3, 2)), "n": ("count(*)", Frame("ROWS", 4)), "l": ("lag(v, 3)", Frame()), "m": ("lead(v)", Frame())}
+    plain, wide = (add_windows(df, {n: WindowSpec(e, frame=f, wide=w, **key) for n, (e, f) in asked.items()}) for w in (False, True))
+    assert wide.columns == plain.columns and sorted(map(repr, wide.collect())) == sorted(map(repr, plain.collect()))
+    assert add_windows(df.limit(0), {"s": WindowSpec("sum(v)", frame=Frame("ROWS", 3, 2), wide=True, **key)}).count() == 0
+
+
+def test_no_task_takes_all_events_of_a_type(spark):
+    from weftspark.plans.q_projection import win_following
+
+    plan = win_following(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "hashpartitioning(event_type#" in plan and not re.search(r"hashpartitioning\(event_type#\d+, \d+\)", plan)

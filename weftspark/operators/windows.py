@@ -42,6 +42,8 @@ class WindowSpec:
     peers: str = "sql"
     #: Frames of a RANGE window hold few rows each, whatever the data: one plain window does.
     sparse: bool = False
+    #: Partitions grow with the table (a handful of kinds, say): ROWS windows, lag and lead run in slabs.
+    wide: bool = False
 
 
 def span_seconds(text: str | int) -> float:
@@ -197,9 +199,9 @@ def _reach(spec: WindowSpec) -> tuple[int, int]:
 
 
 def _in_numbered_slabs(df: DataFrame, name: str, spec: WindowSpec) -> DataFrame:
-    """A ROWS window, lag or lead over all rows, whose place in the order is ``_number``.
+    """A ROWS window, lag or lead, over rows whose place in the order is ``_number``.
 
-    Slabs have a fixed number of rows. A slab's last rows are carried into the next one, and its
+    The order begins with the partitioning, if there is one, so partitions are runs of numbers. Slabs have a fixed number of rows. A slab's last rows are carried into the next one, and its
     first ones into the one before, as far as frames reach, so every row finds its frame in its slab.
     """
     before, behind = _reach(spec)
@@ -207,7 +209,7 @@ def _in_numbered_slabs(df: DataFrame, name: str, spec: WindowSpec) -> DataFrame:
     slab = lambda at: F.floor(at / F.lit(size))
     n = F.col("_number")
     dealt = df.withColumns({"_home": slab(n), "_slab": F.explode(F.sequence(slab(n - behind), slab(n + before)))})
-    made = dealt.withColumn(name, window_column(replace(spec, partition_by=("_slab",), order_by="_number", tiebreak=())))
+    made = dealt.withColumn(name, window_column(replace(spec, partition_by=(*spec.partition_by, "_slab"), order_by="_number", tiebreak=())))
     return made.where(F.col("_home") == F.col("_slab")).drop("_home", "_slab")
 
 
@@ -216,8 +218,8 @@ def add_windows(df: DataFrame, specs: dict[str, WindowSpec]) -> DataFrame:
 
     RANGE windows run in blocks of time, those of one partitioning, order and frame that follow each
     other together. ROWS windows, lag and lead of one partitioning and order share an exchange and
-    a sort; without a partitioning rows are numbered, once for specs of one order that follow each
-    other, and windows run in slabs of numbers. Rows that are equal in the order and its tie-break
+    a sort; without a partitioning, or with ``wide`` partitions, rows are numbered, once for specs of
+    one partitioning and order that follow each other, and windows run in slabs of numbers. Rows that are equal in the order and its tie-break
     have no order among each other, as in SQL.
     """
     numbers: tuple[str, ...] | None = None
@@ -236,10 +238,10 @@ def add_windows(df: DataFrame, specs: dict[str, WindowSpec]) -> DataFrame:
                 together[names[0]] = specs[names[0]]
                 names.pop(0)
             df = _range_windows(df, together)
-        elif spec.partition_by:
+        elif spec.partition_by and not spec.wide:
             df = df.withColumn(name, window_column(spec))
         else:
-            order = (spec.order_by, *spec.tiebreak)
+            order = (*spec.partition_by, spec.order_by, *spec.tiebreak)
             if numbers != order:
                 df, numbers = with_numbers(df.drop("_number"), list(order), "_number"), order
             df = _in_numbered_slabs(df, name, spec)

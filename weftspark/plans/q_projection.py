@@ -172,9 +172,9 @@ def win_lag_lead(spark, sf_dir):
                          sum(event_id) over (partition by event_type order by ts, event_id rows between 2 preceding and 2 following)::bigint as around from events""")
 def win_following(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_id", "event_type", "ts")
-    out = add_windows(events, {
+    out = add_windows(events, {  # rows are numbered before the other window takes them twice
+        "around": WindowSpec("sum(event_id)", "ts", ("event_type",), Frame("ROWS", 3, 2), ("event_id",), wide=True),
         "near": WindowSpec("count(*)", "ts", ("event_type",), Frame("RANGE", "2h", "1h")),
-        "around": WindowSpec("sum(event_id)", "ts", ("event_type",), Frame("ROWS", 3, 2), ("event_id",)),
     })
     return out.select("event_id", "near", "around")
 
